@@ -22,6 +22,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (_bucket(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_bucket(7) != 2).alias("train"))
+    return scored(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -40,6 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_lm_score": op3_lm_score,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
 }
