@@ -13,6 +13,14 @@ def _bucket(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    from .decontaminate import with_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identified, train
 
@@ -46,6 +54,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_lm_score": op3_lm_score,
     "op5_mixing": op5_mixing,
