@@ -54,3 +54,8 @@ def word_count(text: Column) -> Column:
     """The number of [^\\x20\\x09-\\x0D]+ words; null counts as empty."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of few rows: texts can be long, and a task holds one batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

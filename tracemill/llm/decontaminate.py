@@ -21,12 +21,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK_WORDS = 1 << 20
 WALKS, SAMPLES, BITS = 10, 4, 3
 LEAK = "array<struct<item_id:long,start_word:int,n_words:int,edits:int,similarity:double>>"
@@ -120,7 +123,7 @@ class Block:
         for d, text in enumerate(texts):
             ws = words(text)
             if len(ws) > 1:
-                ids = np.fromiter((self.vocabulary.get(w, 0) for w in ws), np.int64, len(ws))
+                ids = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int64, len(ws))
                 part.append((d, ids))
                 size += len(ids)
             if size > _CHUNK:
@@ -163,9 +166,12 @@ class Block:
             starts = np.unique(starts)
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
                 a, b = max(edge[doc], run[0] - most), min(edge[doc + 1] - 1, run[-1] + len(item) + most)
-                edits, x, y = best_part(item, ids[a:b])
+                whole = next((int(x) for x in run if np.array_equal(ids[x : x + len(item)], item)), None)
+                edits, x, y = best_part(item, ids[a:b]) if whole is None else (0, whole - a, whole - a + len(item))
                 if edits <= most and (best is None or edits < best[0]):
-                    best = (edits, int(a + x - edge[doc]), y - x)
+                    best = (edits, int(a + x - edge[doc]), int(y - x))
+                if edits == 0:
+                    break
             if best is not None:
                 out[known[doc][0]].append({"item_id": self.ids[k], "start_word": best[1], "n_words": best[2], "edits": best[0], "similarity": 1 - best[0] / len(item)})
 
@@ -189,6 +195,7 @@ def blocks(benchmark: DataFrame, similarity: float, min_words: int, block_words:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with `leaks`: for each benchmark item found in the text, where it is nearest. No shuffle: one scan a block."""
     spark, columns = docs.sparkSession, []
+    small_batches(spark)
     for block in blocks(benchmark, similarity, min_words, block_words):
         sent = spark.sparkContext.broadcast(block)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .hmm import expected_counts, log_likelihood
 
 END = b"\n"  # no word holds a line break
@@ -168,6 +168,7 @@ def first_guess(sample: DataFrame) -> tuple:
 def scored(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, train (boolean). Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    small_batches(spark)
     counts = stored(token_counts(docs.where("train")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = frequent(counts, DICTIONARY)
