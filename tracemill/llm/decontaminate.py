@@ -167,6 +167,8 @@ class Block:
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
                 a, b = max(edge[doc], run[0] - most), min(edge[doc + 1] - 1, run[-1] + len(item) + most)
                 whole = next((int(x) for x in run if np.array_equal(ids[x : x + len(item)], item)), None)
+                if whole is None and np.isin(ids[a:b], item).sum() < len(item) - most:
+                    continue  # too few of its words are there
                 edits, x, y = best_part(item, ids[a:b]) if whole is None else (0, whole - a, whole - a + len(item))
                 if edits <= most and (best is None or edits < best[0]):
                     best = (edits, int(a + x - edge[doc]), int(y - x))
