@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 #: Bound on the texts of a language that the classifiers are fitted on.
-SAMPLE_PER_LANG = 1500
-DIM = 4096
+SAMPLE_PER_LANG = 1000
+DIM = 2048
 RIDGE = 1e-4
 #: Turns an SVM margin into a share between 0 and 1.
 SLOPE = 3.0
@@ -56,7 +56,7 @@ _IS_LETTER: list[np.ndarray] = []
 
 
 def features(text: str) -> np.ndarray:
-    """The unit-length vector of a text's hashed letter 2- and 3-grams; other characters part words."""
+    """The unit-length vector of a text's hashed letter 2- and 3-grams, and 1 for the bias; other characters part words."""
     if not _IS_LETTER:
         _IS_LETTER.append(_letters())
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
@@ -68,26 +68,24 @@ def features(text: str) -> np.ndarray:
     two = code[:-1] * np.uint32(0x9E3779B1) + code[1:] * np.uint32(0x85EBCA77)
     three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0xC2B2AE3D) + code[2:] * np.uint32(0x27D4EB2F)
     gram = np.concatenate([two, three])
-    counts = np.bincount(((gram ^ (gram >> np.uint32(16))) * np.uint32(0x7FEB352D)) >> np.uint32(32 - 12), minlength=DIM)
-    return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
+    counts = np.bincount(((gram ^ (gram >> np.uint32(16))) * np.uint32(0x7FEB352D)) >> np.uint32(32 - 11), minlength=DIM)
+    return np.append(np.sqrt(counts / max(1, counts.sum())), 1).astype(np.float32)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
-    """Weights (bias last) of a squared-hinge linear SVM, by Newton steps with conjugate gradients."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a squared-hinge linear SVM, by Newton steps with conjugate gradients; x is never copied."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     for _ in range(rounds):
         slack = 1 - y * (x @ w)
-        on = slack > 0
-        grad = ridge * w - 2 * (x[on].T @ (share * y * slack)[on])
+        on = share * (slack > 0)
+        grad = ridge * w - 2 * (x.T @ (on * y * slack))
         if np.linalg.norm(grad) < 1e-5:
             break
-        a, s = x[on], 2 * share[on]
         step, r = np.zeros_like(w), -grad
         p, rr = r.copy(), float(r @ r)
         for _ in range(30):
-            hp = ridge * p + a.T @ (s * (a @ p))
+            hp = ridge * p + 2 * (x.T @ (on * (x @ p)))
             alpha = rr / max(float(p @ hp), 1e-30)
             step, r = step + alpha * p, r - alpha * hp
             new = float(r @ r)
@@ -126,7 +124,7 @@ class Model:
         return votes / max(1, len(names) - 1) if len(names) > 1 else np.ones((len(margins), 1))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        margins = x @ self.weights[:, :-1].T + self.weights[:, -1] if len(self.pairs) else np.zeros((len(x), 0))
+        margins = x @ self.weights.T if len(self.pairs) else np.zeros((len(x), 0))
         families = sorted({FAMILY_OF.get(c, c) for c in self.langs})
         shares = self._among(families, "", margins)
         best = shares.argmax(1)
@@ -142,6 +140,7 @@ class Model:
 
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: text, lang. Fits on at most sample_per_lang texts a language, chosen by a hash of the text."""
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = known.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_per_lang).select("lang", "text")
@@ -161,7 +160,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     problem = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.lit(y).alias("y")) for k, c, y in sides]))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), DIM)
+        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), DIM + 1)
         return pd.DataFrame({"k": [int(group["k"].iloc[0])], "w": [fitted(x, group["y"].to_numpy(np.float32)).tobytes()]})
 
     dealt = rows.select("lang", "x", problem.alias("p")).where("p.c = lang").select("p.k", "p.y", "x")
@@ -172,6 +171,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if not model.langs:
         return out.drop("__letter").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
