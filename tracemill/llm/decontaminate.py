@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import python_ready
 
 BLOCK_WORDS = 1 << 20
 WALKS, SAMPLES, BITS = 10, 4, 3
@@ -197,7 +197,7 @@ def blocks(benchmark: DataFrame, similarity: float, min_words: int, block_words:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with `leaks`: for each benchmark item found in the text, where it is nearest. No shuffle: one scan a block."""
     spark, columns = docs.sparkSession, []
-    small_batches(spark)
+    python_ready(spark)
     for block in blocks(benchmark, similarity, min_words, block_words):
         sent = spark.sparkContext.broadcast(block)
 

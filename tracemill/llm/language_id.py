@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import python_ready, stored
 
 #: Bound on the texts of a language that the classifiers are fitted on.
 SAMPLE_PER_LANG = 1000
@@ -140,7 +140,7 @@ class Model:
 
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: text, lang. Fits on at most sample_per_lang texts a language, chosen by a hash of the text."""
-    small_batches(labelled.sparkSession)
+    python_ready(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = known.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_per_lang).select("lang", "text")
@@ -171,7 +171,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     out = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if not model.langs:
         return out.drop("__letter").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, hash128, scratch_path, stored
+from .common import BLANKS, ascii_lower, hash128, python_ready, scratch_path, stored
 
 #: Filters of up to this many bytes in all are sent to every task; larger ones stay sharded.
 BROADCAST_BYTES = 32 << 20
@@ -52,6 +52,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 class LineDedup:
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10, shards: int | None = None):
         self.spark, self.min_chars, self.shards, self.version = spark, min_chars, shards, 0
+        python_ready(spark)
         self.path = path or scratch_path(spark, "line-dedup")
 
     # -- state ---------------------------------------------------------------------------------

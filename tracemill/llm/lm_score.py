@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import python_ready, stored
 from .hmm import expected_counts, log_likelihood
 
 END = b"\n"  # no word holds a line break
@@ -168,14 +168,15 @@ def first_guess(sample: DataFrame) -> tuple:
 def scored(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, train (boolean). Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     counts = stored(token_counts(docs.where("train")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = frequent(counts, DICTIONARY)
     known = spark.sparkContext.broadcast(Dictionary(top))
     rows = stored(encoded(docs, known), "lm-encoded")
 
-    sample = stored(rows.where("train").orderBy(F.xxhash64("uid")).limit(SAMPLE_DOCS).select("symbols").repartition(8), "lm-sample")
+    thin = min(1.0, 4 * SAMPLE_DOCS / max(1, rows.where("train").count()))  # so that no task sorts more than a few of all rows
+    sample = stored(rows.where(F.col("train") & (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(thin * (1 << 20)) + 1)).orderBy(F.xxhash64("uid")).limit(SAMPLE_DOCS).select("symbols").repartition(8), "lm-sample")
     model = baum_welch(sample, first_guess(sample), SAMPLE_PASSES)
     model = baum_welch(rows.where("train"), model, FULL_PASSES)
     ending = F.crc32(F.substring("token", -3, 3)) % CLASSES

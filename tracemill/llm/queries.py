@@ -53,12 +53,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_lm_score": op3_lm_score,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE = {
