@@ -194,17 +194,19 @@ def blocks(benchmark: DataFrame, similarity: float, min_words: int, block_words:
         yield Block(part, similarity)
 
 
+def _looker(sent):
+    def look(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield pd.Series(sent.value.leaks(texts.tolist()), dtype=object)
+
+    return F.pandas_udf(look, LEAK)
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with `leaks`: for each benchmark item found in the text, where it is nearest. No shuffle: one scan a block."""
     spark, columns = docs.sparkSession, []
     python_ready(spark)
     for block in blocks(benchmark, similarity, min_words, block_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def look(series: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for texts in series:
-                yield pd.Series(sent.value.leaks(texts.tolist()), dtype=object)
-
-        columns.append(F.pandas_udf(look, LEAK)("text"))
+        columns.append(_looker(spark.sparkContext.broadcast(block))("text"))
     none = F.array().cast(LEAK)
     return docs.withColumn("leaks", F.concat(none, *columns) if columns else none)

@@ -59,6 +59,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, found, of_kind, written
+
+    counts = [of_kind("base", k).alias(f"n_{k}") for k in KINDS]
+    docs = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -66,6 +74,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE = {
