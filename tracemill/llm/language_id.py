@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import python_ready, stored
 
 #: Bound on the texts of a language that the classifiers are fitted on.
-SAMPLE_PER_LANG = 1000
+SAMPLE_PER_LANG = 1024
+#: The texts of a language are chosen in so many parts, so that no task sees a whole language.
+PARTS = 16
 DIM = 2048
 RIDGE = 1e-4
 #: Turns an SVM margin into a share between 0 and 1.
@@ -142,8 +144,8 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: text, lang. Fits on at most sample_per_lang texts a language, chosen by a hash of the text."""
     python_ready(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = known.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_per_lang).select("lang", "text")
+    order = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "text")
+    sample = known.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-sample_per_lang // PARTS)).select("lang", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

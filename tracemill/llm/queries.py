@@ -37,6 +37,13 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -59,6 +66,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that loses sentences."""
+    from .span_dedup import without_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs, only_changed=True).select("doc_id", "first_docs", "n_sentences", "n_removed", "kept_text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, found, of_kind, written
 
@@ -71,9 +86,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_lm_score": op3_lm_score,
+    "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_span_dedup": op9_span_dedup,
     "op10_pii": op10_pii,
 }
 
