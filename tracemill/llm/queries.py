@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _bucket(n: int):
+def fold(n: int):
     """crc32 of doc_id as text, modulo n (a null doc_id counts as an empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
@@ -25,15 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identified, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(_bucket(3) != 1).select("text", "lang"))
+    model = train(docs.where(fold(3) != 1).select("text", "lang"))
     said = identified(docs.select("doc_id", "text"), model)
-    return said.select("doc_id", (_bucket(3) == 1).alias("held_out"), "lang_pred", "score")
+    return said.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import scored
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_bucket(7) != 2).alias("train"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(7) != 2).alias("train"))
     return scored(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -51,6 +51,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each message: without quotes, with its parent and its place in the reply order."""
+    from .quote_linking import chat, linked
+
+    return chat(linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import LineDedup
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op3_lm_score": op3_lm_score,
     "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
+    "op6_quote_linking": op6_quote_linking,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_span_dedup": op9_span_dedup,
