@@ -174,9 +174,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, from the whole text alone."""
     spark = docs.sparkSession
     python_ready(spark)
-    out = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = docs.withColumn("__tm_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if not model.langs:
-        return out.drop("__letter").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return out.drop("__tm_letter").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     sent = spark.sparkContext.broadcast(model)
 
     def guess(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -189,4 +189,4 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     said = F.pandas_udf(guess, "lang_pred string, score double")
-    return out.withColumn("__said", said("text", "__letter")).withColumn("lang_pred", F.col("__said.lang_pred")).withColumn("score", F.col("__said.score")).drop("__letter", "__said")
+    return out.withColumn("__tm_said", said("text", "__tm_letter")).withColumn("lang_pred", F.col("__tm_said.lang_pred")).withColumn("score", F.col("__tm_said.score")).drop("__tm_letter", "__tm_said")

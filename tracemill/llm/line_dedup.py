@@ -162,16 +162,16 @@ class LineDedup:
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with kept_text, n_lines and n_dropped beside its own columns."""
-        drops = self.dropped(docs).select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"), F.col("drop").alias("__drop"))
+        drops = self.dropped(docs).select(F.col("doc_id").alias("__tm_doc"), F.col("rid").alias("__tm_rid"), F.col("drop").alias("__tm_drop"))
         lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-        kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size("__tm_lines") - 1), F.col("__tm_drop"))
         return (
-            docs.join(drops, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__rid")), "left")
-            .withColumn("__lines", lines)
-            .withColumn("n_lines", F.size("__lines").cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
-            .withColumn("kept_text", F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")))
-            .drop("__doc", "__rid", "__drop", "__lines")
+            docs.join(drops, (F.col("doc_id") == F.col("__tm_doc")) & (F.xxhash64("text") == F.col("__tm_rid")), "left")
+            .withColumn("__tm_lines", lines)
+            .withColumn("n_lines", F.size("__tm_lines").cast("long"))
+            .withColumn("n_dropped", F.coalesce(F.size("__tm_drop"), F.lit(0)).cast("long"))
+            .withColumn("kept_text", F.when(F.col("__tm_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__tm_lines", i)), "\n")))
+            .drop("__tm_doc", "__tm_rid", "__tm_drop", "__tm_lines")
         )
 
 
