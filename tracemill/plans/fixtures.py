@@ -27,7 +27,7 @@ def pings(d: Dialect) -> str:
     return f"""
     SELECT event_id AS id, tid, a0lat + f * (a1lat - a0lat) + (k - 50) * 1e-5 AS lat, a0lon + f * (a1lon - a0lon) + (k - 50) * 1e-5 AS lon,
            value AS alt, CASE WHEN k = 99 THEN CAST(250 AS DOUBLE) WHEN k % 10 = 0 THEN NULL ELSE CAST(5 + k % 40 AS DOUBLE) END AS acc, tst, 'owntracks' AS source
-    FROM (SELECT *, least(1.0, (tst % 14400) / 3600.0) AS f, {_anchor_lat("p0")} AS a0lat, {_anchor_lon("p0")} AS a0lon, {_anchor_lat("p1")} AS a1lat, {_anchor_lon("p1")} AS a1lon
+    FROM (SELECT *, least(CAST(1 AS DOUBLE), CAST(tst % 14400 AS DOUBLE) / 3600) AS f, {_anchor_lat("p0")} AS a0lat, {_anchor_lon("p0")} AS a0lon, {_anchor_lat("p1")} AS a1lat, {_anchor_lon("p1")} AS a1lon
           FROM (SELECT event_id, tid, tst, k, value, {anchor(f"{b} - 1")} AS p0, {anchor(b)} AS p1
                 FROM (SELECT event_id, user_id % 5 AS tid, {d.unix("ts")} AS tst, CAST({d.json("props", "$.k")} AS BIGINT) AS k, value FROM {{events}}) e0) e1) e2"""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reports
+from . import operator_queries, reports
 from .dialect import CHECK
 from .fixtures import check_views, frame
 
@@ -29,5 +29,5 @@ def _check(name: str) -> str:
     return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in reports.Q}
-ORACLE: dict[str, str] = {name: _check(name) for name in reports.Q}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in reports.Q} | operator_queries.QUERIES
+ORACLE: dict[str, str] = {name: _check(name) for name in reports.Q} | operator_queries.ORACLE
