@@ -35,26 +35,34 @@ def _apart(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 
 def clustered(group: pd.DataFrame) -> pd.DataFrame:
-    """Stays of one island: a run grows while the next ping is near the mean of the run so far; runs that last long enough
+    """Stays of some islands: a run grows while the next ping is near the mean of the run so far; runs that last long enough
     are stays, after any other run the scan restarts one ping on."""
-    group = group.sort_values(["tst", "id"])
-    lat, lon, t = (group[c].to_numpy() for c in ("lat", "lon", "tst"))
-    out, at, n = [], 0, len(t)
-    while at < n and t[-1] - t[at] >= STAY_MIN:
-        end, la, lo = at + 1, lat[at], lon[at]
-        while end < n and _apart(la / (end - at), lo / (end - at), lat[end], lon[end]) <= STAY_RADIUS:
-            la, lo, end = la + lat[end], lo + lon[end], end + 1
-        if t[end - 1] - t[at] >= STAY_MIN:
-            out.append((int(group["tid"].iloc[0]), int(t[at]), int(t[end - 1]), la / (end - at), lo / (end - at), end - at))
-            at = end
-        else:
-            at += 1
+    out = []
+    group = group.sort_values(["island", "tst", "id"])
+    tid = int(group["tid"].iloc[0])
+    every = [group[c].to_numpy() for c in ("lat", "lon", "tst")]
+    cuts = np.flatnonzero(np.diff(group["island"].to_numpy())) + 1
+    for lat, lon, t in zip(*(np.split(c, cuts) for c in every), strict=True):
+        at, n = 0, len(t)
+        while at < n and t[-1] - t[at] >= STAY_MIN:
+            end, la, lo = at + 1, lat[at], lon[at]
+            while end < n and _apart(la / (end - at), lo / (end - at), lat[end], lon[end]) <= STAY_RADIUS:
+                la, lo, end = la + lat[end], lo + lon[end], end + 1
+            if t[end - 1] - t[at] >= STAY_MIN:
+                out.append((tid, int(t[at]), int(t[end - 1]), la / (end - at), lo / (end - at), end - at))
+                at = end
+            else:
+                at += 1
     return pd.DataFrame(out, columns=["tid", "start_ts", "end_ts", "lat", "lon", "point_count"]).astype({"tid": np.int64, "start_ts": np.int64, "end_ts": np.int64, "lat": float, "lon": float, "point_count": np.int32})
 
 
 def stays(pings: DataFrame) -> DataFrame:
+    """Islands too short to hold a stay are left out first; the others go to Python by the hundred."""
     ship_package(pings.sparkSession)
-    return ping_islands(trusted(pings)).select("tid", "island", "id", "tst", "lat", "lon").groupBy("tid", "island").applyInPandas(clustered, STAY)
+    every = Window.partitionBy("tid", "island")
+    rows = ping_islands(trusted(pings)).select("tid", "island", "id", "tst", "lat", "lon")
+    rows = rows.withColumn("span", F.max("tst").over(every) - F.min("tst").over(every)).where(F.col("span") >= STAY_MIN).drop("span")
+    return rows.groupBy("tid", F.floor(F.col("island") / 100).alias("bundle")).applyInPandas(clustered, STAY)
 
 
 def merged(candidates: DataFrame) -> DataFrame:
