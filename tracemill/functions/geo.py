@@ -9,10 +9,10 @@ from ..constants import EARTH_RADIUS
 
 
 def metres(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance; arguments are columns or names."""
+    """Great-circle distance, null if any coordinate is; arguments are columns or names."""
     lat1, lon1, lat2, lon2 = (F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def mode_of_speed(kmh: Column) -> Column:

@@ -51,9 +51,9 @@ class Dialect:
         return f"get_json_object({column}, '{path}')" if self.spark else f"(CASE WHEN json_valid({column}) THEN json_extract_string({column}, '{path}') END)"
 
     def metres(self, lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-        """Great-circle distance on a sphere of 6 371 000 m."""
+        """Great-circle distance on a sphere of 6 371 000 m; null if any coordinate is."""
         a = f"power(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians(({lon2}) - ({lon1})) / 2), 2)"
-        return f"(2 * 6371000.0 * asin(sqrt(least(1.0, {a}))))"
+        return f"(2 * 6371000.0 * asin(sqrt(CASE WHEN {a} > 1 THEN 1.0 ELSE {a} END)))"
 
     def pick(self, index: str, values: list[str]) -> str:
         cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
