@@ -318,6 +318,8 @@ def test_span_dedup(spark):
     assert all(got[i]["kept_text"] == texts[i] and got[i]["n_removed"] == 0 for i in (4, 5, 6, 7))
     changed = {r["doc_id"] for r in span_dedup.without_repeats(docs(spark, texts), only_changed=True).collect()}
     assert changed == {1, 2, 3}
+    clash = span_dedup.without_repeats(docs(spark, texts).withColumns({"first_docs": F.lit(1), "n_removed": F.lit("x")}))
+    assert {r["doc_id"]: r["n_removed"] for r in clash.collect()} == {i: r["n_removed"] for i, r in got.items()}
     assert "".join(span_dedup.sentences(texts[0])) == texts[0]
     assert span_dedup.without_repeats(docs(spark, [])).count() == 0
 
