@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PLACE_RADIUS, SIMILAR_RADIUS
@@ -56,3 +56,40 @@ def with_ends(journeys: DataFrame, visits: DataFrame) -> DataFrame:
     before = before.withColumnRenamed("asof", "__from")
     after = asof(before, visits, "end_ts", "start_ts", ["lat", "lon", "place_id"], forward=True, tie=["end_ts", "id"])
     return after.withColumns({"from_place": F.col("__from.place_id"), "to_place": F.col("asof.place_id"), "ends_m": metres(F.col("__from.lat"), F.col("__from.lon"), F.col("asof.lat"), F.col("asof.lon"))}).drop("__from", "asof")
+
+
+def nearby(points: DataFrame, features: DataFrame, radius: float = 100.0, most: int = 15) -> DataFrame:
+    """points (id, lat, lon): up to `most` named features around each, the nearest of each name, nearest first (to the centimetre, then by name)."""
+    named = features.where("name is not null").select("name", "category", "lat", "lon")
+    met = radius_join(points.select("id", "lat", "lon"), named, radius, {"lat": "flat", "lon": "flon", "name": "name", "category": "category"})
+    one = met.groupBy("id", "name").agg(F.min(F.struct(F.round("metres", 2).alias("metres"), "category")).alias("m")).select("id", "name", "m.metres", "m.category")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("metres", "name"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def text_search(features: DataFrame, query: str, lat: float, lon: float, most: int = 8) -> DataFrame:
+    """Features whose name holds the query (any case), nearest to a point first."""
+    rows = features.where(F.contains(F.lower("name"), F.lit(query.lower()))).withColumn("metres", metres(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)))
+    return rows.orderBy("metres", "id").limit(most)
+
+
+def resolved(visits: DataFrame, places: DataFrame, periods: DataFrame) -> DataFrame:
+    """visits (id, lat, lon, place_key) with place_id: by external key, else by rounded coordinates, else the Home place of a home
+    period around it; null where a new place is needed. Each step is one join on what is still open; all visits are resolved at once,
+    so places made for one visit are not seen by the next (see greedy_clusters for merging them afterwards)."""
+    key = lambda c: F.bround(c, 4)
+    by_key = places.where("google_place_id is not null").groupBy(F.col("google_place_id").alias("place_key")).agg(F.min("id").alias("p1"))
+    by_spot = places.groupBy(F.col("lat_round").alias("k1"), F.col("lon_round").alias("k2")).agg(F.min("id").alias("p2"))
+    p = periods.select(F.col("id").alias("period"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
+    homes = places.where("category = 'Home'").select(F.col("id").alias("home_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    home_of = p.join(homes, metres("hlat", "hlon", "plat", "plon") <= F.col("radius_m")).groupBy("period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
+    at_home = visits.join(F.broadcast(home_of.limit(1000)), metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m")).groupBy("id").agg(F.min_by("home_id", "period").alias("p3"))
+    out = visits.withColumns({"k1": key("lat"), "k2": key("lon")}).join(by_key, "place_key", "left").join(by_spot, ["k1", "k2"], "left").join(at_home, "id", "left")
+    return out.select(*visits.columns, F.coalesce("p1", "p2", "p3").alias("place_id"))
+
+
+def gaps_filled(places: DataFrame, answers: DataFrame) -> DataFrame:
+    """Missing city, country and code from answers (id, city, country, country_code); what is there stays."""
+    a = answers.select("id", *[F.col(c).alias(f"__{c}") for c in ("city", "country", "country_code")])
+    out = places.join(a, "id", "left")
+    return out.select(*[F.coalesce(c, f"__{c}").alias(c) if f"__{c}" in out.columns else F.col(c) for c in places.columns])

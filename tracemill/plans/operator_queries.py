@@ -226,6 +226,18 @@ def overlapping_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), ["place_id"]).where("a < b").select("a", "b")
 
 
+@op("nearby_places", f"""WITH m AS (SELECT a.id, b.name, b.category, {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres FROM places a JOIN places b ON b.name IS NOT NULL AND abs(a.lat - b.lat) < 0.01 WHERE {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 400),
+o AS (SELECT id, name, round(min(metres), 2) AS metres FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, name) AS rank FROM o) SELECT id, name, metres, rank FROM r WHERE rank <= 15""", {"places"})
+def nearby_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = frame(spark, sf_dir, "places")
+    return places.nearby(p, p, 400.0).select("id", "name", "metres", "rank")
+
+
+@op("place_search", f"SELECT id, name, round({M('lat', 'lon', '50.0', '0.0')}, 1) AS metres FROM places WHERE lower(name) LIKE '%00001%' ORDER BY {M('lat', 'lon', '50.0', '0.0')}, id LIMIT 8", {"places"})
+def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.text_search(frame(spark, sf_dir, "places"), "00001", 50.0, 0.0).select("id", "name", F.round("metres", 1).alias("metres"))
+
+
 @op("rail_route")
 def rail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths on a grid of ways, one way for each row and column, between places snapped to it."""

@@ -205,6 +205,34 @@ WITH v AS (SELECT id, start_ts, end_ts, {d.touched('floor(start_ts / 86400.0)',
      m AS (SELECT f.uid, v.id, row_number() OVER (PARTITION BY f.uid ORDER BY v.start_ts, v.id) AS r FROM {{photos}} f JOIN v ON v.bin = CAST(floor(f.taken_ts / 86400.0) AS BIGINT) AND f.taken_ts >= v.start_ts AND f.taken_ts <= v.end_ts)
 SELECT uid, id AS visit_id FROM m WHERE r = 1""")
 
+# -- more of the public surface --------------------------------------------------------------------
+
+q("trip_timeline")(lambda d: f"""
+WITH t AS (SELECT start_ts AS a, end_ts AS b FROM {{trips}} ORDER BY end_ts - start_ts DESC, id LIMIT 1)
+SELECT 'visit' AS kind, id AS k1, start_ts, end_ts FROM {{visits}}, t WHERE start_ts >= a AND end_ts <= b
+UNION ALL SELECT mode, k1, start_ts, end_ts FROM {{segments}}, t WHERE start_ts >= a AND end_ts <= b""")
+q("peak_month")(lambda d: f"SELECT mode, month, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY distance_m DESC, month) AS r FROM (SELECT mode, {d.month('start_ts')} AS month, round(sum(distance_m), 2) AS distance_m FROM {{segments}} GROUP BY 1, 2) a) b WHERE r = 1")
+q("active_months")(lambda d: f"SELECT {d.year('start_ts')} AS year, count(DISTINCT {d.month('start_ts')}) AS months, round(sum(distance_m) / count(DISTINCT {d.month('start_ts')}), 2) AS distance_a_month FROM {{segments}} GROUP BY 1")
+q("year_over_year")(lambda d: f"""
+SELECT year, n, CAST(floor((n - was) * 100.0 / nullif(was, 0) + 0.5) AS INT) AS delta FROM (SELECT year, n, lag(n) OVER (ORDER BY year) AS was
+FROM (SELECT {d.year('start_ts')} AS year, count(*) AS n FROM {{trips}} GROUP BY 1) a) b""")
+q("stories")(lambda d: f"""
+SELECT 'countries' AS story, CAST(count(DISTINCT p.country_code) AS BIGINT) AS number_ FROM {VP}
+UNION ALL SELECT 'around_the_earth', CAST(floor(sum(distance_m) / 40075000.0) AS BIGINT) FROM {{segments}}
+UNION ALL SELECT 'trips', count(*) FROM {{trips}}
+UNION ALL SELECT 'longest_trip_days', CAST(max(floor((end_ts - start_ts + 86399) / 86400.0)) AS BIGINT) FROM {{trips}}
+UNION ALL SELECT 'cities', count(DISTINCT p.city) FROM {VP}
+UNION ALL SELECT 'airports', count(DISTINCT p.id) FROM {VP} WHERE p.category = 'Airports'""")
+q("wrapped_all_time")(lambda d: f"""
+SELECT (SELECT count(*) FROM {{trips}}) AS n_trips, (SELECT CAST(sum(greatest(end_ts - start_ts, 0)) AS BIGINT) FROM {{trips}}) AS away_s,
+       (SELECT count(DISTINCT p.country_code) FROM {VP}) AS n_countries, (SELECT round(sum(distance_m), 2) FROM {{segments}}) AS distance_m""")
+q("context_visits")(lambda d: f"""
+SELECT 'before' AS side, id, end_ts AS at_ts FROM (SELECT * FROM {{visits}} WHERE end_ts <= {DAY} ORDER BY end_ts DESC, id DESC LIMIT 1) a
+UNION ALL SELECT 'after', id, start_ts FROM (SELECT * FROM {{visits}} WHERE start_ts >= {DAY + 86400} ORDER BY start_ts, id LIMIT 1) b""")
+q("ping_days")(lambda d: f"SELECT {d.day('tst')} AS day, count(*) AS n_pings, min(tst) AS first_ts, max(tst) AS last_ts FROM {{pings}} WHERE acc IS NULL OR acc <= 100 GROUP BY 1")
+q("tracking_status")(lambda d: """
+SELECT tid, max(tst) AS last_ts, CASE WHEN (SELECT max(tst) FROM {pings}) - max(tst) > 14400 THEN 'error' WHEN (SELECT max(tst) FROM {pings}) - max(tst) > 3600 THEN 'warn' ELSE 'ok' END AS level FROM {pings} GROUP BY 1""")
+
 INPUTS = ("visits", "places", "segments", "trips", "photos", "home_periods", "pings")
 
 
