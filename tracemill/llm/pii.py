@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans are the matches of four patterns (email, ip, card, phone) that pass their checks. They are the seeds of
-the bootstrap: the word before a seed and the seed's shape form a lexical pattern (kind, word before, shape). Other
+the bootstrap: the word before a seed and what the seed looks like form a lexical pattern (kind, word before, shape). Other
 identifier-like words are candidates, seen by the same kind of context. Patterns and instances form a bipartite
 graph that is scored in rounds, each one join and aggregation:
 
@@ -36,8 +36,8 @@ PATTERNS = {
 #: A text without these characters has no match of the kind: skips the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
-#: An identifier-like word: six characters or more with four digits, or a word with an at sign.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*(?:@|[0-9][^\x20\x09-\x0D]*?[0-9][^\x20\x09-\x0D]*?[0-9][^\x20\x09-\x0D]*?[0-9]))[^\x20\x09-\x0D]{6,64}(?![^\x20\x09-\x0D])"
+#: An identifier-like word: six characters or more with an at sign or four digits, after white space, a bracket or a quote.
+CANDIDATE = r"(?<![^\x20\x09-\x0D(\[\"'])(?=[^\x20\x09-\x0D]{0,64}@|(?:[^0-9\x20\x09-\x0D]{0,16}[0-9]){4})[A-Za-z0-9+][A-Za-z0-9._%+@()-]{4,62}[A-Za-z0-9]"
 
 
 def _located(text: Column, pattern: str, kind: int) -> Column:
@@ -108,8 +108,11 @@ def written(spans: Column) -> Column:
 
 
 def shape(value: Column) -> Column:
-    """Runs of digits as 9, runs of letters as a; other characters as they are."""
-    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "9")
+    """What an identifier looks like: at, plus, dotted, number; mixed holds letters and is none of these."""
+    return (
+        F.when(F.contains(value, F.lit("@")), "at").when(F.startswith(value, F.lit("+")), "plus")
+        .when(value.rlike("[A-Za-z]"), "mixed").when(value.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), "dotted").otherwise("number")
+    )
 
 
 def word_before(text: Column, start: Column) -> Column:
@@ -128,7 +131,8 @@ def contexts(docs: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike("@|[0-9]"), _located(F.col("text"), CANDIDATE, -1)).otherwise(F.array().cast(SPAN)),
         lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])),
     )
-    return rows(F.concat(F.col("base"), clear)).withColumn("kind", F.when(F.col("kind") >= 0, F.col("kind")))
+    seen = rows(F.concat(F.col("base"), clear)).withColumn("kind", F.when(F.col("kind") >= 0, F.col("kind")))
+    return seen.where("kind is not null or shape <> 'mixed'")
 
 
 def bootstrapped(seen: DataFrame, rounds: int = 3, accept: float = 0.8, min_support: int = 3) -> DataFrame:
