@@ -242,3 +242,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(ingest.latest_stays(spark, str(tmp_path / "out"))) == key(batch) != []
     ingest.append_pings(ingest.ping_stream(spark, str(inbox)), str(tmp_path / "pings"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "pings")).count() == 240
+
+
+def test_routes_via_hubs(spark, tmp_path):
+    """On a line of longitude only neighbours at most 0.2 degrees apart have a direct route."""
+    n = iter(range(10_000))
+    keep = lambda df: (df.write.parquet(p := str(tmp_path / f"h{next(n)}")), spark.read.schema(df.schema).parquet(p))[1]
+    spot = lambda a, b: F.concat_ws(":", F.round(a, 3).cast("string"), F.round(b, 3).cast("string"))
+    direct = lambda legs: legs.where(F.abs(F.col("lat2") - F.col("lat1")) <= 0.2001).select("leg", geo.metres("lat1", "lon1", "lat2", "lon2").alias("metres"), F.array(spot("lat1", "lon1"), spot("lat2", "lon2")).alias("path"))
+    hubs = spark.createDataFrame([("a", 50.2, 0.0), ("b", 50.4, 0.0), ("c", 50.6, 0.0), ("far", 50.4, 30.0)], "hub string, hlat double, hlon double")
+    asked = spark.createDataFrame([(1, 50.0, 0.0, 50.1, 0.0), (2, 50.0, 0.0, 50.8, 0.0), (3, 50.0, 0.0, 58.0, 0.0)], "id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r["id"]: (len(r["path"]), round(r["metres"])) for r in routing.via_hubs(asked, hubs, direct, keep).collect()}
+    assert got == {1: (2, 11119), 2: (5, 88956)}

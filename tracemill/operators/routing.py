@@ -48,3 +48,38 @@ def shortest_paths(requests: DataFrame, edges: DataFrame, stored, rounds: int =
         if best.where("fresh").isEmpty():
             break
     return best.where("node = dst").select("id", "metres", "path")
+
+
+def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3, least_m: float = 5000.0, detour: float = 1.6) -> DataFrame:
+    """requests: id, lat1, lon1, lat2, lon2; hubs: hub, hlat, hlon (a handful). Returns id, metres, path where every leg is found.
+
+    route(legs) answers leg, metres, path for the legs (leg, lat1 ... lon2) that have a direct route. The others are split at the hub
+    between their ends that leaves the shortest longest half, all legs of a level in one batch, at most `hops` levels deep.
+    """
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    open_ = stored(requests.select("id", F.lit("").alias("place"), *ends))
+    done = None
+    for level in range(hops + 1):
+        open_ = open_.withColumn("leg", F.concat_ws("/", F.col("id").cast("string"), "place"))
+        found = stored(open_.join(route(open_.select("leg", *ends)), "leg").select("id", "place", "metres", "path"))
+        done = found if done is None else done.unionByName(found)
+        missed = open_.join(found.select("id", "place"), ["id", "place"], "left_anti")
+        if level == hops:
+            break
+        d = metres("lat1", "lon1", "lat2", "lon2")
+        d1, d2 = metres("lat1", "lon1", "hlat", "hlon"), metres("hlat", "hlon", "lat2", "lon2")
+        tried = missed.join(F.broadcast(hubs.limit(1000))).withColumns({"d": d, "d1": d1, "d2": d2})
+        fits = tried.where((F.greatest("d1", "d2") < F.col("d")) & (F.least("d1", "d2") >= least_m) & (F.col("d1") + F.col("d2") <= F.col("d") * detour))
+        best = fits.groupBy("id", "place", *ends).agg(F.min_by(F.struct("hlat", "hlon"), F.struct(F.greatest("d1", "d2"), "hub")).alias("h"))
+        halves = F.explode(F.array(
+            F.struct(F.concat("place", F.lit("0")).alias("place"), F.col("lat1"), F.col("lon1"), F.col("h.hlat").alias("lat2"), F.col("h.hlon").alias("lon2")),
+            F.struct(F.concat("place", F.lit("1")).alias("place"), F.col("h.hlat").alias("lat1"), F.col("h.hlon").alias("lon1"), F.col("lat2"), F.col("lon2")),
+        ))
+        open_ = stored(best.select("id", halves.alias("x")).select("id", "x.*"))
+        if open_.isEmpty():
+            break
+    # legs of an id add up to the whole if their shares (halved at each split) do
+    share = F.pow(F.lit(0.5), F.char_length("place"))
+    rows = done.groupBy("id").agg(F.sum(share).alias("whole"), F.sum("metres").alias("metres"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("legs"))
+    path = F.aggregate("legs", F.array().cast("array<string>"), lambda acc, x: F.when(F.size(acc) == 0, x["path"]).otherwise(F.concat(acc, F.slice(x["path"], 2, F.greatest(F.size(x["path"]) - 1, F.lit(0))))))
+    return rows.where("whole = 1").select("id", "metres", path.alias("path"))
