@@ -23,14 +23,12 @@ def asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, value:
     """
     rec = F.struct(F.col(right_ts).alias("at"), *value)
     l = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__row"), F.lit(None).cast(right.select(rec.alias("r")).schema[0].dataType).alias("__rec"), F.lit(None).cast("struct<>").alias("__tie") if not tie else F.lit(None).cast(right.select(F.struct(*tie).alias("t")).schema[0].dataType).alias("__tie"))  # noqa: E741
-    r = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(right_ts).alias("__t"), F.lit(0 if not forward else 2).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), rec.alias("__rec"), F.lit(None).cast("struct<>").alias("__tie") if not tie else F.struct(*tie).alias("__tie"))
+    r = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), rec.alias("__rec"), F.lit(None).cast("struct<>").alias("__tie") if not tie else F.struct(*tie).alias("__tie"))
     names = [f"__k{i}" for i in range(len(keys))]
-    order = ["__t", "__side", *(["__tie"] if tie else [])]
-    w = Window.partitionBy(*names).orderBy(*order)
-    if forward:
-        seen = F.first("__rec", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        seen = F.last("__rec", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # forward is backward over the reversed order: frames that grow cost one step a row, frames that shrink would cost n
+    down = (lambda c: F.col(c).desc()) if forward else F.col
+    w = Window.partitionBy(*names).orderBy(down("__t"), "__side", *([down("__tie")] if tie else []))
+    seen = F.last("__rec", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return l.unionByName(r).withColumn("asof", seen).where("__side = 1").select("__row.*", "asof")
 
 

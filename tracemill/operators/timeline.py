@@ -17,9 +17,9 @@ def merged_timeline(visits: DataFrame, segments: DataFrame) -> DataFrame:
 
 def flanks(timeline: DataFrame) -> DataFrame:
     """Each segment with the ids of the nearest visits before and after it by position."""
-    w = Window.orderBy("position")
+    w, back = Window.orderBy("position"), Window.orderBy(F.desc("position"))
     visit = F.when(F.col("kind") == "visit", F.col("id"))
-    marked = timeline.withColumns({"before": F.last(visit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(visit, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    marked = timeline.withColumns({"before": F.last(visit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(visit, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     return marked.where("kind = 'segment'").drop("kind", "rank")
 
 

@@ -73,7 +73,7 @@ def planned_stops(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select("folder", "position", F.col("p.name").alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("lat"), F.get(parts, F.lit(0)).try_cast("double").alias("lon"), day.alias("dated"))
     w = Window.partitionBy("folder").orderBy("position")
     before = F.last("dated", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("dated", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("dated", ignorenulls=True).over(Window.partitionBy("folder").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0))
     enough = F.count("dated").over(Window.partitionBy("folder"))
     return rows.withColumn("n", enough).where("n >= 2").withColumn("day", F.coalesce(before, after)).drop("dated", "n")
 
