@@ -118,7 +118,7 @@ GROUP BY 1, 2 HAVING sum(distance_m) >= 160.9344 AND sum(duration_s) >= 60""")
 q("monthly_categories")(lambda d: f"""
 SELECT {d.month('v.start_ts')} AS month, p.category, CAST(sum(greatest(v.end_ts - v.start_ts, 0)) AS BIGINT) AS seconds FROM {VP} GROUP BY 1, 2 HAVING sum(greatest(v.end_ts - v.start_ts, 0)) >= 60""")
 q("fastest_journey")(lambda d: f"""
-SELECT mode, start_ts, round(kmh, 4) AS kmh FROM (SELECT mode, start_ts, distance_m / duration_s * 3.6 AS kmh, row_number() OVER (PARTITION BY mode ORDER BY distance_m / duration_s DESC, start_ts, k1, k2, k3, k4, distance_m) AS r
+SELECT mode, start_ts, distance_m, duration_s FROM (SELECT mode, start_ts, distance_m, duration_s, row_number() OVER (PARTITION BY mode ORDER BY distance_m / duration_s DESC, start_ts, k1, k2, k3, k4, distance_m) AS r
 FROM {{segments}} WHERE duration_s >= 60 AND distance_m / duration_s <= (CASE mode {_CEILING} END) / 3.6) x WHERE r = 1""")
 _CHAIN = """
 a AS (SELECT *, CASE WHEN lag(mode) OVER w = mode AND mode <> 'flying' AND start_ts - lag(end_ts) OVER w <= 7200 THEN 0 ELSE 1 END AS new FROM {segments} WINDOW w AS (ORDER BY start_ts, k1, k2, k3, k4, distance_m)),
