@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
-from tracemill.llm.common import scratch_path
+from tracemill.llm.common import BLANKS, scratch_path
 from tracemill.llm.queries import fold
 
 
@@ -21,10 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in the smallest doc_id only; documents that had nothing else go."""
+    """Repeated lines stay in the smallest doc_id only; documents that had nothing else but white space go."""
     dedup = line_dedup.LineDedup(spark)
     dedup.insert(docs)
-    done = dedup.clean(docs).where("n_dropped = 0 or trim(kept_text) <> ''")
+    done = dedup.clean(docs).where((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
     done = done.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -47,7 +47,7 @@ def test_pipeline(spark, tmp_path):
         if i % 9 == 5:
             text = shared + "\n" + text
         rows.append((i, ["b", "a", None, "c"][i % 4], text))
-    rows += [(90, "a", None), (91, "a", "123 456"), (92, "b", shared), (93, "c", rows[0][2])]
+    rows += [(90, "a", None), (91, "a", "123 456"), (92, "b", shared), (93, "c", rows[0][2]), (94, "a", f"{shared}\n\n\t\n{shared}")]
     docs = spark.createDataFrame([(d, t, None if d % 7 == 0 else ("en" if d % 2 else "de"), s, len(t or "")) for d, s, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
