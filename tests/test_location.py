@@ -254,3 +254,12 @@ def test_routes_via_hubs(spark, tmp_path):
     asked = spark.createDataFrame([(1, 50.0, 0.0, 50.1, 0.0), (2, 50.0, 0.0, 50.8, 0.0), (3, 50.0, 0.0, 58.0, 0.0)], "id long, lat1 double, lon1 double, lat2 double, lon2 double")
     got = {r["id"]: (len(r["path"]), round(r["metres"])) for r in routing.via_hubs(asked, hubs, direct, keep).collect()}
     assert got == {1: (2, 11119), 2: (5, 88956)}
+
+
+def test_home_periods_of_any_number(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Other places", 50.0, 1.0), (2, "Other places", 50.02, 1.0), (3, "Shopping", 50.0, 1.0), (4, "Other places", None, None)], "id long, category string, lat double, lon double")
+    periods = spark.createDataFrame([(50.0, 1.001, 200.0), (50.0, 1.002, 300.0), (50.02, 1.01, 100.0)], "lat double, lon double, radius_m double")
+    for few in (1000, 0):
+        monkeypatch.setattr(places, "FEW_PERIODS", few)
+        got = {r["id"]: r["category"] for r in places.home_tagged(rows, periods).collect()}
+        assert got == {1: "Home", 2: "Other places", 3: "Shopping", 4: "Other places"}

@@ -43,10 +43,24 @@ def greedy_clusters(places: DataFrame, radius: float = PLACE_RADIUS) -> DataFram
     return named.groupBy("name", "city").applyInPandas(cluster, "id long, keeper long")
 
 
+#: So many home periods are sent to the tasks; more of them meet the points through grid cells.
+FEW_PERIODS = 1000
+
+
+def in_periods(points: DataFrame, periods: DataFrame) -> DataFrame:
+    """Points (lat, lon and more) joined to each period (hlat, hlon, radius_m and more) whose radius they are in."""
+    n, widest = periods.agg(F.count("*"), F.max("radius_m")).first()
+    within = metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m")
+    if n <= FEW_PERIODS:
+        return points.join(F.broadcast(periods), within)
+    around = periods.withColumnsRenamed({"hlat": "lat", "hlon": "lon"})
+    return radius_join(points, around, widest or 1.0, {"lat": "hlat", "lon": "hlon"}).where("metres <= radius_m").drop("metres")
+
+
 def home_tagged(places: DataFrame, periods: DataFrame, generic: tuple = ("Other places", "Streets and roads")) -> DataFrame:
     """Generic places inside the radius of any home period become Home."""
     p = periods.select(F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
-    inside = places.where(F.col("category").isin(*generic)).join(F.broadcast(p.limit(1000)), metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m"), "left_semi").select("id", F.lit("Home").alias("__h"))
+    inside = in_periods(places.where(F.col("category").isin(*generic)).select("id", "lat", "lon"), p).select("id", F.lit("Home").alias("__h")).distinct()
     return places.join(inside, "id", "left").withColumn("category", F.coalesce("__h", "category")).select(*places.columns)
 
 
@@ -83,7 +97,7 @@ def resolved(visits: DataFrame, places: DataFrame, periods: DataFrame) -> DataFr
     p = periods.select(F.col("id").alias("period"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
     homes = places.where("category = 'Home'").select(F.col("id").alias("home_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     home_of = p.join(homes, metres("hlat", "hlon", "plat", "plon") <= F.col("radius_m")).groupBy("period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
-    at_home = visits.join(F.broadcast(home_of.limit(1000)), metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m")).groupBy("id").agg(F.min_by("home_id", "period").alias("p3"))
+    at_home = in_periods(visits.select("id", "lat", "lon"), home_of).groupBy("id").agg(F.min_by("home_id", "period").alias("p3"))
     out = visits.withColumns({"k1": key("lat"), "k2": key("lon")}).join(by_key, "place_key", "left").join(by_spot, ["k1", "k2"], "left").join(at_home, "id", "left")
     return out.select(*visits.columns, F.coalesce("p1", "p2", "p3").alias("place_id"))
 
