@@ -324,6 +324,24 @@ def test_span_dedup(spark):
     assert span_dedup.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_span_dedup_rulers_and_tails(spark):
+    rng = random.Random(12)
+    s = [prose(rng, 12).capitalize() + "." for _ in range(8)]
+    tail = " ".join(s[4:7]) + " So it goes. That was all."
+    texts = [
+        f"---\n{s[0]}\n{s[1]}\n{s[2]}",
+        f"***\n|\n{s[3]}\n---\n{prose(rng, 12)}.",
+        f"{prose(rng, 12)}. {tail} {prose(rng, 12)}.",
+        f"{prose(rng, 12)}. {tail} {s[7]}",
+        f"{prose(rng, 12)}. {s[1]}\n---\n{s[2]}",
+    ]
+    got = {r["doc_id"]: r for r in span_dedup.without_repeats(docs(spark, texts)).collect()}
+    assert all(got[i]["kept_text"] == texts[i] and got[i]["n_removed"] == 0 for i in (0, 1, 2))
+    assert got[3]["kept_text"] == texts[3].replace(tail + " ", "") and got[3]["first_docs"] == [2]
+    assert got[4]["kept_text"] == texts[4][: texts[4].index(s[1])] and got[4]["n_removed"] == 3
+    assert span_dedup.sentences("你好。再见！好吗？क्या। हाँ") == ["你好。", "再见！", "好吗？", "क्या। ", "हाँ"]
+
+
 # -- personal data ---------------------------------------------------------------------------------
 
 PLAIN = {
