@@ -297,6 +297,19 @@ def test_decontamination(spark):
     assert all(r["leaks"] == [] for r in decontaminate.with_leaks(docs(spark, texts), bench.limit(0)).collect())
 
 
+def test_decontamination_of_neighbouring_lengths():
+    rng = random.Random(21)
+    for short, long in ((9, 10), (14, 15), (19, 20)):
+        items = [[f"w{n}x{i}" for i in range(n)] for n in (short, long)]
+        block = decontaminate.Block(list(enumerate(items)), 0.8)
+        assert len(block.classes) == 1 and block.allowed(long) == block.allowed(short) + 1
+        copy = list(items[1])
+        for i in range(block.allowed(long)):
+            copy[2 + 4 * i] = f"changed{i}"
+        texts = [" ".join([f"a{rng.random()}" for _ in range(30)] + copy + [f"b{rng.random()}" for _ in range(30)]) for _ in range(3)]
+        assert [[x["item_id"] for x in found] for found in block.leaks(texts)] == [[1]] * 3
+
+
 # -- spans -----------------------------------------------------------------------------------------
 
 

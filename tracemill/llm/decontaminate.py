@@ -100,8 +100,9 @@ class Block:
                         found[int(self._key(wrote[:, np.searchsorted(wanted, sample)], s)[0])].append(k)
                 keys = np.array(sorted(found), np.int64)
                 walks.append((bits, samples, wanted, keys, [found[int(x)] for x in keys]))
-            most = self.allowed(low)
-            self.classes.append((low, high + self.allowed(high), max(1, low - 1 - 2 * most), walks))
+            lengths = [len(self.items[k]) for k in members]
+            least = min(n - 1 - 2 * self.allowed(n) for n in lengths)  # falls where allowed() steps up, so not always that of low
+            self.classes.append((low, high + self.allowed(high), max(1, least), walks))
         self.least = min((c[2] for c in self.classes), default=0)
 
     def allowed(self, n: int) -> int:
