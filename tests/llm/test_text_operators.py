@@ -425,6 +425,25 @@ def test_quote_linking(spark):
     assert quote_linking.linked(df.limit(0)).count() == 0
 
 
+def test_quote_linking_of_deep_and_short_quotes(spark):
+    rows = [
+        (5, 0, "a", "The build fails on the second machine"),
+        (5, 1, "b", "> The build fails on the second machine\nWhich one?"),
+        (5, 2, "c", ">> The build fails on the second machine\n> a passage that was edited\nThe old one"),
+        (5, 3, "a", "> Which one?\nThe left"),
+        (5, 4, "b", ">> Which one?\n> The left\nThanks"),
+        (6, 0, "a", "你好吗"), (6, 1, "b", "> 你好吗\n今天的天气真的很好"),
+        (7, 0, "e", "> Which one?\nwho knows"), (7, 1, "e", "> 今天的天气真的很好\n是"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quote_linking.linked(df).collect()}
+    parents = {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items() if r["parent_conv"] is not None}
+    assert parents == {(5, 1): (5, 0), (5, 2): (5, 0), (5, 3): (5, 1), (5, 4): (5, 3), (6, 1): (6, 0), (7, 1): (6, 1)}
+    links = {k: [tuple(x) for x in r["links"]] for k, r in got.items() if r["links"]}
+    assert links == {**{k: [(1, *v)] for k, v in parents.items()}, (5, 2): [(2, 5, 0)], (5, 4): [(1, 5, 3), (2, 5, 1)]}
+    assert got[5, 4]["depth"] == 3 and got[5, 2]["depth"] == 1
+
+
 @pytest.mark.parametrize("text", ["a b  c\t\x0bd", "", None, " \n", "x\x85y\xa0z"])
 def test_word_count(spark, text):
     from tracemill.llm.common import word_count

@@ -5,12 +5,14 @@ A message's lines carry quote levels (leading > marks, blanks between them allow
 every line of them, are normalised (lower-cased words) and hashed, and so are the own passages and lines of all messages; the
 hashes are joined, and each level's original is the earlier message that shares most words with it: first within the
 conversation, then, for passages found nowhere in it, the first message anywhere that holds them.
-The message of the innermost level 1 quote is the parent. Parents are earlier messages by (conv_id, turn), so replies form trees;
+The original of the shallowest level that has one is the parent (of level 1, unless that is not found); the originals of all levels
+are the links of a message. Parents are earlier messages by (conv_id, turn), so replies form trees;
 root and depth come from pointer jumping. A message without a resolved quote starts a tree; within a conversation
 the order is that of turns, which is a reply order: no message stands before the one it answers.
 
 Defined cases: null or empty texts have no lines; quotes whose original is not found stay recorded (n_quotes) but link nothing;
-several originals tie to the latest earlier turn; passages under min_words words link nothing; repeated rows of one (conv_id, turn)
+several originals tie to the latest earlier turn; passages under min_words words (where scripts have no blanks, two characters count
+as a word) link within their conversation only; repeated rows of one (conv_id, turn)
 are one message, of which the greatest text counts; rows without conv_id or turn are left out; an empty table gives
 an empty result.
 """
@@ -68,37 +70,45 @@ def passages(lines: Column) -> Column:
     return F.array_distinct(F.concat(whole, single))
 
 
+def _n_words(key: Column) -> Column:
+    dense = F.char_length(F.regexp_replace(key, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]", ""))
+    return F.greatest(F.size(F.split(key, " ")), F.floor(dense / 2).cast("int"))
+
+
 def linked(conversations: DataFrame, min_words: int = 3) -> DataFrame:
-    """conversations: conv_id, turn, role, text. Returns conv_id, turn, role, own_text, n_quotes, parent_conv, parent_turn, root_conv, root_turn, depth."""
+    """conversations: conv_id, turn, role, text. Returns conv_id, turn, role, own_text, n_quotes, parent_conv, parent_turn, root_conv, root_turn, depth, links (array of level, conv_id, turn)."""
     known = conversations.where("conv_id is not null and turn is not null")
     one = known.groupBy("conv_id", "turn").agg(F.max("text").alias("text"), F.max_by("role", F.coalesce("text", F.lit(""))).alias("role"))
     rows = stored(levelled(one).select("conv_id", "turn", "role", own_text(F.col("lines")).alias("own_text"), F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).alias("n_levels"), passages(F.col("lines")).alias("passages")), "quote-messages")
 
     hashed = rows.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", _norm(F.col("p.text")).alias("key"))
-    hashed = hashed.withColumn("words", F.size(F.split("key", " "))).where((F.col("key") != "") & (F.col("words") >= min_words))
+    hashed = hashed.where(F.col("key") != "").withColumn("words", _n_words(F.col("key")))
     hashed = stored(hashed.select("conv_id", "turn", "level", "words", hash128(F.col("key")).alias("h")).select("conv_id", "turn", "level", "words", "h.h1", "h.h2").distinct(), "quote-hashes")
-    quotes = hashed.where("level = 1")
+    quotes = hashed.where("level > 0")
     if quotes.isEmpty():
-        best = quotes.select("conv_id", "turn", F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"))
+        best = quotes.select("conv_id", "turn", "level", F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"))
     else:
         wanted = quotes.select("h1", "h2").distinct()
         own = stored(hashed.where("level = 0").select("conv_id", F.col("turn").alias("from_turn"), "h1", "h2").join(wanted, ["h1", "h2"], "left_semi"), "quote-originals")
         # the latest earlier turn of the conversation that holds the passage: one row a quote, however common the passage is
-        near = quotes.join(own, ["conv_id", "h1", "h2"]).where("from_turn < turn").groupBy("conv_id", "turn", "words", "h1", "h2").agg(F.max("from_turn").alias("parent_turn")).withColumn("parent_conv", F.col("conv_id"))
+        near = quotes.join(own, ["conv_id", "h1", "h2"]).where("from_turn < turn").groupBy("conv_id", "turn", "level", "words", "h1", "h2").agg(F.max("from_turn").alias("parent_turn")).withColumn("parent_conv", F.col("conv_id"))
         near = stored(near, "quote-near")
         first = own.groupBy("h1", "h2").agg(F.min(F.struct(F.col("conv_id").alias("c"), F.col("from_turn").alias("t"))).alias("first"))
-        rest = quotes.join(near.select("conv_id", "turn", "h1", "h2"), ["conv_id", "turn", "h1", "h2"], "left_anti").join(stored(first, "quote-first"), ["h1", "h2"])
+        rest = quotes.where(F.col("words") >= min_words).join(near.select("conv_id", "turn", "h1", "h2"), ["conv_id", "turn", "h1", "h2"], "left_anti").join(stored(first, "quote-first"), ["h1", "h2"])
         far = rest.where((F.col("first.c") < F.col("conv_id")) | ((F.col("first.c") == F.col("conv_id")) & (F.col("first.t") < F.col("turn"))))
-        both = near.select("conv_id", "turn", "words", "parent_conv", "parent_turn").unionByName(far.select("conv_id", "turn", "words", F.col("first.c").alias("parent_conv"), F.col("first.t").alias("parent_turn")))
-        votes = both.groupBy("conv_id", "turn", "parent_conv", "parent_turn").agg(F.sum("words").alias("words"))
+        both = near.select("conv_id", "turn", "level", "words", "parent_conv", "parent_turn").unionByName(far.select("conv_id", "turn", "level", "words", F.col("first.c").alias("parent_conv"), F.col("first.t").alias("parent_turn")))
+        votes = both.groupBy("conv_id", "turn", "level", "parent_conv", "parent_turn").agg(F.sum("words").alias("words"))
         rank = F.struct("words", (F.col("parent_conv") == F.col("conv_id")).cast("int"), "parent_conv", "parent_turn")
-        best = votes.groupBy("conv_id", "turn").agg(F.max_by(F.struct("parent_conv", "parent_turn"), rank).alias("p")).select("conv_id", "turn", "p.*")
-    parents = stored(best, "quote-parents")
-    trees = rooted(parents)
+        best = votes.groupBy("conv_id", "turn", "level").agg(F.max_by(F.struct("parent_conv", "parent_turn"), rank).alias("p")).select("conv_id", "turn", "level", "p.*")
+    links = F.array_sort(F.collect_list(F.struct("level", F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))))
+    parents = best.groupBy("conv_id", "turn").agg(F.min_by(F.struct("parent_conv", "parent_turn"), "level").alias("p"), links.alias("links")).select("conv_id", "turn", "p.*", "links")
+    parents = stored(parents, "quote-parents")
+    trees = rooted(parents.drop("links")).join(parents.select("conv_id", "turn", "links"), ["conv_id", "turn"])
     return (
         rows.select("conv_id", "turn", "role", "own_text", "n_levels").join(trees, ["conv_id", "turn"], "left")
         .select("conv_id", "turn", "role", "own_text", F.col("n_levels").alias("n_quotes"), "parent_conv", "parent_turn",
-                F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+                F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+                F.coalesce("links", F.array()).alias("links"))
     )
 
 
