@@ -275,6 +275,20 @@ def test_near_classes_of_a_large_group(spark):
 # -- decontamination -------------------------------------------------------------------------------
 
 
+def test_near_pairs_of_large_buckets(spark):
+    """Texts of one template, all far apart but for pairs that share the buckets of the template only."""
+    rng = random.Random(31)
+    template, texts = prose(rng, 40), []
+    for i in range(300):
+        own = [f"t{i}w{k}" for k in range(80)]
+        texts.append(f"{template} {' '.join(own)}")
+        if i % 20 == 0:
+            texts.append(f"{template} {' '.join('x' + w if k % 5 == 2 else w for k, w in enumerate(own))}")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    first = {}
+    assert got == {i: first.setdefault(t.split()[40], i) for i, t in enumerate(texts)}
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, n)) for i, n in enumerate((6, 15, 30, 60))] + [(9, "too few words"), (10, None), (11, "")]

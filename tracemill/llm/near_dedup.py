@@ -6,9 +6,9 @@ that both the words and their order agree. Texts with a sketch value in common a
 if the word edit distance is at most (1 - similarity) of the longer one. Classes are the connected components.
 
 Exact copies (equal word sequences) are one text from the start. A bucket's members are first compared with one
-leader each, and only what is still apart is looked at again: against the bucket's other end, then all pairs where a
-bucket is small, and where it is large, all pairs of its parts under further sketch values (parts that
-stay large again by leaders). A group of thousands of copies costs one alignment a copy.
+leader each, and only what is still apart is looked at again: against the bucket's other end, then against more and more
+leaders, until no bucket holds two components of which a pair (of like length) is untried. A group of thousands of copies costs one
+alignment a copy; a bucket of texts that are all far apart costs one for each of its pairs.
 
 Defined cases: null, empty or word-less texts are classes of their own; texts under five words are linked to equal
 ones only (as are any that have no two five-word runs in common); rows of one doc_id are one document; rows without doc_id have a null class; an empty table gives an
@@ -31,7 +31,7 @@ from .common import python_ready, stored
 from .graph import components
 
 SKETCHES, KMER = 64, 5
-#: Buckets of up to so many texts are compared pair by pair.
+#: Buckets of up to so many texts are compared pair by pair at once; larger ones have so many leaders (on average) in their first round.
 SMALL = 12
 #: Pair lists of up to so many rows are sent to the tasks instead of shuffling all texts.
 BROADCAST_PAIRS = 500_000
@@ -194,20 +194,13 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     # then against both ends of every bucket that still holds different components
     rows = linking.open(shared.select("bucket", "doc"))
     linking.round(_stars(rows))
-    # then all that is left in pairs
-    rows = linking.open(rows.select("bucket", "doc"))
-    pairs = _pairs(rows)
-    large = rows.where(F.col("size") > SMALL).select("bucket", "doc")
-    if not large.isEmpty():
-        large = stored(large.join(reps.select("doc", "sketch"), "doc"), "near-large")
-        for step in (1, 2):
-            at = F.array_position("sketch", F.col("bucket"))  # 1-based; the step-th sketch after it
-            key = F.xxhash64("bucket", *[F.get("sketch", ((at - 1 + s) % SKETCHES).cast("int")) for s in range(1, step + 1)])
-            part = linking.open(large.select(key.alias("bucket"), "doc"))
-            pairs = pairs.unionByName(_pairs(part))
-            if step == 2:
-                pairs = pairs.unionByName(_stars(part.where(F.col("size") > SMALL)))
-    linking.round(pairs)
+    # then all that is left: each text of a bucket against more leaders every round; leaders have then been compared with all and leave
+    rows, leaders = linking.open(rows.select("bucket", "doc").join(_small(sizes), "doc")), SMALL
+    while not rows.isEmpty():
+        share = F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(1 << 30)) / (1 << 30)  # the same texts lead in buckets of like size
+        rows = stored(rows.withColumn("leads", share * F.col("size") < leaders), "near-led")
+        linking.round(_led(rows, similarity))
+        rows, leaders = linking.open(rows.where("not leads").select("bucket", "doc", "n")), leaders * 4
 
     degree = linking.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     found = firsts.join(_small(linking.labels), "doc", "left").join(_small(stored(degree, "near-degrees")), "doc", "left")
@@ -217,9 +210,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return out.select("doc_id", mine.alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in the buckets of at most SMALL rows (bucket, doc, comp, size)."""
-    rows = rows.where(F.col("size") <= SMALL)
-    left = rows.select("bucket", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-    right = rows.select("bucket", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
+def _led(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each leader of a bucket with the bucket's rows (bucket, doc, n, comp, leads) of other components and of like length."""
+    left = _small(stored(rows.where("leads").select("bucket", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("an")), "near-leaders"))
+    right = rows.select("bucket", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("bn"))
+    return right.join(left, "bucket").where((F.col("ca") != F.col("cb")) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
