@@ -263,3 +263,48 @@ def test_home_periods_of_any_number(spark, monkeypatch):
         monkeypatch.setattr(places, "FEW_PERIODS", few)
         got = {r["id"]: r["category"] for r in places.home_tagged(rows, periods).collect()}
         assert got == {1: "Home", 2: "Other places", 3: "Shopping", 4: "Other places"}
+
+
+def test_routes_via_hubs_of_any_number(spark, tmp_path):
+    n = iter(range(10_000))
+    keep = lambda df: (df.write.parquet(p := str(tmp_path / f"m{next(n)}")), spark.read.schema(df.schema).parquet(p))[1]
+    direct = lambda legs: legs.where(F.abs(F.col("lat2") - F.col("lat1")) <= 0.2001).select("leg", geo.metres("lat1", "lon1", "lat2", "lon2").alias("metres"), F.array(F.col("lat1").cast("string"), F.col("lat2").cast("string")).alias("path"))
+    hubs = spark.createDataFrame([(f"far{i}", 50.2, 30.0) for i in range(1500)] + [("z", 50.2, 0.0)], "hub string, hlat double, hlon double").coalesce(1)
+    asked = spark.createDataFrame([(1, 50.0, 0.0, 50.4, 0.0)], "id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    assert [len(r["path"]) for r in routing.via_hubs(asked, hubs, direct, keep).collect()] == [3]
+
+
+def test_rail_route_of_all_places(spark):
+    """Against plain shortest paths between the nearest grid nodes of all places."""
+    import heapq
+    from math import asin, cos, radians, sin, sqrt
+
+    from tracemill.plans.fixtures import frame
+    from tracemill.plans.operator_queries import rail_route
+
+    def far(a, b):
+        h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371000 * asin(sqrt(h))
+
+    at = {(i, j): (50 + i * 0.01, j * 0.01) for i in range(12) for j in range(12)}
+    near = {(i, j): [n for n in ((i, j - 1), (i, j + 1), *(((i - 1, j), (i + 1, j)) if j % 3 == 0 else ())) if n in at] for i, j in at}
+    snapped, tied = [], set()
+    for r in frame(spark, "/root/testdata/sf0.001", "places").orderBy("id").collect():
+        first, second = sorted((far((float(r["lat"]), float(r["lon"])), p), n) for n, p in at.items())[:2]
+        if first[0] <= 2000:
+            snapped.append((r["id"], first[1]))
+            if second[0] - first[0] < 0.001:
+                tied.add(r["id"])  # which of two nodes as near is taken depends on rounding
+    want = {}
+    for (id_, src), (next_, dst) in zip(snapped, snapped[1:], strict=False):
+        best, heap = {}, [(0.0, src)]
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = d
+                for m in near[n]:
+                    heapq.heappush(heap, (d + far(at[n], at[m]), m))
+        want[id_] = best[dst] if not {id_, next_} & tied else None
+    got = {r["id"]: r["metres"] for r in rail_route(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(want) and len(got) > 20
+    assert sum(w is not None for w in want.values()) > 20 and all(abs(got[i] - w) < 0.2 for i, w in want.items() if w is not None)

@@ -31,14 +31,14 @@ def snapped(points: DataFrame, nodes: DataFrame, radius: float = 2000.0) -> Data
     return met.groupBy("id").agg(F.min_by("node", F.struct("metres", "node")).alias("node"), F.min("metres").alias("snap_m"))
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, stored, rounds: int = 500) -> DataFrame:
+def shortest_paths(requests: DataFrame, edges: DataFrame, stored) -> DataFrame:
     """requests: id, src, dst. Returns id, metres, path (nodes) where dst is reached.
 
     All requests grow together: each round joins the nodes that improved last with the edges and keeps the best distance per
-    (request, node); nodes beyond the best known distance to the target are not grown. `stored` writes a round's table and reads it back.
+    (request, node), until none improves; nodes beyond the best known distance to the target are not grown. `stored` writes a round's table and reads it back.
     """
     best = stored(requests.select("id", F.col("src").alias("node"), "dst", F.lit(0.0).alias("metres"), F.array("src").alias("path"), F.lit(True).alias("fresh")))
-    for _ in range(rounds):
+    while True:
         goal = best.where("node = dst").select("id", F.col("metres").alias("bound"))
         front = best.where("fresh").join(goal, "id", "left").where("bound is null or metres < bound")
         e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("metres").alias("step"))
@@ -51,7 +51,7 @@ def shortest_paths(requests: DataFrame, edges: DataFrame, stored, rounds: int =
 
 
 def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3, least_m: float = 5000.0, detour: float = 1.6) -> DataFrame:
-    """requests: id, lat1, lon1, lat2, lon2; hubs: hub, hlat, hlon (a handful). Returns id, metres, path where every leg is found.
+    """requests: id, lat1, lon1, lat2, lon2; hubs: hub, hlat, hlon. Returns id, metres, path where every leg is found.
 
     route(legs) answers leg, metres, path for the legs (leg, lat1 ... lon2) that have a direct route. The others are split at the hub
     between their ends that leaves the shortest longest half, all legs of a level in one batch, at most `hops` levels deep.
@@ -68,7 +68,7 @@ def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3,
             break
         d = metres("lat1", "lon1", "lat2", "lon2")
         d1, d2 = metres("lat1", "lon1", "hlat", "hlon"), metres("hlat", "hlon", "lat2", "lon2")
-        tried = missed.join(F.broadcast(hubs.limit(1000))).withColumns({"d": d, "d1": d1, "d2": d2})
+        tried = missed.crossJoin(hubs).withColumns({"d": d, "d1": d1, "d2": d2})
         fits = tried.where((F.greatest("d1", "d2") < F.col("d")) & (F.least("d1", "d2") >= least_m) & (F.col("d1") + F.col("d2") <= F.col("d") * detour))
         best = fits.groupBy("id", "place", *ends).agg(F.min_by(F.struct("hlat", "hlon"), F.struct(F.greatest("d1", "d2"), "hub")).alias("h"))
         halves = F.explode(F.array(

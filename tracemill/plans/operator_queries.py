@@ -240,14 +240,14 @@ def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op("rail_route")
 def rail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest paths on a grid of ways, one way for each row and column, between places snapped to it."""
+    """Shortest paths on a grid of ways, one way for each row and column, between all places snapped to it."""
     line = lambda s: F.transform(F.sequence(F.lit(0), F.lit(11)), s)
     rows = spark.range(12).select(F.col("id").alias("way_id"), line(lambda x: F.struct((F.lit(50.0) + F.col("id") * 0.01).alias("lat"), (x * 0.01).alias("lon"))).alias("geometry"))
     cols = spark.range(0, 12, 3).select((F.col("id") + 100).alias("way_id"), line(lambda x: F.struct((F.lit(50.0) + x * 0.01).alias("lat"), (F.col("id") * 0.01).alias("lon"))).alias("geometry"))
     keep = keeper(spark, "rail")
     ways = keep(rows.unionByName(cols))
     edges, nodes = keep(routing.edges_of(ways)), keep(routing.nodes_of(ways))
-    some = frame(spark, sf_dir, "places").select("id", "lat", "lon").where("lat < 50.12 and lon < 0.12").orderBy("id").limit(20)
+    some = frame(spark, sf_dir, "places").select("id", "lat", "lon")
     at = keep(routing.snapped(some, nodes))
     ends = at.select("id", F.col("node").alias("src")).withColumn("next", F.lead("src").over(Window.orderBy("id")))
     requests = ends.where("next is not null").select("id", "src", F.col("next").alias("dst"))
