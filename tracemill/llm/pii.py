@@ -1,19 +1,22 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans are the matches of four patterns (email, ip, card, phone) that pass their checks. They are the seeds of
-the bootstrap: the word before a seed and what the seed looks like form a lexical pattern (kind, word before, shape). Other
-identifier-like words are candidates, seen by the same kind of context. Patterns and instances form a bipartite
-graph that is scored in rounds, each one join and aggregation:
+the bootstrap, with long hexadecimal words as seeds of a further kind, secret, which has no base spans. Other
+identifier-like words (among them groups of digits parted by blanks) are candidates. What stands around a seed makes lexical
+patterns: the word before, with what stands between (`token = "`), two words before, the words before and after, each without
+regard to what the identifier looks like, and the word before together with the shape (characters and length). Patterns and
+instances form a bipartite graph that is scored in rounds, each one join and aggregation:
 
 * confidence of a pattern = confident instances it holds / all instances it holds (shrunk by one unseen miss);
-* confidence of an instance of a kind = 1 - product of (1 - confidence) over the patterns of the kind that hold it;
+* confidence of an instance of a kind = that of its best pattern of the kind (patterns of one place are nested, so they don't add up);
 * instances at or above `accept` join the seeds of the next round.
 
-A pattern counts only with min_support different seed instances. After the last round every candidate held by an accepted
-pattern is a span of the pattern's kind.
+A pattern counts only with min_support different seed instances. After the last round every candidate (and secret seed) held by an
+accepted pattern is a span of the pattern's kind.
 
 Defined cases: null and empty texts have no spans; equal documents get equal spans; a tie between kinds for a candidate goes to
-the higher confidence, then the kind listed first; rows without doc_id are reported like others; an empty table gives an empty result.
+the higher confidence, then the kind listed first; rows without doc_id and repeated rows are reported like others; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: A kind that only the bootstrap finds, and what its seeds look like.
+SECRET, SECRET_SEED = len(KINDS), r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,64}$"
+NAMES = (*KINDS, "secret")
 
 #: The base patterns. Possessive quantifiers and the look-behind only keep them linear on long runs; matches are
 #: those of the plain forms, since a run that fails from its start (or from the last match) fails from every later start.
@@ -36,8 +42,12 @@ PATTERNS = {
 #: A text without these characters has no match of the kind: skips the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
-#: An identifier-like word: six characters or more with an at sign or four digits, after white space, a bracket or a quote.
-CANDIDATE = r"(?<![^\x20\x09-\x0D(\[\"'])(?=[^\x20\x09-\x0D]{0,64}@|(?:[^0-9\x20\x09-\x0D]{0,16}[0-9]){4})[A-Za-z0-9+][A-Za-z0-9._%+@()-]{4,62}[A-Za-z0-9]"
+#: An identifier-like word: groups of digits parted by single blanks, or six characters or more with an at sign or four digits;
+#: after white space, a bracket or a quote.
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D(\[\"'])(?:[0-9]{2,6}(?:\x20[0-9]{2,6}){1,5}(?![0-9A-Za-z])"
+    r"|(?=[^\x20\x09-\x0D]{0,64}@|(?:[^0-9\x20\x09-\x0D]{0,16}[0-9]){4})[A-Za-z0-9+][A-Za-z0-9._%+@()-]{4,126}[A-Za-z0-9])"
+)
 
 
 def _located(text: Column, pattern: str, kind: int) -> Column:
@@ -103,60 +113,72 @@ def base_spans(text: Column) -> Column:
 
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def shape(value: Column) -> Column:
-    """What an identifier looks like: at, plus, dotted, number; mixed holds letters and is none of these."""
-    return (
+    """What an identifier looks like (at, plus, dotted, number, groups; mixed holds letters and is none of these) and its length in fours."""
+    look = (
         F.when(F.contains(value, F.lit("@")), "at").when(F.startswith(value, F.lit("+")), "plus")
-        .when(value.rlike("[A-Za-z]"), "mixed").when(value.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), "dotted").otherwise("number")
+        .when(value.rlike("[A-Za-z]"), "mixed").when(value.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), "dotted").when(F.contains(value, F.lit(" ")), "groups").otherwise("number")
     )
+    return F.concat(look, F.ceil(F.char_length(value) / 4).cast("string"))
 
 
-def word_before(text: Column, start: Column) -> Column:
-    """The word before a position without its outer punctuation, lower-cased; looks back over at most 64 characters."""
-    head = F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
-    return F.lower(F.regexp_extract(head, r"([\p{L}\p{N}_]+)[^\p{L}\p{N}]*$", 1))
+def _around(text: Column, start: Column, end: Column) -> Column:
+    """Up to 64 characters on both sides of a span, as a struct of lower-cased before and after."""
+    before = F.substring(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
+    return F.struct(F.lower(before).alias("before"), F.lower(F.substring(text, end + 1, F.lit(64))).alias("after"))
+
+
+def lexical(before: Column, after: Column, looks: Column) -> Column:
+    """The patterns that hold an identifier, as texts; none where no word stands before."""
+    word = F.regexp_extract(before, r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1)
+    close = F.btrim(F.regexp_replace(F.regexp_extract(before, r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]*)$", 1), r"[\x20\x09-\x0D]+", " "))
+    two = F.regexp_replace(F.regexp_extract(before, r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1), r"[^\p{L}\p{N}_]+", " ")
+    following = F.regexp_extract(after, r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1)
+    made = F.array(
+        F.concat(F.lit("word "), close), F.when(two != "", F.concat(F.lit("two "), two)),
+        F.when(following != "", F.concat(F.lit("both "), word, F.lit(" _ "), following)), F.concat(F.lit("shape "), word, F.lit(" "), looks),
+    )
+    return F.when(word != "", F.array_compact(made)).otherwise(F.array().cast("array<string>"))
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """docs (uid, text, base) as one row per seed or candidate: uid, kind (null for candidates), start, end, value, before, shape."""
+    """docs (uid, text, base) as one row per seed or candidate: uid, kind (null for candidates), start, end, value, patterns."""
+
     def rows(spans: Column) -> DataFrame:
-        seen = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word_before(F.col("text"), s["start"]).alias("before"), shape(s["value"]).alias("shape")))
+        seen = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _around(F.col("text"), s["start"], s["end"]).alias("around")))
         return docs.select("uid", F.explode(seen).alias("s")).select("uid", "s.*")
 
     clear = F.filter(
         F.when(F.col("text").rlike("@|[0-9]"), _located(F.col("text"), CANDIDATE, -1)).otherwise(F.array().cast(SPAN)),
         lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])),
     )
-    seen = rows(F.concat(F.col("base"), clear)).withColumn("kind", F.when(F.col("kind") >= 0, F.col("kind")))
-    return seen.where("kind is not null or shape <> 'mixed'")
+    kind = F.when(F.col("kind") >= 0, F.col("kind")).when(F.col("value").rlike(SECRET_SEED), F.lit(SECRET))
+    return rows(F.concat(F.col("base"), clear)).select("uid", kind.alias("kind"), "start", "end", "value", lexical(F.col("around.before"), F.col("around.after"), shape(F.col("value"))).alias("patterns"))
 
 
 def bootstrapped(seen: DataFrame, rounds: int = 3, accept: float = 0.8, min_support: int = 3) -> DataFrame:
     """The spans that contexts add: uid, kind, start, end, value. seen: as from contexts()."""
-    links = seen.where(F.col("before") != "").groupBy("before", "shape", "value", "kind").agg(F.count("*").alias("n"))
-    links = stored(links, "pii-links")
+    links = stored(seen.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "pii-links")
     seeds = stored(links.where("kind is not null").select("kind", "value").distinct().withColumn("conf", F.lit(1.0)), "pii-seeds")
-    held = stored(links.groupBy("before", "shape").agg(F.count_distinct("value").alias("instances")), "pii-held")
-    edges = links.select("before", "shape", "value").distinct()
+    edges = stored(links.select("pattern", "value").distinct(), "pii-edges")
+    held = stored(edges.groupBy("pattern").agg(F.count("*").alias("instances")), "pii-held")
     for _ in range(rounds):
-        known = edges.join(seeds, "value").groupBy("before", "shape", "kind").agg(F.sum("conf").alias("good"), F.count("*").alias("support"))
-        pattern = stored(known.where(F.col("support") >= min_support).join(held, ["before", "shape"]).withColumn("conf", F.col("good") / (F.col("instances") + 1)).select("before", "shape", "kind", "conf"), "pii-patterns")
-        if pattern.isEmpty():
-            break
-        instance = links.where("kind is null").join(pattern.withColumnRenamed("kind", "k"), ["before", "shape"]).groupBy("value", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("conf"))
-        grown = instance.where(F.col("conf") >= accept).select(F.col("k").alias("kind"), "value", "conf").join(seeds.select("kind", "value"), ["kind", "value"], "left_anti")
-        more = stored(seeds.unionByName(grown), "pii-seeds")
-        done, seeds = grown.isEmpty(), more
+        known = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.sum("conf").alias("good"), F.count("*").alias("support"))
+        pattern = stored(known.where(F.col("support") >= min_support).join(held, "pattern").select("pattern", "kind", (F.col("good") / (F.col("instances") + 1)).alias("conf")), "pii-patterns")
+        instance = links.where("kind is null").select("pattern", "value").join(pattern, "pattern").groupBy("value", "kind").agg(F.max("conf").alias("conf"))
+        grown = instance.where(F.col("conf") >= accept).join(seeds.select("kind", "value"), ["kind", "value"], "left_anti")
+        more = stored(seeds.unionByName(grown.select("kind", "value", "conf")), "pii-seeds")
+        done, seeds = more.count() == seeds.count(), more
         if done:
             break
-    else:
-        pattern = stored(pattern, "pii-patterns")
-    sure = pattern.where(F.col("conf") >= accept).groupBy("before", "shape").agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("k"))
-    return seen.where("kind is null").join(sure, ["before", "shape"]).select("uid", F.col("k").alias("kind"), "start", "end", "value")
+    sure = pattern.where(F.col("conf") >= accept).withColumnRenamed("kind", "k")
+    place = seen.where((F.col("kind").isNull()) | (F.col("kind") == SECRET)).select("uid", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    best = place.join(sure, "pattern").groupBy("uid", "start", "end", "value").agg(F.max_by("k", F.struct("conf", -F.col("k"))).alias("kind"))
+    return best.select("uid", "kind", "start", "end", "value")
 
 
 def found(docs: DataFrame, **options) -> DataFrame:
