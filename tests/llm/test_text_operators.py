@@ -1,6 +1,7 @@
 """Small cases of the text operators: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -502,8 +503,9 @@ def test_quote_linking(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("root_conv", F.lit("x"))
     got = {(r["conv_id"], r["turn"]): r for r in quote_linking.chat(quote_linking.linked(df)).collect()}
     assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 5)}
-    assert [(got[k]["parent_conv"], got[k]["parent_turn"], got[k]["depth"]) for k in ((1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 5))] == [(None, None, 0), (1, 0, 1), (1, 1, 2), (1, 2, 3), (None, None, 0), (None, None, 0)]
-    assert all(got[k]["root_conv"] == 1 and got[k]["root_turn"] == 0 for k in ((1, 1), (1, 2), (2, 0)))
+    assert [(got[k]["parent_conv"], got[k]["parent_turn"], got[k]["depth"]) for k in ((1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 5))] == [(None, None, 0), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 4), (None, None, 0)]
+    assert [(got[k]["root_conv"], got[k]["root_turn"], got[k]["position"]) for k in sorted(got)] == [(1, 0, i) for i in range(1, 6)] + [(3, 5, 1)]
+    assert [got[k]["quoted"] for k in sorted(got)] == [False, True, True, True, False, False]
     assert got[1, 1]["own_text"] == "Use a join.\nOr a union of both" and got[1, 2]["own_text"] == "That worked well" and got[1, 2]["n_quotes"] == 2
     assert got[3, 5]["chat"] == "<|user|>\nok then\n<|end|>"
     assert quote_linking.linked(df.limit(0)).count() == 0
@@ -528,6 +530,68 @@ def test_quote_linking_of_deep_and_short_quotes(spark):
     assert got[5, 4]["depth"] == 3 and got[5, 2]["depth"] == 1
 
 
+def linked_by_hand(rows):
+    """(conv, turn) -> own text, quoted, parent, root, depth, position, with dictionaries in place of joins."""
+    norm = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).strip()
+    own, held, said = {}, {}, {}
+    for conv, turn, _role, text in rows:
+        lines = []
+        for line in (text or "").split("\n"):
+            marks = re.match(r"(?:[ \t]*>)*[ \t]?" if re.match(r"[ \t]*>", line) else "", line).group()
+            lines.append((marks.count(">"), line[len(marks) :]))
+        lines = [(lines[i + 1][0] if i + 1 < len(lines) and lines[i + 1][0] > v and re.match(quote_linking.ATTRIBUTION, t) else v, t) for i, (v, t) in enumerate(lines)]
+        own[conv, turn] = re.sub(r"\n{3,}", "\n\n", "\n".join(t for v, t in lines if v == 0)).strip(" \t\r\n")
+        parts = {(v, norm(t)) for v, t in lines}
+        parts |= {(v, norm(" ".join(t for _, t in run))) for v, run in itertools.groupby(lines, key=lambda x: x[0]) for run in [list(run)]}
+        held[conv, turn] = {k for v, k in parts if v == 0 and k}
+        said[conv, turn] = sorted((v, k) for v, k in parts if v and k)
+    out, spot = {}, {}
+    for m in sorted(own):
+        votes = {}
+        for level, key in said[m]:
+            near = [x for x in own if x[0] == m[0] and x < m and key in held[x]]
+            first = min((x for x in own if key in held[x]), default=None)
+            goal = max(near) if near else first if first and first < m and len(key.split()) >= 3 else None
+            if goal:
+                votes.setdefault(level, {}).setdefault(goal, 0)
+                votes[level][goal] += len(key.split())
+        before = max((x for x in own if x[0] == m[0] and x < m), default=None)
+        parent = max(votes[min(votes)].items(), key=lambda x: (x[1], x[0][0] == m[0], x[0]))[0] if votes else before
+        root, depth = (out[parent][3], out[parent][4] + 1) if parent else (m, 0)
+        spot[root] = spot.get(root, 0) + 1
+        out[m] = (own[m], bool(votes), parent, root, depth, spot[root])
+    return out
+
+
+def test_quote_linking_against_plain_python(spark):
+    rng, rows = random.Random(17), []
+    for conv in range(25):
+        for turn in sorted(rng.sample(range(40), rng.randint(1, 9))):
+            lines = [prose(rng, rng.randint(1, 9)) for _ in range(rng.randint(1, 4))]
+            if rows and rng.random() < 0.6:
+                mine = [r for r in rows if r[0] == conv] or rows
+                quoted = rng.choice(mine if rng.random() < 0.7 else rows)[3].split("\n")
+                part = quoted[: rng.randint(1, len(quoted))]
+                lines = ([f"x{turn} wrote:"] if rng.random() < 0.5 else []) + [f">{'' if t.startswith('>') else ' '}{t}" for t in part] + lines
+            rows.append((conv, turn, rng.choice("ab"), "\n".join(lines)))
+    rows += [(30, t, "a", f"same words every time {t % 3}" if t % 2 else f"> same words every time {t % 3}\nyes {t}") for t in range(300)]
+    rows += [(31, 0, "a", "\n".join(f"{'>' * (i % 7)} line {i}" for i in range(3000)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"position": F.lit("x"), "quoted": F.lit(1)})
+    done = quote_linking.chat(quote_linking.linked(df.repartition(5)))
+    got = {}
+    for r in done.collect():
+        parent = (r["parent_conv"], r["parent_turn"]) if r["parent_conv"] is not None else None
+        got[r["conv_id"], r["turn"]] = (r["own_text"], r["quoted"], parent, (r["root_conv"], r["root_turn"]), r["depth"], r["position"])
+    want = linked_by_hand(rows)
+    assert got == want
+    parts = quote_linking.conversations(done, most=100).collect()
+    assert sum(r["n_messages"] for r in parts) == len(rows) and max(r["n_messages"] for r in parts) == 100
+    texts = {m: t[0] for m, t in want.items()}
+    for r in parts:
+        members = sorted((w[5], m) for m, w in want.items() if w[3] == (r["root_conv"], r["root_turn"]) and (w[5] - 1) // 100 == r["part"])
+        assert [x.split("\n", 1)[-1] for x in r["text"].split("\n<|end|>")][:-1][0].endswith(texts[members[0][1]]) and r["n_messages"] == len(members)
+
+
 @pytest.mark.parametrize("text", ["a b  c\t\x0bd", "", None, " \n", "x\x85y\xa0z"])
 def test_word_count(spark, text):
     from tracemill.llm.common import word_count

@@ -17,16 +17,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session without one (tests) gets a folder of this machine."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name, name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
@@ -35,7 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tm_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of a stored() DataFrame that nothing reads any more (for loops that replace their state)."""
+    where, files = _hadoop(df.sparkSession, df._tm_path)
+    files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

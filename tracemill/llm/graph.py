@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "cc-large")
+        forget(least)
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        old, e = e, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        for df in (old, large, least):
+            forget(df)
         if (now := _state(e)) == was:
             break
         was = now

@@ -176,7 +176,8 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = stored(encoded(docs, known), "lm-encoded")
 
     thin = min(1.0, 4 * SAMPLE_DOCS / max(1, rows.where("train").count()))  # so that no task sorts more than a few of all rows
-    sample = stored(rows.where(F.col("train") & (F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(thin * (1 << 20)) + 1)).orderBy(F.xxhash64("uid")).limit(SAMPLE_DOCS).select("symbols").repartition(8), "lm-sample")
+    mark = F.xxhash64("doc_id", "symbols")  # of the rows themselves, so that other files give the same sample
+    sample = stored(rows.where(F.col("train") & (F.pmod(mark, F.lit(1 << 20)) < int(thin * (1 << 20)) + 1)).orderBy(mark).limit(SAMPLE_DOCS).select("symbols").repartition(8), "lm-sample")
     model = baum_welch(sample, first_guess(sample), SAMPLE_PASSES)
     model = baum_welch(rows.where("train"), model, FULL_PASSES)
     ending = F.crc32(F.substring("token", -3, 3)) % CLASSES

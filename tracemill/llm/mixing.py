@@ -94,7 +94,7 @@ def _chosen(bins: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs (doc_id, source, text ...) with size, source_size, target, rate, copies and taken added; text and others stay out."""
     rows = stored(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
         .withColumn("skey", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))),
         "mix-sizes",
     )
@@ -103,8 +103,8 @@ def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most:
     duals = balanced(groups.where("size > 0"), targets.where("source_size > 0").select("skey", "target"), float(most))
     small = stored(targets.join(duals, "skey", "left"), "mix-duals")
 
-    # u is uniform and the same in every run; equal documents are told apart by doc_id only
-    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
+    # u is uniform and the same in every run; only rows of one doc_id and one text share it
+    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("mark")), F.lit(1 << 40)) / float(1 << 40)
     rate = F.when((F.col("size") == 0) | F.col("mean").isNull(), F.lit(0.0)).otherwise(tilted(F.col("size") / F.col("mean"), F.col("multiplier"), float(most)))
     rated = rows.join(small.select("skey", "source_size", "target", "mean", "multiplier"), "skey", "left").withColumn("rate", rate).withColumn("want", F.col("rate") + u)
 
