@@ -81,10 +81,12 @@ def lines_by_hand(rows):
     return out
 
 
-def test_line_dedup_insert_and_delete(spark):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": -1, "part_lines": 2, "shards": 3}])
+def test_line_dedup_insert_and_delete(spark, limits):
+    """Filters sent to all tasks, and filters that meet their shard's lines (shards of over two lines in parts)."""
     texts = [None, "", "same line here\nown one\n", "x\n SAME line HERE \nsame line here", "short\nshort", "K same line here", "Same Line Here\t\nÄhnliche Zeile", "ähnliche zeile", "long " * 30000 + "\nsame line here"]
     df = docs(spark, texts)
-    dedup = line_dedup.LineDedup(spark)
+    dedup = line_dedup.LineDedup(spark, **limits)
     dedup.insert(df)
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in dedup.clean(df).collect()}
@@ -112,6 +114,20 @@ def test_line_dedup_edges(spark):
     assert set(dedup.clean(twice).columns) == set(twice.columns) | {"n_lines", "n_dropped", "kept_text"}
 
 
+def test_line_filters_pass_few_others(spark):
+    """Asked either way, the filters keep every repeated line and hardly any other."""
+    texts = ["\n".join(f"line number {i} of {d % 40 if i % 10 == 0 else d}" for i in range(50)) for d in range(80)]
+    kept = []
+    for limits in ({}, {"broadcast_bytes": -1, "part_lines": 100}):
+        dedup = line_dedup.LineDedup(spark, shards=4, **limits)
+        dedup.insert(docs(spark, texts))
+        lines, filters = line_dedup.lines_of(docs(spark, texts), 10), dedup._read("filters")
+        asked = dedup._asked_by_shard(dedup._sharded(lines), filters) if limits else dedup._asked(lines, {r["shard"]: (r["n_buckets"], r["data"]) for r in filters.collect()})
+        kept.append({(r["doc_id"], r["pos"]) for r in asked.collect()})
+    want = {(d, i) for d in range(80) for i in range(50) if i % 10 == 0}
+    assert want <= kept[0] and kept[0] == kept[1] and len(kept[0] - want) < 20
+
+
 # -- language --------------------------------------------------------------------------------------
 
 
@@ -135,6 +151,16 @@ def test_language_id(spark):
     assert set(said.columns) == set(DOCS.replace(" long", "").replace(" string", "").split(", ")) | {"lang_pred", "score"}
 
 
+def test_language_sample_takes_copies_once(spark):
+    """One text makes up most rows of a language: the sample still holds the others."""
+    rng = random.Random(3)
+    rows = [("the same old text of many copies", "en")] * 400 + [(prose(rng, 12), "en") for _ in range(60)] + [(f"ein kurzer satz nummer {i} mit worten und dem rest {prose(rng, 3)}", "de") for i in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), sample_per_lang=40)
+    got = [r["lang_pred"] for r in language_id.identified(spark.createDataFrame([(1, prose(rng, 14), 0), (2, "noch ein kurzer satz mit worten", 0), (3, prose(rng, 30000), 0), (3, None, 0)], "doc_id long, text string, lang_pred int"), model).orderBy("doc_id", "text").collect()]
+    assert got == ["en", "de", "und", "en"]
+    assert language_id.identified(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
 def test_language_id_without_or_with_one_label(spark):
     none = language_id.train(spark.createDataFrame([("a b", None)], "text string, lang string"))
     assert [r["lang_pred"] for r in language_id.identified(docs(spark, ["a"]), none).collect()] == ["und"]
@@ -370,6 +396,50 @@ def test_span_dedup_rulers_and_tails(spark):
     assert span_dedup.sentences("你好。再见！好吗？क्या। हाँ") == ["你好。", "再见！", "好吗？", "क्या। ", "हाँ"]
 
 
+def spans_by_hand(texts, several=3, few=2, min_words=20):
+    """kept text of each document; doc_id is the position."""
+    cut, held = {}, {}
+    for d, t in enumerate(texts):
+        pieces = span_dedup.sentences(t)
+        words = [re.findall(r"\w+", p.lower()) for p in pieces]
+        at = [i for i, w in enumerate(words) if w]
+        enough = lambda ids: len(ids) >= several or len(ids) >= few and sum(len(words[i]) for i in ids) >= min_words
+        found = set()
+        for i in range(len(at)):
+            for run in (next((at[i:j] for j in range(i + 1, len(at) + 1) if enough(at[i:j])), None), next((at[j : i + 1] for j in range(i, -1, -1) if enough(at[j : i + 1])), None)):
+                if run:
+                    found.add(tuple(run))
+        cut[d] = (pieces, [(run, tuple(w for i in run for w in words[i])) for run in sorted(found)])
+        for _, key in cut[d][1]:
+            held.setdefault(key, d)
+    out = []
+    for d, (pieces, found) in cut.items():
+        seen, gone = set(), set()
+        for run, key in found:
+            if held[key] < d or key in seen:
+                gone |= set(range(run[0], run[-1] + 1))
+            seen.add(key)
+        out.append("".join(p for i, p in enumerate(pieces) if i not in gone) if gone else texts[d])
+    return out
+
+
+def test_span_dedup_against_plain_python(spark):
+    rng = random.Random(41)
+    pool = [prose(rng, rng.choice((1, 2, 3, 8, 12, 15))).capitalize() + rng.choice(".!?") for _ in range(40)]
+    texts = [" ".join(rng.choice(pool) if rng.random() < 0.7 else "\n---\n" for _ in range(rng.randint(0, 14))) for _ in range(50)]
+    texts += [None, " ".join(pool[:3]), "Yes. No. Maybe.", "So. Yes. No. Maybe. Then", " ".join(pool) * 60, texts[3], texts[3]]
+    got = {r["doc_id"]: r["kept_text"] for r in span_dedup.without_repeats(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(spans_by_hand(texts)))
+    assert got[52] == "Yes. No. Maybe." and got[53] == "So. Then"
+
+
+def test_span_dedup_odd_rows(spark):
+    passage = "One two three. Four five six. Seven eight nine."
+    rows = [(3, passage), (3, passage), (None, passage), (1, passage + " And more."), (1, "Other text. " + passage)]
+    got = span_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1))).collect()
+    assert sorted(((r["doc_id"] or 0), r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (3, 3), (3, 3)]
+
+
 # -- personal data ---------------------------------------------------------------------------------
 
 PLAIN = {

@@ -24,8 +24,6 @@ from .common import python_ready, stored
 
 #: Bound on the texts of a language that the classifiers are fitted on.
 SAMPLE_PER_LANG = 1024
-#: The texts of a language are chosen in so many parts, so that no task sees a whole language.
-PARTS = 16
 DIM = 2048
 RIDGE = 1e-4
 #: Turns an SVM margin into a share between 0 and 1.
@@ -143,9 +141,14 @@ class Model:
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """labelled: text, lang. Fits on at most sample_per_lang texts a language, chosen by a hash of the text."""
     python_ready(labelled.sparkSession)
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    order = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "text")
-    sample = known.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-sample_per_lang // PARTS)).select("lang", "text")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("text").alias("h"))
+    # about four times as many different texts as wanted pass a bound on the hash; copies are one text
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    share = {r["lang"]: min(1.0, 4 * sample_per_lang / max(1, r["n"])) for r in sizes}
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * (1 << 30)))) for k, v in share.items()]) if share else F.lit(0)
+    thin = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) < bound).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_per_lang).select("lang", "text")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

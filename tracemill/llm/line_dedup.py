@@ -8,7 +8,7 @@ State lives in a folder, one sub-folder per version:
 
 insert() and delete() touch only the keys of the documents given: counts are brought up to date from
 postings, and filter entries go in as a key's count reaches two and out as it falls below.
-clean() asks the filters first; only lines that they may hold meet the exact table.
+clean() asks the filters first, at every size; only lines that they may hold meet the exact table.
 
 Defined cases: a null or empty text is one empty line; lines under min_chars code points always stay;
 a line repeated within its first document stays as often as it stands there; rows of the same doc_id are
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, hash128, python_ready, scratch_path, stored
 
-#: Filters of up to this many bytes in all are sent to every task; larger ones stay sharded.
+#: Filters of up to this many bytes in all are sent to every task; larger ones meet their shard's lines, dealt by shard.
 BROADCAST_BYTES = 32 << 20
+#: Shards with more lines than this are dealt in several parts, each with a copy of the filter.
+PART_LINES = 1 << 20
 KEYS_PER_SHARD = 1 << 17
 FILTER_SCHEMA = "shard int, n_buckets long, data binary"
 
@@ -50,8 +52,9 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineDedup:
-    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10, shards: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10, shards: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, part_lines: int = PART_LINES):
         self.spark, self.min_chars, self.shards, self.version = spark, min_chars, shards, 0
+        self.broadcast_bytes, self.part_lines = broadcast_bytes, part_lines
         python_ready(spark)
         self.path = path or scratch_path(spark, "line-dedup")
 
@@ -134,8 +137,10 @@ class LineDedup:
         """doc_id, rid, drop: the positions of the lines that go."""
         lines, filters = lines_of(docs, self.min_chars), self._read("filters")
         total = filters.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-        if total <= BROADCAST_BYTES:
+        if total <= self.broadcast_bytes:
             lines = self._asked(lines, {r["shard"]: (r["n_buckets"], r["data"]) for r in filters.collect()})
+        else:
+            lines = self._asked_by_shard(self._sharded(lines), filters)
         repeated = self._read("refcounts").where("n_docs > 1").select("h1", "h2", "min_doc")
         gone = stored(lines.join(repeated, ["h1", "h2"]).where("doc_id <> min_doc").select("doc_id", "rid", "pos"), "line-drops")
         return gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("drop"))
@@ -160,6 +165,41 @@ class LineDedup:
 
         return lines.mapInArrow(ask, lines.schema)
 
+    def _asked_by_shard(self, lines: DataFrame, filters: DataFrame) -> DataFrame:
+        """Lines are dealt by shard, behind the shard's filter, and streamed past it; shards with many lines are dealt in parts."""
+        lines = stored(lines, "line-sharded")
+        many = lines.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > self.part_lines)
+        parts = stored(many.select("shard", F.ceil(F.col("n") / self.part_lines).cast("int").alias("parts")), "line-parts")
+        few = F.broadcast(parts) if parts.count() <= 1_000_000 else parts
+        n_parts = F.coalesce("parts", F.lit(1))
+        mine = lines.join(few, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id", "pos"), n_parts).cast("int").alias("part"), F.lit(None).cast("binary").alias("data"), "doc_id", "rid", "pos", "h1", "h2")
+        nothing = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("doc_id", "rid", "pos", "h1", "h2")]
+        theirs = filters.join(few, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), "data", *nothing)
+        dealt = theirs.unionByName(mine).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("data").isNull())
+
+        def ask(batches):
+            import pyarrow as pa
+
+            from .cuckoo import SLOTS, CuckooFilter
+
+            at, held = None, None
+            for batch in batches:
+                group = np.stack([batch["shard"].to_numpy(), batch["part"].to_numpy()])
+                keep, data = np.zeros(batch.num_rows, bool), batch["data"]
+                edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a == b:
+                        continue
+                    if (now := tuple(group[:, a])) != at:
+                        at, held = now, None
+                    if data[a].is_valid:  # a group's first row
+                        held, a = CuckooFilter(len(raw := data[a].as_py()) // (2 * SLOTS), raw), a + 1
+                    if held is not None and a < b:
+                        keep[a:b] = held.contains(batch["h1"][a:b].to_numpy())
+                yield batch.select(["doc_id", "rid", "pos", "h1", "h2"]).filter(pa.array(keep))
+
+        return dealt.mapInArrow(ask, lines.select("doc_id", "rid", "pos", "h1", "h2").schema)
+
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with kept_text, n_lines and n_dropped beside its own columns."""
         drops = self.dropped(docs).select(F.col("doc_id").alias("__tm_doc"), F.col("rid").alias("__tm_rid"), F.col("drop").alias("__tm_drop"))
