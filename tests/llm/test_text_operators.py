@@ -338,6 +338,48 @@ def test_decontamination(spark):
     assert all(r["leaks"] == [] for r in decontaminate.with_leaks(docs(spark, texts), bench.limit(0)).collect())
 
 
+def leaks_by_hand(text, items, similarity=0.8):
+    """(item_id, edits) for each item with a part of the text within its bound: plain edit distance with free ends in the text."""
+    words, out = re.findall(r"\w+", (text or "").lower()), set()
+    for i, item in items:
+        want = re.findall(r"\w+", (item or "").lower())
+        if len(want) < 5:
+            continue
+        row = [0] * (len(words) + 1)
+        for k, w in enumerate(want, 1):
+            new = [k]
+            for j, v in enumerate(words, 1):
+                new.append(min(row[j - 1] + (w != v), row[j] + 1, new[j - 1] + 1))
+            row = new
+        if min(row) <= int((1 - similarity) * len(want) + 1e-9):
+            out.add((i, min(row)))
+    return out
+
+
+def test_decontamination_against_plain_python(spark):
+    rng = random.Random(28)
+    items = [(i, prose(rng, 5 + 3 * i)) for i in range(14)] + [(20, "a b"), (21, prose(rng, 5))]
+    items.append((22, items[3][1]))
+    texts = []
+    for i, t in items * 4:
+        ws = t.split()
+        for _ in range(rng.randint(0, max(1, len(ws) // 6))):
+            k = rng.randrange(len(ws))
+            ws[k : k + 1] = rng.choice(([], [rng.choice(WORDS)], [ws[k], rng.choice(WORDS)]))
+        texts.append(f"{prose(rng, rng.randint(0, 60))} {' '.join(ws)} {prose(rng, rng.randint(0, 60))}")
+    texts += [None, "", prose(rng, 20000) + " " + items[9][1], texts[5], items[6][1] + " " + items[6][1]]
+    df = docs(spark, texts).withColumn("leaks", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: leaks_by_hand(t, items) for i, t in enumerate(texts)}
+    for words in (1 << 20, 60):
+        got = {r["doc_id"]: {(x["item_id"], x["edits"]) for x in r["leaks"]} for r in decontaminate.with_leaks(df, bench, block_words=words).collect()}
+        missed = sum(len({i for i, _ in want[d]} - {i for i, _ in got[d]}) for d in want)
+        assert set(got) == set(want) and missed <= 0.02 * sum(map(len, want.values()))
+        assert all({i for i, _ in got[d]} <= {i for i, _ in want[d]} for d in want)  # nothing else
+        assert all(got[d] == want[d] for d in (len(texts) - 5, len(texts) - 4, len(texts) - 3, len(texts) - 1))
+    assert decontaminate.with_leaks(df.limit(0), bench).count() == 0
+
+
 def test_decontamination_of_neighbouring_lengths():
     rng = random.Random(21)
     for short, long in ((9, 10), (14, 15), (19, 20)):

@@ -10,10 +10,11 @@ distance to some part of the text is at most (1 - similarity) of its length.
 
 Before a window is embedded it has to hold as many word pairs of the benchmark as so few edits must leave
 (the q-gram lemma, q = 2): that loses no match. Items go to the tasks in blocks of at most BLOCK_WORDS words;
-a larger benchmark takes further passes over the documents.
+a larger benchmark takes further passes over the documents, one block at a time.
 
 Defined cases: null or empty texts match nothing; items under min_words words take no part; equal items are
-found each; repeated documents are found each; an empty benchmark finds nothing; further columns are passed through.
+found each; repeated documents are found each; of equally near places in a text the first counts; an empty benchmark or table finds
+nothing; further columns are passed through, but for one named leaks, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready
+from .common import python_ready, stored
 
 BLOCK_WORDS = 1 << 20
 WALKS, SAMPLES, BITS = 10, 4, 3
@@ -204,10 +206,23 @@ def _looker(sent):
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with `leaks`: for each benchmark item found in the text, where it is nearest. No shuffle: one scan a block."""
-    spark, columns = docs.sparkSession, []
+    """docs with `leaks`: for each benchmark item found in the text, where it is nearest.
+
+    A benchmark of one block takes one scan without a shuffle. Of a larger one, a block at a time is in the tasks: each pass writes what it
+    found, and its broadcast is released before the next."""
+    spark, none = docs.sparkSession, F.array().cast(LEAK)
     python_ready(spark)
-    for block in blocks(benchmark, similarity, min_words, block_words):
-        columns.append(_looker(spark.sparkContext.broadcast(block))("text"))
-    none = F.array().cast(LEAK)
-    return docs.withColumn("leaks", F.concat(none, *columns) if columns else none)
+    some = blocks(benchmark, similarity, min_words, block_words)
+    first, second = next(some, None), next(some, None)
+    if first is None:
+        return docs.withColumn("leaks", none)
+    if second is None:
+        return docs.withColumn("leaks", F.concat(none, _looker(spark.sparkContext.broadcast(first))("text")))
+    rows = stored(docs.drop("leaks").withColumn("__tm_uid", F.monotonically_increasing_id()), "leak-docs")
+    found = []
+    for block in chain((first, second), some):
+        sent = spark.sparkContext.broadcast(block)
+        found.append(stored(rows.select("__tm_uid", _looker(sent)("text").alias("leaks")).where(F.size("leaks") > 0), "leaks"))
+        sent.unpersist()
+    all_found = reduce(DataFrame.unionByName, found).groupBy("__tm_uid").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    return rows.join(stored(all_found, "leaks"), "__tm_uid", "left").select(*[rows[c] for c in rows.columns if c != "__tm_uid"], F.coalesce("leaks", none).alias("leaks"))
