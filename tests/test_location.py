@@ -115,7 +115,7 @@ def test_trips(spark, rows, segs, want):
 
 
 def test_home_by_period(spark):
-    periods = spark.createDataFrame([(1, None, 100, 50.0, 0.0, 500.0), (2, 100, 200, 51.0, 0.0, 500.0)], "id long, start_ts long, end_ts long, lat double, lon double, radius_m double")
+    periods = spark.createDataFrame([(1, 1, None, 100, 50.0, 0.0, 500.0), (2, 1, 100, 200, 51.0, 0.0, 500.0), (0, 2, None, None, 10.0, 0.0, 500.0)], "id long, tid long, start_ts long, end_ts long, lat double, lon double, radius_m double")
     visits = spark.createDataFrame([(1, 1, 50, 60, 50.0, 0.0), (2, 1, 150, 160, 50.0, 0.0), (3, 1, 250, 260, 10.0, 0.0)], "id long, tid long, start_ts long, end_ts long, lat double, lon double")
     got = {r["id"]: (r["home"], r["away"], r["near_home"]) for r in away.with_home(visits, periods).collect()}
     assert got == {1: (1, False, True), 2: (2, True, False), 3: (None, False, False)}
@@ -166,9 +166,12 @@ def test_overlays(spark):
 
 
 def test_places(spark):
-    rows = [(1, "Inn", "C", 50.0, 0.0), (2, "Inn", "C", 50 + 250 * M, 0.0), (3, "Inn", "C", 50 + 500 * M, 0.0), (4, "Inn", "D", 50.0, 0.0), (5, None, "C", 50.0, 0.0)]
-    df = spark.createDataFrame(rows, "id long, name string, city string, lat double, lon double")
-    assert {r["id"]: r["keeper"] for r in places.greedy_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    rows = [(1, 0, "Inn", "C", 50.0, 0.0), (2, 0, "Inn", "C", 50 + 250 * M, 0.0), (3, 0, "Inn", "C", 50 + 500 * M, 0.0), (4, 0, "Inn", "D", 50.0, 0.0), (5, 0, None, "C", 50.0, 0.0), (6, 1, "Inn", "C", 50.0, 0.0), (7, 0, "Inn", None, 50.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, tid long, name string, city string, lat double, lon double")
+    assert {r["id"]: r["keeper"] for r in places.greedy_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 6: 6, 7: 7}
+    visits = spark.createDataFrame([(2,), (2,), (1,)], "place_id long")
+    assert {r["id"]: r["keeper"] for r in places.greedy_clusters(df, visits).collect()} == {1: 2, 2: 2, 3: 3, 4: 4, 6: 6, 7: 7}
+    assert [tuple(r) for r in places.similar(df).select("id", "other").orderBy("id", "other").collect()] == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
 
 
 def test_shortest_paths(spark, tmp_path):
@@ -292,11 +295,14 @@ def test_rail_route_of_all_places(spark):
     for r in frame(spark, "/root/testdata/sf0.001", "places").orderBy("id").collect():
         first, second = sorted((far((float(r["lat"]), float(r["lon"])), p), n) for n, p in at.items())[:2]
         if first[0] <= 2000:
-            snapped.append((r["id"], first[1]))
+            snapped.append((r["tid"], r["id"], first[1]))
             if second[0] - first[0] < 0.001:
                 tied.add(r["id"])  # which of two nodes as near is taken depends on rounding
     want = {}
-    for (id_, src), (next_, dst) in zip(snapped, snapped[1:], strict=False):
+    snapped.sort()
+    for (tid, id_, src), (next_tid, next_, dst) in zip(snapped, snapped[1:], strict=False):
+        if tid != next_tid:
+            continue
         best, heap = {}, [(0.0, src)]
         while heap:
             d, n = heapq.heappop(heap)
@@ -307,4 +313,4 @@ def test_rail_route_of_all_places(spark):
         want[id_] = best[dst] if not {id_, next_} & tied else None
     got = {r["id"]: r["metres"] for r in rail_route(spark, "/root/testdata/sf0.001").collect()}
     assert set(got) == set(want) and len(got) > 20
-    assert sum(w is not None for w in want.values()) > 20 and all(abs(got[i] - w) < 0.2 for i, w in want.items() if w is not None)
+    assert sum(w is not None for w in want.values()) > 10 and all(abs(got[i] - w) < 0.2 for i, w in want.items() if w is not None)

@@ -11,14 +11,14 @@ from .sequence import islands, overlap_join
 
 
 def with_home(visits: DataFrame, periods: DataFrame) -> DataFrame:
-    """visits (id, tid, start_ts, end_ts, lat, lon) with home (id), home_m, away, near_home by the first period that covers their start.
+    """visits (id, tid, start_ts, end_ts, lat, lon) with home (id), home_m, away, near_home by the first of the person's periods that covers their start.
 
-    Without a period a visit is neither away nor near home. Home periods are a handful per person and are matched by range.
+    Without a period a visit is neither away nor near home. periods carry tid; the join is on it, and a person has a handful.
     """
-    p = periods.select(F.col("id").alias("home"), F.col("start_ts").alias("p0"), F.col("end_ts").alias("p1"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
+    p = periods.select("tid", F.col("id").alias("home"), F.col("start_ts").alias("p0"), F.col("end_ts").alias("p1"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
     covers = (F.col("p0").isNull() | (F.col("p0") <= F.col("start_ts"))) & (F.col("p1").isNull() | (F.col("start_ts") < F.col("p1")))
     first = F.min_by(F.struct("home", "hlat", "hlon", "radius_m"), "home")
-    met = visits.select("id", "start_ts").join(p, covers).groupBy("id").agg(first.alias("h"))
+    met = visits.select("id", "tid", "start_ts").join(p, "tid").where(covers).groupBy("id").agg(first.alias("h"))
     out = visits.join(met, "id", "left").withColumn("home_m", metres(F.col("lat"), F.col("lon"), F.col("h.hlat"), F.col("h.hlon")))
     return out.select(*visits.columns, F.col("h.home").alias("home"), "home_m", F.coalesce(F.col("home_m") > F.col("h.radius_m"), F.lit(False)).alias("away"), F.coalesce(F.col("home_m") <= NEAR_HOME, F.lit(False)).alias("near_home"))
 

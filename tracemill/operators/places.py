@@ -14,33 +14,45 @@ from .stays import _apart
 
 
 def similar(places: DataFrame, radius: float = SIMILAR_RADIUS) -> DataFrame:
-    """Pairs (id < other) of places of one category at most radius apart."""
-    p = places.select("id", "category", "lat", "lon")
-    names = {"id": "other", "category": "other_category", "lat": "lat2", "lon": "lon2"}
-    return radius_join(p, p, radius, names).where("id < other and category = other_category").select("id", "other", "metres")
+    """Ordered pairs (id, other) of places of one person (tid), name and city (both may lack a city) at most radius apart, with the distance.
 
+    Of a name that stands in one spot very often, all pairs are wanted, as many as there are."""
+    p = places.where("name is not null").select("id", "tid", "name", "city", "lat", "lon")
+    names = {"id": "other", "tid": "tid2", "name": "name2", "city": "city2", "lat": "lat2", "lon": "lon2"}
+    same = (F.col("id") != F.col("other")) & (F.col("tid") == F.col("tid2")) & (F.col("name") == F.col("name2")) & F.col("city").eqNullSafe(F.col("city2"))
+    return radius_join(p, p, radius, names).where(same).select("tid", "id", "other", "name", "city", "metres")
 
-def greedy_clusters(places: DataFrame, radius: float = PLACE_RADIUS) -> DataFrame:
-    """id, keeper: places of one name and city, in id order, join the first cluster whose mean is near; it is named by its first id.
 
-    Order decides, so each (name, city) group is one small pandas group; groups are told apart by name, which bounds them.
+def greedy_clusters(places: DataFrame, visits: DataFrame | None = None, radius: float = PLACE_RADIUS) -> DataFrame:
+    """id, keeper: places of one person, name and city, in id order, join the first cluster whose mean is near; the most visited of a
+    cluster (without visits given or held, the first) stands for it.
+
+    Order decides, so each (tid, name, city) group is one small pandas group; groups are told apart by name, which bounds them.
     """
     ship_package(places.sparkSession)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        found, out = [], []
-        for r in group.sort_values("id").itertuples():
-            for c in found:
-                if _apart(c[1] / c[3], c[2] / c[3], r.lat, r.lon) <= radius:
-                    c[1], c[2], c[3] = c[1] + r.lat, c[2] + r.lon, c[3] + 1
+        found, at = [], []
+        group = group.sort_values("id")
+        for r in group.itertuples():
+            for i, c in enumerate(found):
+                if _apart(c[0] / c[2], c[1] / c[2], r.lat, r.lon) <= radius:
+                    found[i] = [c[0] + r.lat, c[1] + r.lon, c[2] + 1]
                     break
             else:
-                found.append(c := [r.id, r.lat, r.lon, 1])
-            out.append((r.id, c[0]))
-        return pd.DataFrame(out, columns=["id", "keeper"])
+                i = len(found)
+                found.append([r.lat, r.lon, 1])
+            at.append(i)
+        best = group.assign(at=at).sort_values(["at", "n", "id"], ascending=[True, False, True]).drop_duplicates("at").set_index("at")["id"]
+        return pd.DataFrame({"id": group["id"].to_numpy(), "keeper": best.loc[at].to_numpy()})
 
-    named = places.where("name is not null").select("id", "name", F.coalesce("city", F.lit("")).alias("city"), "lat", "lon")
-    return named.groupBy("name", "city").applyInPandas(cluster, "id long, keeper long")
+    named = places.where("name is not null").select("id", "tid", "name", "city", "lat", "lon")
+    if visits is None:
+        named = named.withColumn("n", F.lit(0).cast("long"))
+    else:
+        n = visits.groupBy(F.col("place_id").alias("id")).agg(F.count("*").alias("n"))
+        named = named.join(n, "id", "left").fillna(0, ["n"])
+    return named.groupBy("tid", "name", "city").applyInPandas(cluster, "id long, keeper long")
 
 
 #: So many home periods are sent to the tasks; more of them meet the points through grid cells.
@@ -64,12 +76,15 @@ def home_tagged(places: DataFrame, periods: DataFrame, generic: tuple = ("Other
     return places.join(inside, "id", "left").withColumn("category", F.coalesce("__h", "category")).select(*places.columns)
 
 
-def with_ends(journeys: DataFrame, visits: DataFrame) -> DataFrame:
-    """journeys with from_lat/lon (the last visit that ended before) and to_lat/lon (the next that starts after), and the distance between."""
-    before = asof(journeys, visits, "start_ts", "end_ts", ["lat", "lon", "place_id"], tie=["start_ts", "id"])
-    before = before.withColumnRenamed("asof", "__from")
-    after = asof(before, visits, "end_ts", "start_ts", ["lat", "lon", "place_id"], forward=True, tie=["end_ts", "id"])
-    return after.withColumns({"from_place": F.col("__from.place_id"), "to_place": F.col("asof.place_id"), "ends_m": metres(F.col("__from.lat"), F.col("__from.lon"), F.col("asof.lat"), F.col("asof.lon"))}).drop("__from", "asof")
+def with_ends(journeys: DataFrame, visits: DataFrame, keys: list[str] = [], labels: list[str] = []) -> DataFrame:  # noqa: B006
+    """journeys with the place of the last visit that ended before (from_place) and of the next that starts after (to_place), the distance
+    between (ends_m), and from_ and to_ of the label columns of visits. keys: columns of both, such as tid."""
+    value = ["lat", "lon", "place_id", *labels]
+    before = asof(journeys, visits, "start_ts", "end_ts", value, keys, tie=["start_ts", "id"]).withColumnRenamed("asof", "__from")
+    after = asof(before, visits, "end_ts", "start_ts", value, keys, forward=True, tie=["end_ts", "id"])
+    ends = {"from_place": F.col("__from.place_id"), "to_place": F.col("asof.place_id"), "ends_m": metres(F.col("__from.lat"), F.col("__from.lon"), F.col("asof.lat"), F.col("asof.lon"))}
+    ends |= {f"{side}_{c}": F.col(f"{row}.{c}") for c in labels for side, row in (("from", "__from"), ("to", "asof"))}
+    return after.withColumns(ends).drop("__from", "asof")
 
 
 def nearby(points: DataFrame, features: DataFrame, radius: float = 100.0, most: int = 15) -> DataFrame:

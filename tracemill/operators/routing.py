@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +28,46 @@ def nodes_of(ways: DataFrame) -> DataFrame:
 
 
 def snapped(points: DataFrame, nodes: DataFrame, radius: float = 2000.0) -> DataFrame:
-    """points (id, lat, lon) with the nearest node within the radius."""
+    """points (id, lat, lon) with the nearest node (to the millimetre, then by name) within the radius."""
     met = radius_join(points, nodes, radius, {"node": "node", "lat": "node_lat", "lon": "node_lon"})
-    return met.groupBy("id").agg(F.min_by("node", F.struct("metres", "node")).alias("node"), F.min("metres").alias("snap_m"))
+    return met.groupBy("id").agg(F.min_by("node", F.struct(F.round("metres", 3), "node")).alias("node"), F.min("metres").alias("snap_m"))
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, stored) -> DataFrame:
+def shortest_paths(requests: DataFrame, edges: DataFrame, stored, steps: int = 4) -> DataFrame:
     """requests: id, src, dst. Returns id, metres, path (nodes) where dst is reached.
 
-    All requests grow together: each round joins the nodes that improved last with the edges and keeps the best distance per
-    (request, node), until none improves; nodes beyond the best known distance to the target are not grown. `stored` writes a round's table and reads it back.
+    All requests grow together: each round joins the nodes that improved last with the edges, a few times over, and keeps the best
+    distance per (request, node), until none improves; nodes beyond the best known distance to the target are not grown. `stored`
+    writes a round's table and reads it back.
     """
+    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("metres").alias("step"))
+    shortest = lambda rows: rows.groupBy("id", "node", "dst").agg(F.min_by(F.struct("metres", "path", "fresh"), F.struct("metres", "fresh", "path")).alias("b")).select("id", "node", "dst", "b.*")
     best = stored(requests.select("id", F.col("src").alias("node"), "dst", F.lit(0.0).alias("metres"), F.array("src").alias("path"), F.lit(True).alias("fresh")))
     while True:
         goal = best.where("node = dst").select("id", F.col("metres").alias("bound"))
-        front = best.where("fresh").join(goal, "id", "left").where("bound is null or metres < bound")
-        e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("metres").alias("step"))
-        grown = front.join(e, "node").select("id", F.col("next").alias("node"), "dst", (F.col("metres") + F.col("step")).alias("metres"), F.concat("path", F.array("next")).alias("path"), F.lit(True).alias("fresh"))
-        every = best.withColumn("fresh", F.lit(False)).unionByName(grown)
-        best = stored(every.groupBy("id", "node", "dst").agg(F.min_by(F.struct("metres", "path", "fresh"), F.struct("metres", "fresh", "path")).alias("b")).select("id", "node", "dst", "b.*"))
+        grown = best.where("fresh").join(goal, "id", "left").where("bound is null or metres < bound").drop("bound")
+        every = best.withColumn("fresh", F.lit(False))
+        for _ in range(steps):
+            grown = shortest(grown.join(e, "node").select("id", F.col("next").alias("node"), "dst", (F.col("metres") + F.col("step")).alias("metres"), F.concat("path", F.array("next")).alias("path"), F.lit(True).alias("fresh")))
+            every = every.unionByName(grown)
+        best = stored(shortest(every))
         if best.where("fresh").isEmpty():
             break
     return best.where("node = dst").select("id", "metres", "path")
 
 
+def _between(legs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """legs with the hubs around their middle, within their own length, and the distances d, d1 and d2. Legs are taken by doublings of
+    their length (a dozen at most on Earth), each with a grid of its size, so a leg only meets hubs of its neighbourhood."""
+    d = metres("lat1", "lon1", "lat2", "lon2")
+    sized = legs.withColumns({"d": d, "scale": F.ceil(F.log2(F.greatest(d, F.lit(1.0)))).cast("int"), "lat": (F.col("lat1") + F.col("lat2")) / 2, "lon": (F.col("lon1") + F.col("lon2")) / 2})
+    scales = [r[0] for r in sized.select("scale").distinct().collect()]
+    spots = hubs.withColumnsRenamed({"hlat": "lat", "hlon": "lon"}).select("hub", "lat", "lon")
+    met = [radius_join(sized.where(F.col("scale") == k), spots, 1.2 * 2.0**k, {"lat": "hlat", "lon": "hlon"}) for k in scales or [0]]
+    found = reduce(DataFrame.unionByName, met).drop("scale", "lat", "lon", "metres")
+    return found.withColumns({"d1": metres("lat1", "lon1", "hlat", "hlon"), "d2": metres("hlat", "hlon", "lat2", "lon2")})
+
+
 def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3, least_m: float = 5000.0, detour: float = 1.6) -> DataFrame:
     """requests: id, lat1, lon1, lat2, lon2; hubs: hub, hlat, hlon. Returns id, metres, path where every leg is found.
 
@@ -66,10 +84,7 @@ def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3,
         missed = open_.join(found.select("id", "place"), ["id", "place"], "left_anti")
         if level == hops:
             break
-        d = metres("lat1", "lon1", "lat2", "lon2")
-        d1, d2 = metres("lat1", "lon1", "hlat", "hlon"), metres("hlat", "hlon", "lat2", "lon2")
-        tried = missed.crossJoin(hubs).withColumns({"d": d, "d1": d1, "d2": d2})
-        fits = tried.where((F.greatest("d1", "d2") < F.col("d")) & (F.least("d1", "d2") >= least_m) & (F.col("d1") + F.col("d2") <= F.col("d") * detour))
+        fits = _between(missed, hubs).where((F.greatest("d1", "d2") < F.col("d")) & (F.least("d1", "d2") >= least_m) & (F.col("d1") + F.col("d2") <= F.col("d") * detour))
         best = fits.groupBy("id", "place", *ends).agg(F.min_by(F.struct("hlat", "hlon"), F.struct(F.greatest("d1", "d2"), "hub")).alias("h"))
         halves = F.explode(F.array(
             F.struct(F.concat("place", F.lit("0")).alias("place"), F.col("lat1"), F.col("lon1"), F.col("h.hlat").alias("lat2"), F.col("h.hlon").alias("lon2")),

@@ -1,4 +1,7 @@
-"""The driver's tables as location history: pings from events, interval tables from orders, lineitem, customer and pages."""
+"""The driver's tables as location history: pings from events, interval tables from orders, lineitem, customer and pages.
+
+Every table has tid, the person: PEOPLE of them, each with places, visits and trips (by customer), segments (by order) and photos of their own.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .dialect import SPARK, Dialect
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
+PEOPLE = 50
 #: Transport modes and place categories.
 MODES = ["walking", "cycling", "driving", "taxi", "bus", "train", "subway", "tram", "ferry", "boating", "flying"]
 CATEGORIES = ["Home", "Work", "Food and drink", "Shopping", "Hotels", "Airports", "Transport", "Other places"]
@@ -34,19 +38,19 @@ def pings(d: Dialect) -> str:
 
 def places(d: Dialect) -> str:
     return f"""
-    SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END AS name,
+    SELECT c_custkey AS id, c_custkey % {PEOPLE} AS tid, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END AS name,
            {d.pick("(length(c_mktsegment) + c_custkey) % 8", CATEGORIES)} AS category,
            CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE concat('CITY_', CAST(c_custkey % 97 AS VARCHAR(9))) END AS city,
            n_name AS country, CASE WHEN n_nationkey = 0 THEN 'GB' WHEN n_nationkey = 7 THEN NULL ELSE concat({d.letter("65 + floor(n_nationkey / 5.0)")}, {d.letter("65 + n_nationkey % 5")}) END AS country_code,
            CASE WHEN c_custkey % 41 = 0 THEN '{{{{"address":' ELSE concat('{{{{"address":{{{{"county":"County ', CAST(c_custkey % 23 AS VARCHAR(9)), '"}}}}}}}}') END AS raw_json,
-           {_anchor_lat("n_nationkey")} + (c_custkey % 100) * 0.001 AS lat, {_anchor_lon("n_nationkey")} + (c_custkey % 37) * 0.001 AS lon
+           CAST({_anchor_lat("n_nationkey")} + (c_custkey % 100) * 0.001 AS DOUBLE) AS lat, CAST({_anchor_lon("n_nationkey")} + (c_custkey % 37) * 0.001 AS DOUBLE) AS lon
     FROM {{customer}} c JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey"""
 
 
 def visits(d: Dialect) -> str:
     start = f"{d.unix('o_orderdate')} + (o_orderkey * 7919) % 86400"
     return f"""
-    SELECT o_orderkey AS id, {start} AS start_ts, {start} + 600 + (o_orderkey * 104729) % 28800 AS end_ts, o_custkey AS place_id,
+    SELECT o_orderkey AS id, o_custkey % {PEOPLE} AS tid, {start} AS start_ts, {start} + 600 + (o_orderkey * 104729) % 28800 AS end_ts, o_custkey AS place_id,
            CASE o_orderstatus WHEN 'F' THEN 'owntracks' WHEN 'O' THEN 'google_import' ELSE 'photo_import' END AS source, 1 AS point_count
     FROM {{orders}}"""
 
@@ -54,7 +58,7 @@ def visits(d: Dialect) -> str:
 def segments(d: Dialect) -> str:
     start = f"{d.unix('l_shipdate')} + (l_orderkey * 31 + l_linenumber * 3571) % 86400"
     return f"""
-    SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4, {start} AS start_ts, {start} + CAST(l_quantity * 60 AS BIGINT) AS end_ts,
+    SELECT l_orderkey % {PEOPLE} AS tid, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4, {start} AS start_ts, {start} + CAST(l_quantity * 60 AS BIGINT) AS end_ts,
            {d.pick("l_suppkey % 11", MODES)} AS mode, l_extendedprice AS distance_m, l_quantity * 60.0 AS duration_s
     FROM {{lineitem}}"""
 
@@ -62,22 +66,25 @@ def segments(d: Dialect) -> str:
 def trips(d: Dialect) -> str:
     start = f"{d.unix('o_orderdate')} + (o_orderkey * 7919) % 86400"
     return f"""
-    SELECT o_orderkey AS id, {start} AS start_ts, {start} + (1 + o_orderkey % 14) * 86400 - (o_orderkey % 7) * 3600 AS end_ts,
+    SELECT o_orderkey AS id, o_custkey % {PEOPLE} AS tid, {start} AS start_ts, {start} + (1 + o_orderkey % 14) * 86400 - (o_orderkey % 7) * 3600 AS end_ts,
            p.city AS primary_city, p.country AS primary_country, p.country_code AS primary_country_code,
            CASE WHEN o_orderpriority LIKE '1%' THEN concat('Trip ', CAST(o_orderkey % 5 AS VARCHAR(9))) END AS name
-    FROM {{orders}} o JOIN places p ON o.o_custkey = p.id WHERE o_orderkey % 50 = 0"""
+    FROM {{orders}} o JOIN places p ON o.o_custkey = p.id"""
 
 
 def photos(d: Dialect) -> str:
-    return """
-    SELECT page_id AS uid, 788918400 + (page_id * 7919 * 3600) % 200000000 AS taken_ts,
+    return f"""
+    SELECT page_id AS uid, page_id % {PEOPLE} AS tid, 788918400 + (page_id * 7919 * 3600) % 200000000 AS taken_ts,
            CASE WHEN page_id % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(50 + (page_id % 400) * 0.01 AS DOUBLE) END AS lat, CASE WHEN page_id % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((page_id % 90) * 0.02 AS DOUBLE) END AS lon
-    FROM {pages}"""
+    FROM {{pages}}"""
 
 
 def home_periods(d: Dialect) -> str:
-    """One open period before 1998, another after; the second home is elsewhere."""
-    return "SELECT 1 AS id, CAST(NULL AS BIGINT) AS start_ts, CAST(883612800 AS BIGINT) AS end_ts, CAST(50 AS DOUBLE) AS lat, CAST(0 AS DOUBLE) AS lon, CAST(500 AS DOUBLE) AS radius_m UNION ALL SELECT 2, CAST(883612800 AS BIGINT), CAST(NULL AS BIGINT), CAST(50.03 AS DOUBLE), CAST(0.02 AS DOUBLE), CAST(500 AS DOUBLE)"
+    """Two for each person: one before 1998 without a start, one after without an end, elsewhere."""
+    person = d.series("0", f"{PEOPLE - 1}")
+    return f"""
+    SELECT 2 * x + 1 AS id, x AS tid, CAST(NULL AS BIGINT) AS start_ts, CAST(883612800 AS BIGINT) AS end_ts, CAST(50 AS DOUBLE) AS lat, CAST(0 AS DOUBLE) AS lon, CAST(500 AS DOUBLE) AS radius_m FROM {person} a
+    UNION ALL SELECT 2 * x + 2, x, CAST(883612800 AS BIGINT), CAST(NULL AS BIGINT), CAST(50.03 AS DOUBLE), CAST(0.02 AS DOUBLE), CAST(500 AS DOUBLE) FROM {person} b"""
 
 
 VIEWS = {"pings": pings, "places": places, "visits": visits, "segments": segments, "trips": trips, "photos": photos, "home_periods": home_periods}

@@ -11,21 +11,19 @@ from pyspark.sql import functions as F
 
 from ..operators import away, legs, overlays, places, routing, sequence, stays
 from ..streaming import ingest
+from .checks import CHAIN, with_ends
 from .dialect import CHECK
-from .fixtures import check_views, frame
-from .reports import _CHAIN
+from .fixtures import frame
+from .reports import SEGMENT_KEYS, placed, top
 
-QUERIES, ORACLE = {}, {}
+QUERIES, CHECKS = {}, {}
 
 
-def op(name: str, check: str | None = None, views: set[str] = frozenset()):
+def op(name: str, check: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if check is not None:
-            body = check.strip()
-            recursive = "RECURSIVE " if "WITH RECURSIVE" in body else ""
-            body = body.replace("WITH RECURSIVE ", "WITH ")
-            ORACLE[name] = f"WITH {recursive}{check_views(CHECK, set(views))}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
+            CHECKS[name] = check.strip()
         return f
 
     return keep
@@ -72,13 +70,13 @@ f AS (
 merged AS (SELECT tid, g, min(start_ts) AS start_ts, max(end_ts) AS end_ts, max(n) AS n FROM f GROUP BY tid, g)"""
 
 
-@op("stay_points", f"WITH RECURSIVE {SCAN} SELECT CAST(tid AS BIGINT) AS tid, start_ts, end_ts, n AS point_count FROM stay", {"pings"})
+@op("stay_points", f"WITH RECURSIVE {SCAN} SELECT CAST(tid AS BIGINT) AS tid, start_ts, end_ts, n AS point_count FROM stay")
 def stay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stays.stays(frame(spark, sf_dir, "pings"))
     return rows.select("tid", "start_ts", "end_ts", F.col("point_count").cast("long").alias("point_count"))
 
 
-@op("merged_visits", f"WITH RECURSIVE {SCAN} SELECT CAST(tid AS BIGINT) AS tid, start_ts, end_ts, n AS point_count FROM merged", {"pings"})
+@op("merged_visits", f"WITH RECURSIVE {SCAN} SELECT CAST(tid AS BIGINT) AS tid, start_ts, end_ts, n AS point_count FROM merged")
 def merged_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stays.merged(stays.stays(frame(spark, sf_dir, "pings"))).select("tid", "start_ts", "end_ts", F.col("point_count").cast("long").alias("point_count"))
 
@@ -96,7 +94,7 @@ z AS (SELECT *, max(part) OVER (PARTITION BY tid, v) AS last FROM q)"""
 @op("segments", f"""WITH RECURSIVE {SCAN}, {LEGS}
 SELECT CAST(tid AS BIGINT) AS tid, start_ts, end_ts, CASE WHEN k > 140 THEN 'flying' WHEN k > 25 THEN 'driving' WHEN k > 7 THEN 'cycling' ELSE 'walking' END AS mode, round(d, 2) AS distance_m,
        CASE WHEN part = 0 THEN v END AS start_visit, CASE WHEN part = last THEN b END AS end_visit
-FROM (SELECT *, (d / 1000) / ((end_ts - start_ts) / 3600.0) AS k FROM z WHERE n >= 2 AND d >= 20 AND end_ts > start_ts) y""", {"pings"})
+FROM (SELECT *, (d / 1000) / ((end_ts - start_ts) / 3600.0) AS k FROM z WHERE n >= 2 AND d >= 20 AND end_ts > start_ts) y""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = stays.trusted(frame(spark, sf_dir, "pings"))
     visits = keeper(spark, "visits")(stays.merged(stays.stays(trusted)))
@@ -105,7 +103,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op("gap_split_legs", f"""WITH {TRUSTED}, a AS (SELECT *, tst - lag(tst) OVER (PARTITION BY tid ORDER BY tst, id) AS gap FROM t),
 b AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY tst, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM a)
-SELECT CAST(tid AS BIGINT) AS tid, CAST(part AS BIGINT) AS part, min(tst) AS start_ts, max(tst) AS end_ts, count(*) AS n FROM b GROUP BY 1, 2""", {"pings"})
+SELECT CAST(tid AS BIGINT) AS tid, CAST(part AS BIGINT) AS part, min(tst) AS start_ts, max(tst) AS end_ts, count(*) AS n FROM b GROUP BY 1, 2""")
 def gap_split_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("tid").orderBy("tst", "id")
     rows = stays.trusted(frame(spark, sf_dir, "pings")).withColumn("gap", F.col("tst") - F.lag("tst").over(w))
@@ -113,92 +111,101 @@ def gap_split_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tid", "part").agg(F.min("tst").alias("start_ts"), F.max("tst").alias("end_ts"), F.count("*").alias("n"))
 
 
-@op("chained_runs", f"WITH {_CHAIN.replace('{segments}', 'segments')} SELECT mode, start_ts, end_ts, round(distance_m, 2) AS distance_m, n AS n_segments FROM j", {"segments"})
+@op("chained_runs", f"WITH {CHAIN} SELECT tid, mode, start_ts, end_ts, round(distance_m, 2) AS distance_m, n AS n_segments FROM j")
 def chained_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = legs.chained(frame(spark, sf_dir, "segments"), ["k1", "k2", "k3", "k4", "distance_m"])
-    return rows.select("mode", "start_ts", "end_ts", F.round("distance_m", 2).alias("distance_m"), "n_segments")
+    rows = legs.chained(frame(spark, sf_dir, "segments"), SEGMENT_KEYS)
+    return rows.select("tid", "mode", "start_ts", "end_ts", F.round("distance_m", 2).alias("distance_m"), "n_segments")
 
 
-ENDS = f"""pv AS (SELECT v.id, v.start_ts, v.end_ts, v.place_id, p.lat, p.lon FROM visits v JOIN places p ON v.place_id = p.id)"""
-
-
-@op("longest_journey", f"""WITH {_CHAIN.replace('{segments}', 'segments')}, {ENDS},
-c AS (SELECT mode, start_ts, end_ts, round(distance_m, 2) AS dist FROM j ORDER BY round(distance_m, 2) DESC, start_ts, mode LIMIT 25),
-e AS (SELECT c.*, x.lat AS la, x.lon AS lo, x.place_id AS from_place, y.lat AS lb, y.lon AS lp, y.place_id AS to_place FROM c
-      LEFT JOIN LATERAL (SELECT * FROM pv WHERE pv.end_ts <= c.start_ts ORDER BY pv.end_ts DESC, pv.start_ts DESC, pv.id DESC LIMIT 1) x ON true
-      LEFT JOIN LATERAL (SELECT * FROM pv WHERE pv.start_ts >= c.end_ts ORDER BY pv.start_ts, pv.end_ts, pv.id LIMIT 1) y ON true)
-SELECT mode, start_ts, from_place, to_place, round({M('la', 'lo', 'lb', 'lp')}, 1) AS ends_m FROM e WHERE la IS NOT NULL AND lb IS NOT NULL ORDER BY 5 DESC, 2, 1 LIMIT 1""", {"segments", "visits", "places"})
+@op("longest_journey", f"""WITH {CHAIN}, pv AS MATERIALIZED (SELECT v.tid, v.id AS vid, v.start_ts, v.end_ts, v.place_id, p.name, p.city, p.country, p.lat, p.lon FROM visits v JOIN places p ON v.place_id = p.id),
+c AS (SELECT tid, mode, start_ts, end_ts, round(distance_m, 2) AS dist FROM j QUALIFY row_number() OVER (PARTITION BY tid ORDER BY round(distance_m, 2) DESC, start_ts, mode) <= 25)
+SELECT tid, mode, start_ts, from_place, to_place, round(ends_m, 1) AS ends_m FROM {with_ends("c")} WHERE ends_m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tid ORDER BY round(ends_m, 1) DESC, start_ts, mode) = 1""")
 def longest_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = legs.chained(frame(spark, sf_dir, "segments"), ["k1", "k2", "k3", "k4", "distance_m"])
-    top = chains.select("mode", "start_ts", "end_ts", F.round("distance_m", 2).alias("dist")).orderBy(F.desc("dist"), "start_ts", "mode").limit(25)
-    visits = frame(spark, sf_dir, "visits").join(frame(spark, sf_dir, "places").select(F.col("id").alias("place_id"), "lat", "lon"), "place_id")
-    rows = places.with_ends(top, visits).where("ends_m is not null").withColumn("ends_m", F.round("ends_m", 1))
-    return rows.orderBy(F.desc("ends_m"), "start_ts", "mode").limit(1).select("mode", "start_ts", "from_place", "to_place", "ends_m")
+    chains = legs.chained(frame(spark, sf_dir, "segments"), SEGMENT_KEYS).withColumn("dist", F.round("distance_m", 2))
+    rank = F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("dist"), "start_ts", "mode"))
+    some = chains.select("tid", "mode", "start_ts", "end_ts", "dist").withColumn("r", rank).where("r <= 25")
+    visits = placed(frame(spark, sf_dir, "visits"), frame(spark, sf_dir, "places"))
+    rows = places.with_ends(some, visits, ["tid"]).where("ends_m is not null").withColumn("ends_m", F.round("ends_m", 1))
+    return top(rows, ["tid"], [-F.col("ends_m"), F.col("start_ts"), F.col("mode")], "mode", "start_ts", "from_place", "to_place", "ends_m")
 
 
-@op("highest_point", f"""WITH h AS (SELECT id, tst, alt FROM pings WHERE alt IS NOT NULL ORDER BY alt DESC, tst, id LIMIT 1)
-SELECT h.id, h.tst, coalesce((SELECT place_id FROM visits WHERE start_ts <= h.tst ORDER BY start_ts DESC, id DESC LIMIT 1), (SELECT place_id FROM visits WHERE start_ts >= h.tst ORDER BY start_ts, id LIMIT 1)) AS place_id FROM h""", {"pings", "visits"})
+@op("highest_point", f"""WITH h AS (SELECT * FROM pings WHERE alt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tid ORDER BY alt DESC, tst, id) = 1)
+SELECT h.tid, h.id, h.tst, coalesce((SELECT place_id FROM visits v WHERE v.tid = h.tid AND v.start_ts <= h.tst ORDER BY v.start_ts DESC, v.id DESC LIMIT 1), (SELECT place_id FROM visits v WHERE v.tid = h.tid AND v.start_ts >= h.tst ORDER BY v.start_ts, v.id LIMIT 1)) AS place_id FROM h""")
 def highest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = frame(spark, sf_dir, "pings").where("alt is not null").orderBy(F.desc("alt"), "tst", "id").limit(1).select("id", "tst")
-    visits = frame(spark, sf_dir, "visits").select(F.col("id").alias("vid"), "start_ts", "place_id")
-    before = sequence.asof(top, visits, "tst", "start_ts", ["place_id"], tie=["vid"]).withColumnRenamed("asof", "b")
-    both = sequence.asof(before, visits, "tst", "start_ts", ["place_id"], forward=True, tie=["vid"])
-    return both.select("id", "tst", F.coalesce("b.place_id", "asof.place_id").alias("place_id"))
+    best = top(frame(spark, sf_dir, "pings").where("alt is not null"), ["tid"], [-F.col("alt"), F.col("tst"), F.col("id")], "id", "tst")
+    visits = frame(spark, sf_dir, "visits").select("tid", F.col("id").alias("vid"), "start_ts", "place_id")
+    before = sequence.asof(best, visits, "tst", "start_ts", ["place_id"], ["tid"], tie=["vid"]).withColumnRenamed("asof", "b")
+    both = sequence.asof(before, visits, "tst", "start_ts", ["place_id"], ["tid"], forward=True, tie=["vid"])
+    return both.select("tid", "id", "tst", F.coalesce("b.place_id", "asof.place_id").alias("place_id"))
 
 
-HOMED = f"""hv AS (SELECT v.*, p.category, p.city, p.country, p.country_code, p.lat, p.lon, 0 AS tid FROM visits v JOIN places p ON v.place_id = p.id),
+HOMED = f"""hv AS (SELECT v.*, p.category, p.city, p.country, p.country_code, p.lat, p.lon FROM visits v JOIN places p ON v.place_id = p.id),
 hh AS (SELECT hv.id, min_by(h.id, h.id) AS home, min_by(h.lat, h.id) AS hlat, min_by(h.lon, h.id) AS hlon, min_by(h.radius_m, h.id) AS r FROM hv JOIN home_periods h
-       ON (h.start_ts IS NULL OR h.start_ts <= hv.start_ts) AND (h.end_ts IS NULL OR hv.start_ts < h.end_ts) GROUP BY 1),
+       ON h.tid = hv.tid AND (h.start_ts IS NULL OR h.start_ts <= hv.start_ts) AND (h.end_ts IS NULL OR hv.start_ts < h.end_ts) GROUP BY 1),
 ha AS (SELECT hv.*, hh.home, {M('hv.lat', 'hv.lon', 'hh.hlat', 'hh.hlon')} AS home_m, coalesce({M('hv.lat', 'hv.lon', 'hh.hlat', 'hh.hlon')} > hh.r, false) AS away, coalesce({M('hv.lat', 'hv.lon', 'hh.hlat', 'hh.hlon')} <= 15000, false) AS near FROM hv LEFT JOIN hh ON hv.id = hh.id)"""
 
 
 def _homed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = frame(spark, sf_dir, "places").select(F.col("id").alias("place_id"), "category", "city", "country", "country_code", "lat", "lon")
-    visits = frame(spark, sf_dir, "visits").join(p, "place_id").withColumn("tid", F.lit(0).cast("long"))
+    visits = frame(spark, sf_dir, "visits").join(p, "place_id")
     return keeper(spark, "homed")(away.with_home(visits, frame(spark, sf_dir, "home_periods")))
 
 
-@op("home_period_lookup", f"WITH {HOMED} SELECT id, home, round(home_m, 1) AS home_m, away, near AS near_home FROM ha", {"visits", "places", "home_periods"})
+@op("home_period_lookup", f"WITH {HOMED} SELECT id, home, round(home_m, 1) AS home_m, away, near AS near_home FROM ha")
 def home_period_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _homed(spark, sf_dir).select("id", "home", F.round("home_m", 1).alias("home_m"), "away", "near_home")
 
 
 @op("trips", f"""WITH {HOMED},
-r0 AS (SELECT *, lag(end_ts) OVER w AS g0, lag(away) OVER w AS wa, lag(near) OVER w AS wn FROM ha WHERE category <> 'Work' AND source <> 'photo_import' WINDOW w AS (ORDER BY start_ts, id)),
-gp AS (SELECT DISTINCT g0, start_ts AS g1 FROM r0 WHERE away AND wa AND start_ts - g0 > 86400),
-cv AS (SELECT gp.g0, gp.g1, greatest(s.start_ts, g0) AS s, least(s.end_ts, g1) AS e FROM gp JOIN segments s ON s.start_ts < g1 AND s.end_ts > g0),
-ho AS (SELECT g0, g1, e, s - greatest(g0, coalesce(max(e) OVER (PARTITION BY g0, g1 ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g0)) AS hole FROM cv),
-bl AS (SELECT gp.g0, gp.g1, coalesce(greatest(max(hole), gp.g1 - max(e)), gp.g1 - gp.g0) AS blank FROM gp LEFT JOIN ho ON gp.g0 = ho.g0 AND gp.g1 = ho.g1 GROUP BY gp.g0, gp.g1),
-r1 AS (SELECT r0.*, CASE WHEN away AND (NOT coalesce(wa, false) OR (start_ts - r0.g0 > 28800 AND (wn OR near)) OR coalesce(bl.blank, 0) > 86400) THEN 1 ELSE 0 END AS new FROM r0 LEFT JOIN bl ON r0.g0 = bl.g0 AND r0.start_ts = bl.g1),
-r2 AS (SELECT *, sum(new) OVER (ORDER BY start_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r1),
-ev AS (SELECT run, 0 AS own, id, start_ts, end_ts, city, country FROM r2 WHERE away UNION ALL SELECT -1, id, id, start_ts, end_ts, city, country FROM ha WHERE source = 'photo_import'),
-sp AS (SELECT run, own, min(start_ts) AS start_ts, arg_max(end_ts, (start_ts, id)) AS end_ts, count(*) AS n_visits FROM ev GROUP BY 1, 2),
-vt AS (SELECT run, own, CASE WHEN city IS NOT NULL THEN 0 ELSE 1 END AS kind, coalesce(city, country) AS label, sum(greatest(end_ts - start_ts, 60)) AS s, min(start_ts) AS seen FROM ev WHERE coalesce(city, country) IS NOT NULL GROUP BY 1, 2, 3, 4),
-bt AS (SELECT *, row_number() OVER (PARTITION BY run, own ORDER BY kind, s DESC, seen, label) AS i FROM vt)
-SELECT sp.start_ts, sp.end_ts, sp.n_visits, CASE WHEN bt.kind = 0 THEN bt.label END AS primary_city FROM sp LEFT JOIN bt ON sp.run = bt.run AND sp.own = bt.own AND bt.i = 1 WHERE sp.end_ts - sp.start_ts >= 21600""", {"visits", "places", "home_periods", "segments"})
+r0 AS (SELECT *, lag(end_ts) OVER w AS g0, lag(away) OVER w AS wa, lag(near) OVER w AS wn FROM ha WHERE category <> 'Work' AND source <> 'photo_import' WINDOW w AS (PARTITION BY tid ORDER BY start_ts, id)),
+gp AS (SELECT DISTINCT tid, g0, start_ts AS g1 FROM r0 WHERE away AND wa AND start_ts - g0 > 86400),
+cv AS (SELECT gp.tid, gp.g0, gp.g1, greatest(s.start_ts, g0) AS s, least(s.end_ts, g1) AS e FROM gp JOIN segments s ON s.tid = gp.tid AND s.start_ts < g1 AND s.end_ts > g0),
+ho AS (SELECT tid, g0, g1, e, s - greatest(g0, coalesce(max(e) OVER (PARTITION BY tid, g0, g1 ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g0)) AS hole FROM cv),
+bl AS (SELECT gp.tid, gp.g0, gp.g1, coalesce(greatest(max(hole), gp.g1 - max(e)), gp.g1 - gp.g0) AS blank FROM gp LEFT JOIN ho ON gp.tid = ho.tid AND gp.g0 = ho.g0 AND gp.g1 = ho.g1 GROUP BY gp.tid, gp.g0, gp.g1),
+r1 AS (SELECT r0.*, CASE WHEN away AND (NOT coalesce(wa, false) OR (start_ts - r0.g0 > 28800 AND (wn OR near)) OR coalesce(bl.blank, 0) > 86400) THEN 1 ELSE 0 END AS new FROM r0 LEFT JOIN bl ON r0.tid = bl.tid AND r0.g0 = bl.g0 AND r0.start_ts = bl.g1),
+r2 AS (SELECT *, sum(new) OVER (PARTITION BY tid ORDER BY start_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r1),
+ev AS (SELECT tid, run, 0 AS own, id, start_ts, end_ts, city, country FROM r2 WHERE away UNION ALL SELECT tid, -1, id, id, start_ts, end_ts, city, country FROM ha WHERE source = 'photo_import'),
+sp AS (SELECT tid, run, own, min(start_ts) AS start_ts, arg_max(end_ts, (start_ts, id)) AS end_ts, count(*) AS n_visits FROM ev GROUP BY 1, 2, 3),
+vt AS (SELECT tid, run, own, CASE WHEN city IS NOT NULL THEN 0 ELSE 1 END AS kind, coalesce(city, country) AS label, sum(greatest(end_ts - start_ts, 60)) AS s, min(start_ts) AS seen FROM ev WHERE coalesce(city, country) IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+bt AS (SELECT *, row_number() OVER (PARTITION BY tid, run, own ORDER BY kind, s DESC, seen, label) AS i FROM vt)
+SELECT sp.tid, sp.start_ts, sp.end_ts, sp.n_visits, CASE WHEN bt.kind = 0 THEN bt.label END AS primary_city FROM sp LEFT JOIN bt ON sp.tid = bt.tid AND sp.run = bt.run AND sp.own = bt.own AND bt.i = 1 WHERE sp.end_ts - sp.start_ts >= 21600""")
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = frame(spark, sf_dir, "segments").withColumn("tid", F.lit(0).cast("long"))
-    return away.trips(_homed(spark, sf_dir), seg).select("start_ts", "end_ts", "n_visits", "primary_city")
+    return away.trips(_homed(spark, sf_dir), frame(spark, sf_dir, "segments")).select("tid", "start_ts", "end_ts", "n_visits", "primary_city")
+
+
+def _chained_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of seven names, so that many share one."""
+    return frame(spark, sf_dir, "places").withColumn("name", F.concat(F.lit("Chain "), (F.col("id") % 7).cast("string"))).withColumn("city", F.when(F.col("id") % 29 > 0, F.col("country")))
 
 
-@op("similar_places", f"SELECT a.id, b.id AS other, round({M('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS metres FROM places a JOIN places b ON a.category = b.category AND a.id < b.id AND abs(a.lat - b.lat) < 0.03 WHERE {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2000", {"places"})
+CHAINED = "np AS (SELECT * REPLACE ('Chain ' || (id % 7) AS name, CASE WHEN id % 29 > 0 THEN country END AS city) FROM places)"
+
+
+@op("similar_places", f"""WITH {CHAINED} SELECT a.tid, a.id, b.id AS other, a.name, a.city, round({M('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS metres, (SELECT count(*) FROM visits v WHERE v.place_id = b.id) AS n_visits
+FROM np a JOIN np b ON a.tid = b.tid AND a.name = b.name AND a.city IS NOT DISTINCT FROM b.city AND a.id <> b.id WHERE {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2000""")
 def similar_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places.similar(frame(spark, sf_dir, "places")).withColumn("metres", F.round("metres", 2))
+    n = frame(spark, sf_dir, "visits").groupBy(F.col("place_id").alias("other")).agg(F.count("*").alias("n_visits"))
+    rows = places.similar(_chained_places(spark, sf_dir)).withColumn("metres", F.round("metres", 2))
+    return rows.join(n, "other", "left").fillna(0, ["n_visits"])
 
 
-@op("place_dedupe")
+# clusters as a list that a recursion over the places of a name carries along
+@op("place_dedupe", f"""WITH RECURSIVE {CHAINED}, o AS (SELECT id, tid, name, city, lat, lon, (SELECT count(*) FROM visits v WHERE v.place_id = np.id) AS n, row_number() OVER (PARTITION BY tid, name, city ORDER BY id) AS i FROM np),
+r AS (SELECT tid, name, city, i, id, n, [{{'a': lat, 'b': lon, 'c': 1}}] AS cl, 1::BIGINT AS k FROM o WHERE i = 1
+  UNION ALL SELECT x.tid, x.name, x.city, x.i, x.id, x.n, CASE WHEN hit IS NULL THEN list_append(cl, {{'a': x.lat, 'b': x.lon, 'c': 1}}) ELSE list_transform(cl, lambda c, j: CASE WHEN j = hit THEN {{'a': c.a + x.lat, 'b': c.b + x.lon, 'c': c.c + 1}} ELSE c END) END, coalesce(hit, len(cl) + 1)
+  FROM (SELECT o.*, r.cl, nullif(list_position(list_transform(r.cl, lambda c: {M('c.a / c.c', 'c.b / c.c', 'o.lat', 'o.lon')} <= 300), true), 0)::BIGINT AS hit FROM r JOIN o ON o.tid = r.tid AND o.name = r.name AND o.city IS NOT DISTINCT FROM r.city AND o.i = r.i + 1) x)
+SELECT id, first_value(id) OVER (PARTITION BY tid, name, city, k ORDER BY n DESC, id) AS keeper FROM r""")
 def place_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, "places").withColumn("name", F.concat(F.lit("Chain "), (F.col("id") % 7).cast("string"))).withColumn("city", F.col("country"))
-    return places.greedy_clusters(rows)
+    return places.greedy_clusters(_chained_places(spark, sf_dir), frame(spark, sf_dir, "visits"))
 
 
-@op("phantom_removal", "SELECT id, start_ts, end_ts FROM (SELECT id, CAST(floor(start_ts / 3600.0) AS BIGINT) * 3600 AS start_ts, CAST(floor(end_ts / 3600.0) AS BIGINT) * 3600 AS end_ts, source FROM visits) v WHERE NOT (source = 'google_import' AND end_ts - start_ts = 7200)", {"visits"})
+@op("phantom_removal", "SELECT id, start_ts, end_ts FROM (SELECT id, CAST(floor(start_ts / 3600.0) AS BIGINT) * 3600 AS start_ts, CAST(floor(end_ts / 3600.0) AS BIGINT) * 3600 AS end_ts, source FROM visits) v WHERE NOT (source = 'google_import' AND end_ts - start_ts = 7200)")
 def phantom_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = lambda c: (F.floor(F.col(c) / 3600) * 3600).alias(c)
     return overlays.without_phantoms(frame(spark, sf_dir, "visits").select("id", hour("start_ts"), hour("end_ts"), "source")).drop("source")
 
 
-@op("segment_edits", "SELECT k1, k2, k3, k4, start_ts, distance_m, CASE WHEN k1 % 10 = 0 THEN 'train' WHEN k1 % 10 = 1 THEN 'bus' ELSE mode END AS mode FROM segments WHERE k1 % 10 <> 2", {"segments"})
+@op("segment_edits", "SELECT k1, k2, k3, k4, start_ts, distance_m, CASE WHEN k1 % 10 = 0 THEN 'train' WHEN k1 % 10 = 1 THEN 'bus' ELSE mode END AS mode FROM segments WHERE k1 % 10 <> 2")
 def segment_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "segments").select("k1", "k2", "k3", "k4", "start_ts", "distance_m", "mode")
     keys = rows.select("k1").distinct()
@@ -206,19 +213,19 @@ def segment_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlays.without(overlays.patched(rows, edits, ["k1"], ["mode"]), keys.where("k1 % 10 = 2"), ["k1"])
 
 
-@op("place_merge", "SELECT CASE WHEN place_id % 3 = 1 THEN place_id - 1 ELSE place_id END AS place_id, count(*) AS n_visits FROM visits GROUP BY 1", {"visits"})
+@op("place_merge", "SELECT CASE WHEN place_id % 3 = 1 THEN place_id - 1 ELSE place_id END AS place_id, count(*) AS n_visits FROM visits GROUP BY 1")
 def place_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     alias = frame(spark, sf_dir, "places").where("id % 3 = 1").select(F.col("id").alias("old_id"), (F.col("id") - 1).alias("new_id"))
     rows = overlays.repointed(frame(spark, sf_dir, "visits"), alias)
     return rows.groupBy("place_id").agg(F.count("*").alias("n_visits"))
 
 
-@op("away_seconds_per_day", "SELECT bin AS day, CAST(sum(least(end_ts, (bin + 1) * 86400) - greatest(start_ts, bin * 86400)) AS BIGINT) AS seconds FROM (SELECT start_ts, end_ts, CAST(unnest(generate_series(CAST(floor(start_ts / 86400.0) AS BIGINT), CAST(floor((end_ts - 1) / 86400.0) AS BIGINT))) AS BIGINT) AS bin FROM trips) t GROUP BY 1", {"trips"})
+@op("away_seconds_per_day", "SELECT bin AS day, CAST(sum(least(end_ts, (bin + 1) * 86400) - greatest(start_ts, bin * 86400)) AS BIGINT) AS seconds FROM (SELECT start_ts, end_ts, CAST(unnest(generate_series(CAST(floor(start_ts / 86400.0) AS BIGINT), CAST(floor((end_ts - 1) / 86400.0) AS BIGINT))) AS BIGINT) AS bin FROM trips) t GROUP BY 1")
 def away_seconds_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.clipped_per_bin(frame(spark, sf_dir, "trips"), "start_ts", "end_ts", 86400, "day").groupBy("day").agg(F.sum("seconds").alias("seconds"))
 
 
-@op("overlapping_visits", "SELECT a.id AS a, b.id AS b FROM visits a JOIN visits b ON a.id < b.id AND a.start_ts <= b.end_ts AND a.end_ts >= b.start_ts AND a.place_id = b.place_id", {"visits"})
+@op("overlapping_visits", "SELECT a.id AS a, b.id AS b FROM visits a JOIN visits b ON a.id < b.id AND a.start_ts <= b.end_ts AND a.end_ts >= b.start_ts AND a.place_id = b.place_id")
 def overlapping_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = frame(spark, sf_dir, "visits")
     a = v.select("place_id", F.col("id").alias("a"), F.col("start_ts").alias("a0"), F.col("end_ts").alias("a1"))
@@ -227,29 +234,36 @@ def overlapping_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @op("nearby_places", f"""WITH m AS (SELECT a.id, b.name, b.category, {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS metres FROM places a JOIN places b ON b.name IS NOT NULL AND abs(a.lat - b.lat) < 0.01 WHERE {M('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 400),
-o AS (SELECT id, name, round(min(metres), 2) AS metres FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, name) AS rank FROM o) SELECT id, name, metres, rank FROM r WHERE rank <= 15""", {"places"})
+o AS (SELECT id, name, round(min(metres), 2) AS metres FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, name) AS rank FROM o) SELECT id, name, metres, rank FROM r WHERE rank <= 15""")
 def nearby_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = frame(spark, sf_dir, "places")
     return places.nearby(p, p, 400.0).select("id", "name", "metres", "rank")
 
 
-@op("place_search", f"SELECT id, name, round({M('lat', 'lon', '50.0', '0.0')}, 1) AS metres FROM places WHERE lower(name) LIKE '%00001%' ORDER BY {M('lat', 'lon', '50.0', '0.0')}, id LIMIT 8", {"places"})
+@op("place_search", f"SELECT id, name, round({M('lat', 'lon', '50.0', '0.0')}, 1) AS metres FROM places WHERE lower(name) LIKE '%00001%' ORDER BY {M('lat', 'lon', '50.0', '0.0')}, id LIMIT 8")
 def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.text_search(frame(spark, sf_dir, "places"), "00001", 50.0, 0.0).select("id", "name", F.round("metres", 1).alias("metres"))
 
 
-@op("rail_route")
+# the grid by its indices, and distances relaxed by a keyed recursion until none improves
+@op("rail_route", f"""WITH RECURSIVE nd AS MATERIALIZED (SELECT a.range * 100 + b.range AS n, 50.0 + a.range * 0.01 AS lat, b.range * 0.01 AS lon FROM range(12) a, range(12) b),
+ed AS MATERIALIZED (SELECT p.n AS s, q.n AS t, {M('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS m FROM nd p JOIN nd q ON abs(p.n - q.n) = 1 OR abs(p.n - q.n) = 100 AND p.n % 100 % 3 = 0 AND p.n % 100 < 12),
+sn AS MATERIALIZED (SELECT p.id, p.tid, arg_min(nd.n, (round({M('p.lat', 'p.lon', 'nd.lat', 'nd.lon')}, 3), nd.n)) AS n FROM places p JOIN nd ON abs(p.lat - nd.lat) < 0.05 AND {M('p.lat', 'p.lon', 'nd.lat', 'nd.lon')} <= 2000 GROUP BY ALL),
+rq AS MATERIALIZED (SELECT id, n AS s, lead(n) OVER (PARTITION BY tid ORDER BY id) AS t FROM sn),
+pa(s, n, d, k) USING KEY (s, n) AS (SELECT DISTINCT s, s, 0.0::DOUBLE, 1::BIGINT FROM rq UNION
+  SELECT pa.s, ed.t, min(pa.d + ed.m), arg_min(pa.k + 1, pa.d + ed.m) FROM pa JOIN ed ON ed.s = pa.n LEFT JOIN recurring.pa r ON r.s = pa.s AND r.n = ed.t WHERE r.d IS NULL OR pa.d + ed.m < r.d - 1e-6 GROUP BY 1, 2)
+SELECT rq.id, round(pa.d, 1) AS metres, CAST(pa.k AS INT) AS n_nodes FROM rq JOIN pa ON pa.s = rq.s AND pa.n = rq.t""")
 def rail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest paths on a grid of ways, one way for each row and column, between all places snapped to it."""
+    """Shortest paths on a grid of ways, one way for each row and every third column, from each place snapped to it to the person's next."""
     line = lambda s: F.transform(F.sequence(F.lit(0), F.lit(11)), s)
     rows = spark.range(12).select(F.col("id").alias("way_id"), line(lambda x: F.struct((F.lit(50.0) + F.col("id") * 0.01).alias("lat"), (x * 0.01).alias("lon"))).alias("geometry"))
     cols = spark.range(0, 12, 3).select((F.col("id") + 100).alias("way_id"), line(lambda x: F.struct((F.lit(50.0) + x * 0.01).alias("lat"), (F.col("id") * 0.01).alias("lon"))).alias("geometry"))
     keep = keeper(spark, "rail")
     ways = keep(rows.unionByName(cols))
     edges, nodes = keep(routing.edges_of(ways)), keep(routing.nodes_of(ways))
-    some = frame(spark, sf_dir, "places").select("id", "lat", "lon")
-    at = keep(routing.snapped(some, nodes))
-    ends = at.select("id", F.col("node").alias("src")).withColumn("next", F.lead("src").over(Window.orderBy("id")))
+    some = frame(spark, sf_dir, "places")
+    at = routing.snapped(some.select("id", "lat", "lon"), nodes).join(some.select("id", "tid"), "id")
+    ends = keep(at.select("id", "tid", F.col("node").alias("src"))).withColumn("next", F.lead("src").over(Window.partitionBy("tid").orderBy("id")))
     requests = ends.where("next is not null").select("id", "src", F.col("next").alias("dst"))
     return routing.shortest_paths(requests, edges, keep).select("id", F.round("metres", 1).alias("metres"), F.size("path").alias("n_nodes"))
 
@@ -259,7 +273,3 @@ def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     name = f"hourly_{uuid.uuid4().hex}"
     return ingest.counts_by_hour(spark, sf_dir, "events.parquet", schema, name, shared(spark, "stream"))
-
-
-# no WITH views for a statement over plain tables
-ORACLE["stream_hourly_events"] = ORACLE["stream_hourly_events"].replace("WITH  SELECT", "SELECT").replace("WITH SELECT", "SELECT")

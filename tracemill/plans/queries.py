@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import operator_queries, reports
+from .checks import CHECKS
 from .dialect import CHECK
-from .fixtures import check_views, frame
+from .fixtures import VIEWS, check_views, frame
 
 
 def _report(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return reports.report(spark, name, **{k: frame(spark, sf_dir, k) for k in reports.inputs_of(name)})
+        return reports.REPORTS[name](*[frame(spark, sf_dir, k) for k in reports.INPUTS[name]])
 
     run.__name__ = name
     return run
 
 
-def _check(name: str) -> str:
-    text = reports.statement(name, CHECK)
-    used = reports.inputs_of(name)
-    for k in used:
-        text = text.replace(f"{{{k}}}", k)
-    views = check_views(CHECK, used)
-    body = text.strip()
-    return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
+def with_views(statement: str) -> str:
+    """A statement of the checking database with the views that it names in front."""
+    views = check_views(CHECK, {v for v in VIEWS if re.search(rf"\b{v}\b", statement)})
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if statement.startswith(head):
+            return f"{head}{views}, {statement[len(head):]}"
+    return f"WITH {views} {statement}" if views else statement
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in reports.Q} | operator_queries.QUERIES
-ORACLE: dict[str, str] = {name: _check(name) for name in reports.Q} | operator_queries.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in reports.REPORTS} | operator_queries.QUERIES
+ORACLE: dict[str, str] = {name: with_views(text) for name, text in (CHECKS | operator_queries.CHECKS).items()}
