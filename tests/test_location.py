@@ -84,8 +84,11 @@ def test_modes_at_their_limits(spark):
 
 def test_chaining(spark):
     rows = [(0, 100, "train"), (100 + 7200, 8000, "train"), (8000 + 7201, 16_000, "train"), (16_001, 16_100, "flying"), (16_101, 16_200, "flying")]
-    df = spark.createDataFrame([(a, b, m, 1.0, 1.0, i) for i, (a, b, m) in enumerate(rows)], "start_ts long, end_ts long, mode string, distance_m double, duration_s double, k long")
-    got = legs.chained(df, ["k"]).orderBy("start_ts").collect()
+    df = spark.createDataFrame([(a, b, m, 1.0, 1.0, i) for i, (a, b, m) in enumerate(rows)], "start_ts long, end_ts long, mode string, distance_m double, duration_s double, k long").withColumn("tid", F.lit(1))
+    df = df.union(spark.createDataFrame([(7000, 7100, "train", 1.0, 1.0, 9, 2)], df.schema))
+    every = legs.chained(df, ["k"])
+    assert every.where("tid = 2").count() == 1
+    got = every.where("tid = 1").orderBy("start_ts").collect()
     assert [(r["mode"], r["n_segments"], r["end_ts"]) for r in got] == [("train", 2, 8000), ("train", 1, 16_000), ("flying", 1, 16_100), ("flying", 1, 16_200)]
 
 
@@ -148,23 +151,63 @@ def test_radius_join_equals_nested_loop(spark):
 
 
 def test_overlays(spark):
-    seg = spark.createDataFrame([(1, "walking", 0, 10, "owntracks"), (2, "bus", 20, 30, "owntracks")], "id long, mode string, start_ts long, end_ts long, source string")
+    seg = spark.createDataFrame([(1, "walking", 0, 10, "owntracks"), (2, "bus", 20, 30, "owntracks")], "id long, mode string, start_ts long, end_ts long, source string").withColumn("tid", F.lit(1))
     edits = spark.createDataFrame([(1, "train", 1), (1, "tram", 2)], "id long, mode string, edited_at long")
     assert {r["id"]: r["mode"] for r in overlays.patched(seg, edits, ["id"], ["mode"]).collect()} == {1: "tram", 2: "bus"}
-    visits = spark.createDataFrame([(1, 0, 10, "owntracks", 5), (2, 50, 60, "google_import", 6), (3, 70, 80, "manual", 5)], "id long, start_ts long, end_ts long, source string, place_id long")
+    visits = spark.createDataFrame([(1, 0, 10, "owntracks", 5), (2, 50, 60, "google_import", 6), (3, 70, 80, "manual", 5)], "id long, start_ts long, end_ts long, source string, place_id long").withColumn("tid", F.lit(1))
     merged, kept = overlays.merged_into_previous(visits, seg, spark.createDataFrame([(2,)], "id long"))
     assert sorted((r["id"], r["end_ts"]) for r in merged.collect()) == [(1, 60), (3, 80)] and kept.count() == 0
-    new = spark.createDataFrame([(9, 5, 25, "manual", 7)], visits.schema)
+    new = spark.createDataFrame([(9, 5, 25, "manual", 7, 1)], visits.schema)
     v, s = overlays.manual_visit(visits, seg, new)
     assert sorted(r["id"] for r in v.collect()) == [2, 3, 9] and s.count() == 0
     v, s = overlays.manual_visit(visits, seg, new.withColumn("end_ts", F.lit(55).cast("long")))
     assert sorted(r["id"] for r in v.collect()) == [1, 2, 3] and s.count() == 2
     alias = spark.createDataFrame([(5, 6)], "old_id long, new_id long")
     assert {r["place_id"] for r in overlays.repointed(visits, alias).collect()} == {6}
-    phantom = spark.createDataFrame([(1, 7200, 14400, "google_import", 1), (2, 7201, 14401, "google_import", 1), (3, 7200, 14400, "manual", 1)], visits.schema)
+    phantom = spark.createDataFrame([(1, 7200, 14400, "google_import", 1), (2, 7201, 14401, "google_import", 1), (3, 7200, 14400, "manual", 1)], visits.drop("tid").schema)
     assert sorted(r["id"] for r in overlays.without_phantoms(phantom).collect()) == [2, 3]
 
 
+def test_edits_of_one_person_leave_others(spark):
+    seg = spark.createDataFrame([(t, 10 * t + 1, 0, 10, "owntracks") for t in (1, 2)], "tid long, id long, start_ts long, end_ts long, source string")
+    visits = spark.createDataFrame([(t, 10 * t + i, 20 * i, 20 * i + 10, "owntracks", 5) for t in (1, 2) for i in (0, 1, 2)], "tid long, id long, start_ts long, end_ts long, source string, place_id long")
+    merged, kept = overlays.merged_into_previous(visits, seg, spark.createDataFrame([(11,), (20,)], "id long"))
+    assert sorted((r["id"], r["end_ts"]) for r in merged.collect()) == [(10, 30), (12, 50), (20, 10), (21, 30), (22, 50)] and [r["tid"] for r in kept.collect()] == [2]
+    v, s = overlays.manual_visit(visits, seg, spark.createDataFrame([(1, 99, 5, 25, "manual", 6)], visits.schema))
+    assert sorted(r["id"] for r in v.collect()) == [12, 20, 21, 22, 99] and [r["tid"] for r in s.collect()] == [2]
+    stops = spark.createDataFrame([(11, 77, 50.0, 0.0, 8)], "sid long, new_id long, lat double, lon double, place_id long")
+    v, s = overlays.converted_to_visits(visits, seg.withColumnRenamed("id", "sid"), stops.withColumnRenamed("new_id", "id"), ["sid"])
+    made = v.where("id = 77").first()
+    assert (made["tid"], made["start_ts"], made["end_ts"], made["source"], made["place_id"], v.count(), s.count()) == (1, 0, 10, "owntracks", 8, 7, 1)
+
+
+def test_names_from_answers(spark):
+    p = spark.createDataFrame(
+        [(1, "g1", "Wirtshaus", "München", None, None, "Other places", False), (2, "g2", "Rynek", "Kraków", None, None, "Streets and roads", False), (3, "g3", "X", None, None, None, "Hotels", False), (4, "g1", "Y", "Z", None, None, "Other places", True), (5, None, None, None, None, None, "Other places", None)],
+        "id long, google_place_id string, name string, city string, name_local string, city_local string, category string, manually_corrected boolean",
+    )
+    english = overlays.renamed(p, spark.createDataFrame([(1, "Wirtshaus", "Munich"), (2, None, "Kraków"), (5, "New", "New")], "id long, name string, city string"))
+    assert {r["id"]: (r["name"], r["city"], r["name_local"], r["city_local"]) for r in english.collect()} == {1: ("Wirtshaus", "Munich", None, "München"), 2: ("Rynek", "Kraków", None, None), 3: ("X", None, None, None), 4: ("Y", "Z", None, None), 5: (None, None, None, None)}
+    details = spark.createDataFrame([("g1", "Zum Bären", "Food and drink"), ("g2", " kraków", None), ("g3", "Inn", "Hotels")], "google_place_id string, vendor_name string, vendor_category string")
+    assert {r["id"]: (r["name"], r["category"]) for r in overlays.vendor_named(p, details).collect()} == {1: ("Zum Bären", "Food and drink"), 2: ("Rynek", "Streets and roads"), 3: ("X", "Hotels"), 4: ("Y", "Other places"), 5: (None, "Other places")}
+    trips = spark.createDataFrame([(1, 86400 * 10 + 5, 86400 * 12 + 7, None), (2, 86400 * 10, 86400 * 13, "old")], "id long, start_ts long, end_ts long, name string")
+    folders = spark.sql("SELECT 'B' AS folder, DATE'1970-01-11' AS first_day, DATE'1970-01-13' AS last_day UNION ALL SELECT 'A', DATE'1970-01-11', DATE'1970-01-13'")
+    assert {r["id"]: r["name"] for r in overlays.relabelled(trips, folders).collect()} == {1: "A", 2: "old"}
+
+
+def test_place_resolution(spark):
+    known = spark.createDataFrame([(1, "k1", "Inn", "C", "Hotels", 50.0, 0.0), (2, None, "Home", None, "Home", 51.0, 0.0)], "id long, google_place_id string, name string, city string, category string, lat_round double, lon_round double").withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
+    periods = spark.createDataFrame([(1, 51.0, 0.0, 500.0)], "id long, lat double, lon double, radius_m double")
+    at = [("k1", 10.0, 0.0), (None, 50.00001, 0.0), (None, 51 + 300 * M, 0.0), (None, 50 + 200 * M, 0.0), (None, 52.0, 0.0), (None, 52.00001, 0.0), (None, 53.0, 0.0), ("k9", 54.0, 0.0)]
+    visits = spark.createDataFrame([(i, k, a, b) for i, (k, a, b) in enumerate(at)], "id long, place_key string, lat double, lon double")
+    answers = spark.createDataFrame([(round(50 + 200 * M, 4), 0.0, "Inn", "C", "Hotels"), (52.0, 0.0, "Inn", "C", "Hotels")], "lat_round double, lon_round double, name string, city string, category string")
+    done, made = places.resolved_or_made(visits, known, periods, answers)
+    got = {r["id"]: r["place_id"] for r in done.collect()}
+    new = {r["id"]: r for r in made.collect()}
+    assert [got[i] for i in range(4)] == [1, 1, 2, 1] and got[4] == got[5] and len(new) == 3
+    assert (new[got[4]]["name"], new[got[6]]["category"], new[got[7]]["google_place_id"]) == ("Inn", "Other places", "k9")
+
+
 def test_places(spark):
     rows = [(1, 0, "Inn", "C", 50.0, 0.0), (2, 0, "Inn", "C", 50 + 250 * M, 0.0), (3, 0, "Inn", "C", 50 + 500 * M, 0.0), (4, 0, "Inn", "D", 50.0, 0.0), (5, 0, None, "C", 50.0, 0.0), (6, 1, "Inn", "C", 50.0, 0.0), (7, 0, "Inn", None, 50.0, 0.0)]
     df = spark.createDataFrame(rows, "id long, tid long, name string, city string, lat double, lon double")

@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import timeline
 
-V = "id long, start_ts long, end_ts long, place_id long"
-S = "id long, start_ts long, end_ts long, distance_m double"
+V = "tid long, id long, start_ts long, end_ts long, place_id long"
+S = "tid long, id long, start_ts long, end_ts long, distance_m double"
 
 
 def test_flanks_and_closing_visit(spark):
-    visits = spark.createDataFrame([(1, 0, 10, 5), (2, 20, 30, None)], V)
-    segs = spark.createDataFrame([(7, 10, 20, 1.0), (8, 20, 25, 3.0), (9, 40, 50, 2.0)], S)
+    visits = spark.createDataFrame([(1, 1, 0, 10, 5), (1, 2, 20, 30, None), (2, 11, 0, 5, 5)], V)
+    segs = spark.createDataFrame([(1, 7, 10, 20, 1.0), (1, 8, 20, 25, 3.0), (1, 9, 40, 50, 2.0)], S)
     line = timeline.merged_timeline(visits, segs)
-    assert [(r["kind"], r["id"]) for r in line.orderBy("position").collect()] == [("visit", 1), ("segment", 7), ("visit", 2), ("segment", 8), ("segment", 9)]
+    assert [(r["kind"], r["id"]) for r in line.where("tid = 1").orderBy("position").collect()] == [("visit", 1), ("segment", 7), ("visit", 2), ("segment", 8), ("segment", 9)]
     flanked = timeline.flanks(line)
     assert {r["id"]: (r["before"], r["after"]) for r in flanked.collect()} == {7: (1, 2), 8: (2, None), 9: (2, None)}
     shared = {r["id"]: (r["from_share"], r["to_share"]) for r in timeline.shares_of_span(flanked).collect()}
     assert shared == {7: (0.0, 1.0), 8: (0.0, 0.6), 9: (0.6, 1.0)}
-    more = visits.union(spark.createDataFrame([(3, 45, 500, 6), (4, 45, 500, None)], V))
-    closed = timeline.with_closing_visit(line, more, 100).orderBy("position").collect()
+    more = visits.union(spark.createDataFrame([(1, 3, 45, 500, 6), (1, 4, 45, 500, None), (2, 5, 45, 500, 6)], V))
+    closed = timeline.with_closing_visit(line, more, 100).where("tid = 1").orderBy("position").collect()
+    assert timeline.with_closing_visit(line, more, 100).where("tid = 2").count() == 1
     assert (closed[-1]["id"], closed[-1]["start_ts"], closed[-1]["end_ts"], len(closed)) == (3, 50, 100, 6)
 
 

@@ -33,10 +33,9 @@ def segments(visits: DataFrame, pings: DataFrame) -> DataFrame:
 
 
 def chained(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Journeys: consecutive segments of one mode with short pauses; flights never chain. keys order equal starts."""
-    w = Window.orderBy("start_ts", *keys) if "tid" not in segments.columns else Window.partitionBy("tid").orderBy("start_ts", *keys)
-    parts = ["tid"] if "tid" in segments.columns else []
+    """Journeys of each tid: consecutive segments of one mode with short pauses; flights never chain. keys order equal starts."""
+    w = Window.partitionBy("tid").orderBy("start_ts", *keys)
     rows = segments.withColumn("was", F.lag("mode").over(w)).withColumn("left", F.lag("end_ts").over(w))
     new = F.col("was").isNull() | (F.col("was") != F.col("mode")) | (F.col("mode") == "flying") | (F.col("start_ts") - F.col("left") > CHAIN_PAUSE)
-    rows = islands(rows, parts, ["start_ts", *keys], new, "journey")
-    return rows.groupBy(*parts, "journey").agg(F.first("mode").alias("mode"), F.min("start_ts").alias("start_ts"), F.max_by("end_ts", F.struct("start_ts", *keys)).alias("end_ts"), F.sum("distance_m").alias("distance_m"), F.sum("duration_s").alias("duration_s"), F.count("*").alias("n_segments")).drop("journey")
+    rows = islands(rows, ["tid"], ["start_ts", *keys], new, "journey")
+    return rows.groupBy("tid", "journey").agg(F.first("mode").alias("mode"), F.min("start_ts").alias("start_ts"), F.max_by("end_ts", F.struct("start_ts", *keys)).alias("end_ts"), F.sum("distance_m").alias("distance_m"), F.sum("duration_s").alias("duration_s"), F.count("*").alias("n_segments")).drop("journey")

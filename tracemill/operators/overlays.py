@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,26 +36,72 @@ def repointed(visits: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def merged_into_previous(visits: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The visits of `ids` are merged into the ones before them; segments inside a merged span go. visits: id, start_ts, end_ts."""
-    w = Window.orderBy("start_ts", "id")
+    """The visits of `ids` are merged into the ones before them; segments inside a merged span go. visits: tid, id, start_ts, end_ts."""
+    w = Window.partitionBy("tid").orderBy("start_ts", "id")
     marked = visits.join(ids.select("id", F.lit(1).alias("__m")), "id", "left").withColumn("__g", F.sum(F.when(F.col("__m").isNull(), 1).otherwise(0)).over(w))
-    first = marked.groupBy("__g").agg(F.min(F.struct("start_ts", "id")).alias("f"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n"))
+    first = marked.groupBy("tid", "__g").agg(F.min(F.struct("start_ts", "id")).alias("f"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n"))
     heads = first.select(F.col("f.id").alias("id"), F.col("end_ts").alias("__end"), "n")
     out = visits.join(heads, "id").withColumn("end_ts", F.col("__end"))
-    spans = out.where("n > 1").select(F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
-    kept = segments.join(spans, (F.col("start_ts") >= F.col("__s")) & (F.col("end_ts") <= F.col("__e")), "left_anti")
-    return out.select(*visits.columns), kept
+    spans = out.where("n > 1").select("tid", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
+    inside = (F.col("start_ts") >= F.col("__s")) & (F.col("end_ts") <= F.col("__e"))
+    return out.select(*visits.columns), _apart_from(segments, spans, inside)
+
+
+def _apart_from(rows: DataFrame, spans: DataFrame, meets: Column) -> DataFrame:
+    """rows (tid, start_ts, end_ts) without those that meet one of the spans (tid, __s, __e) they overlap; matched through day bins."""
+    days = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 86400), F.floor(F.greatest(F.col(a), F.col(b)) / 86400)))
+    dated = rows.select("tid", "start_ts", "end_ts").distinct().withColumn("__day", days("start_ts", "end_ts"))
+    hit = dated.join(spans.withColumn("__day", days("__s", "__e")), ["tid", "__day"]).where(meets).select("tid", "start_ts", "end_ts").distinct()
+    return rows.join(hit, ["tid", "start_ts", "end_ts"], "left_anti").select(*rows.columns)
 
 
 def manual_visit(visits: DataFrame, segments: DataFrame, visit: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Puts in a visit by hand (one row): tracked and manual rows that it overlaps go; over imported ones it is refused (no row is added)."""
-    v = visit.select(F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
+    """Puts in visits by hand (some rows): tracked and manual rows of the tid that they overlap go; over imported ones they are refused (not added)."""
+    v = visit.select("tid", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
     over = (F.col("start_ts") < F.col("__e")) & (F.col("end_ts") > F.col("__s"))
-    blocked = v.join(visits.where(~F.col("source").isin("owntracks", "manual")), over, "left_semi")
-    allowed = v.join(blocked, ["__s", "__e"], "left_anti")
-    keep = visits.join(allowed, over & F.col("source").isin("owntracks", "manual"), "left_anti")
-    added = visit.join(allowed, (F.col("start_ts") == F.col("__s")) & (F.col("end_ts") == F.col("__e")), "left_semi")
-    return keep.unionByName(added, allowMissingColumns=True), segments.join(allowed, over & (F.col("source") == "owntracks"), "left_anti")
+    imported = visits.where(~F.col("source").isin("owntracks", "manual")).select("tid", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e"))
+    added = _apart_from(visit, imported, over)
+    allowed = v.join(added.select("tid", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e")).distinct(), ["tid", "__s", "__e"], "left_semi")
+    own = F.col("source").isin("owntracks", "manual")
+    keep = _apart_from(visits.where(own), allowed, over).unionByName(visits.where(~own))
+    tracked = F.col("source") == "owntracks"
+    return keep.unionByName(added, allowMissingColumns=True), _apart_from(segments.where(tracked), allowed, over).unionByName(segments.where(~tracked))
+
+
+def converted_to_visits(visits: DataFrame, segments: DataFrame, stops: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Segments that were stops (stops: the segments' keys, id, lat, lon, place_id) become visits of the segment's time and source; the segments go."""
+    made = segments.join(stops, keys).select("tid", "id", "start_ts", "end_ts", "lat", "lon", F.lit(0).alias("point_count"), "source", "place_id")
+    return visits.unionByName(made, allowMissingColumns=True), without(segments, stops, keys)
+
+
+def renamed(places: DataFrame, answers: DataFrame) -> DataFrame:
+    """English names (answers: id, name, city): where they differ from a place's own, the old ones move to name_local and city_local."""
+    a = answers.select("id", F.col("name").alias("__name"), F.col("city").alias("__city"))
+    out = places.join(a, "id", "left")
+    for c in ("name", "city"):
+        new = F.col(f"__{c}").isNotNull() & F.col(c).isNotNull() & (F.col(f"__{c}") != F.col(c))
+        out = out.withColumn(f"{c}_local", F.when(new, F.col(c)).otherwise(F.col(f"{c}_local"))).withColumn(c, F.when(new, F.col(f"__{c}")).otherwise(F.col(c)))
+    return out.select(*places.columns)
+
+
+def vendor_named(places: DataFrame, details: DataFrame, generic: tuple = ("Other places", "Streets and roads")) -> DataFrame:
+    """A vendor's names and categories (details: google_place_id, vendor_name, vendor_category) for places of generic categories.
+
+    A name that only repeats the city is not taken; corrected places stay as they are."""
+    out = places.join(details, "google_place_id", "left")
+    open_ = F.col("category").isin(*generic) & ~F.coalesce("manually_corrected", F.lit(False))
+    city = F.lower(F.btrim("vendor_name")) == F.lower(F.btrim("city"))
+    name = F.when(open_ & F.col("vendor_name").isNotNull() & ~F.coalesce(city, F.lit(False)), F.col("vendor_name")).otherwise(F.col("name"))
+    category = F.when(open_, F.coalesce("vendor_category", "category")).otherwise(F.col("category"))
+    return out.withColumns({"name": name, "category": category}).select(*places.columns)
+
+
+def relabelled(trips: DataFrame, folders: DataFrame) -> DataFrame:
+    """Trips take the name of the first folder (folder, first_day, last_day as dates) of exactly their first and last day."""
+    day = lambda c: F.date_from_unix_date(F.floor(F.col(c) / 86400).cast("int"))
+    named = folders.groupBy("first_day", "last_day").agg(F.min("folder").alias("__folder"))
+    out = trips.withColumns({"first_day": day("start_ts"), "last_day": day("end_ts")}).join(named, ["first_day", "last_day"], "left")
+    return out.withColumn("name", F.coalesce("__folder", "name")).select(*trips.columns)
 
 
 def carried_over(trips: DataFrame, corrected: DataFrame) -> DataFrame:

@@ -111,12 +111,32 @@ def resolved(visits: DataFrame, places: DataFrame, periods: DataFrame) -> DataFr
     by_spot = places.groupBy(F.col("lat_round").alias("k1"), F.col("lon_round").alias("k2")).agg(F.min("id").alias("p2"))
     p = periods.select(F.col("id").alias("period"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
     homes = places.where("category = 'Home'").select(F.col("id").alias("home_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    home_of = p.join(homes, metres("hlat", "hlon", "plat", "plon") <= F.col("radius_m")).groupBy("period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
+    home_of = in_periods(homes.withColumnsRenamed({"plat": "lat", "plon": "lon"}), p).groupBy("period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
     at_home = in_periods(visits.select("id", "lat", "lon"), home_of).groupBy("id").agg(F.min_by("home_id", "period").alias("p3"))
     out = visits.withColumns({"k1": key("lat"), "k2": key("lon")}).join(by_key, "place_key", "left").join(by_spot, ["k1", "k2"], "left").join(at_home, "id", "left")
     return out.select(*visits.columns, F.coalesce("p1", "p2", "p3").alias("place_id"))
 
 
+def resolved_or_made(visits: DataFrame, places: DataFrame, periods: DataFrame, answers: DataFrame, radius: float = PLACE_RADIUS) -> tuple[DataFrame, DataFrame]:
+    """visits with place_id for all, and the places to be added: resolved() first, then a place of the name and city that a geocoder
+    gives for the spot (answers: lat_round, lon_round, name, city, category) within the radius, else a new place for each spot.
+
+    A new place's id is a hash of its spot, so reruns make the same places; without an answer it has no name and is an other place."""
+    found = resolved(visits, places, periods)
+    key = lambda c: F.bround(c, 4)
+    open_ = found.where("place_id is null").drop("place_id").withColumns({"lat_round": key("lat"), "lon_round": key("lon")})
+    spots = open_.groupBy("lat_round", "lon_round").agg(F.max("place_key").alias("google_place_id")).join(answers, ["lat_round", "lon_round"], "left")
+    spots = spots.withColumn("spot", F.xxhash64("lat_round", "lon_round").bitwiseAND(F.lit((1 << 62) - 1))).withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
+    names = {"id": "dup", "name": "name2", "city": "city2", "lat": "lat2", "lon": "lon2"}
+    near = radius_join(spots.where("name is not null").select("spot", "name", "city", "lat", "lon"), places.select("id", "name", "city", "lat", "lon"), radius, names)
+    near = near.where((F.col("name") == F.col("name2")) & F.col("city").eqNullSafe(F.col("city2"))).groupBy("spot").agg(F.min("dup").alias("dup"))
+    spots = spots.join(near, "spot", "left")
+    made = spots.where("dup is null").select(F.col("spot").alias("id"), "lat_round", "lon_round", "google_place_id", "name", F.coalesce("category", F.lit("Other places")).alias("category"), "city")
+    ids = spots.select("lat_round", "lon_round", F.coalesce("dup", "spot").alias("__made"))
+    done = found.withColumns({"lat_round": key("lat"), "lon_round": key("lon")}).join(ids, ["lat_round", "lon_round"], "left")
+    return done.select(*visits.columns, F.coalesce("place_id", "__made").alias("place_id")), made
+
+
 def gaps_filled(places: DataFrame, answers: DataFrame) -> DataFrame:
     """Missing city, country and code from answers (id, city, country, country_code); what is there stays."""
     a = answers.select("id", *[F.col(c).alias(f"__{c}") for c in ("city", "country", "country_code")])

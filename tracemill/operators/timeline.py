@@ -1,4 +1,7 @@
-"""A day's timeline and drawing helpers: flanks, closing visits, chunks, slices of a line by its length, calendar cells."""
+"""A day's timeline and drawing helpers: flanks, closing visits, chunks, slices of a line by its length, calendar cells.
+
+All rows carry tid, the person; sequences are numbered and searched inside one tid.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +15,22 @@ from .sequence import islands
 def merged_timeline(visits: DataFrame, segments: DataFrame) -> DataFrame:
     """Visits and segments (id, start_ts, end_ts and more) as one sequence by start; at equal starts visits come first. Adds kind and position."""
     both = visits.withColumns({"kind": F.lit("visit"), "rank": F.lit(0)}).unionByName(segments.withColumns({"kind": F.lit("segment"), "rank": F.lit(1)}), allowMissingColumns=True)
-    return both.withColumn("position", F.row_number().over(Window.orderBy("start_ts", "rank", "id")))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("tid").orderBy("start_ts", "rank", "id")))
 
 
 def flanks(timeline: DataFrame) -> DataFrame:
     """Each segment with the ids of the nearest visits before and after it by position."""
-    w, back = Window.orderBy("position"), Window.orderBy(F.desc("position"))
+    w, back = (Window.partitionBy("tid").orderBy(c) for c in ("position", F.desc("position")))
     visit = F.when(F.col("kind") == "visit", F.col("id"))
     marked = timeline.withColumns({"before": F.last(visit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last(visit, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     return marked.where("kind = 'segment'").drop("kind", "rank")
 
 
 def with_closing_visit(timeline: DataFrame, visits: DataFrame, day_end: int) -> DataFrame:
-    """If the last entry is a segment, the first visit with a place that covers its end is put after it, cut to the day."""
-    last = timeline.orderBy(F.desc("position")).limit(1).where("kind = 'segment'").select(F.col("end_ts").alias("__at"), (F.col("position") + 1).alias("position"))
-    over = visits.where("place_id is not null").join(F.broadcast(last), (F.col("start_ts") <= F.col("__at")) & (F.col("end_ts") > F.col("__at"))).orderBy("start_ts", "id").limit(1)
+    """Where a person's last entry is a segment, the first visit with a place that covers its end is put after it, cut to the day."""
+    last = timeline.groupBy("tid").agg(F.max(F.struct("position", "kind", "end_ts")).alias("l")).where("l.kind = 'segment'").select("tid", F.col("l.end_ts").alias("__at"), (F.col("l.position") + 1).alias("position"))
+    over = visits.where("place_id is not null").join(last, "tid").where((F.col("start_ts") <= F.col("__at")) & (F.col("end_ts") > F.col("__at")))
+    over = over.withColumn("__r", F.row_number().over(Window.partitionBy("tid").orderBy("start_ts", "id"))).where("__r = 1").drop("__r")
     closing = over.withColumns({"start_ts": F.col("__at"), "end_ts": F.least("end_ts", F.lit(day_end)), "kind": F.lit("visit"), "rank": F.lit(0)}).drop("__at")
     return timeline.unionByName(closing, allowMissingColumns=True)
 
@@ -61,12 +65,12 @@ def at_share(points: DataFrame, keys: list[str], share: Column | float) -> DataF
 
 
 def shares_of_span(segments: DataFrame) -> DataFrame:
-    """Consecutive segments (position, before, after, distance_m) with the same flanks share one line: from_share and to_share by distance."""
-    w = Window.orderBy("position")
+    """Consecutive segments (tid, position, before, after, distance_m) with the same flanks share one line: from_share and to_share by distance."""
+    w = Window.partitionBy("tid").orderBy("position")
     same = (F.col("before").eqNullSafe(F.lag("before").over(w))) & (F.col("after").eqNullSafe(F.lag("after").over(w)))
-    rows = islands(segments.withColumn("__same", same), [], ["position"], ~F.col("__same"), "span").drop("__same")
-    run = Window.partitionBy("span").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("distance_m").over(Window.partitionBy("span"))
+    rows = islands(segments.withColumn("__same", same), ["tid"], ["position"], ~F.col("__same"), "span").drop("__same")
+    run = Window.partitionBy("tid", "span").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("distance_m").over(Window.partitionBy("tid", "span"))
     upto = F.sum("distance_m").over(run)
     return rows.withColumns({"from_share": F.coalesce((upto - F.col("distance_m")) / F.nullif(total, F.lit(0.0)), F.lit(0.0)), "to_share": F.coalesce(upto / F.nullif(total, F.lit(0.0)), F.lit(1.0))})
 

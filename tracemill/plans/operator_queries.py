@@ -30,8 +30,14 @@ def op(name: str, check: str | None = None):
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; only a local session without one (tests) gets a folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{base or os.path.join(tempfile.gettempdir(), 'checkpoints')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def keeper(spark: SparkSession, name: str):
@@ -271,5 +277,4 @@ def rail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 @op("stream_hourly_events", "SELECT CAST(floor(epoch(ts) / 3600.0) AS BIGINT) AS hour, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    name = f"hourly_{uuid.uuid4().hex}"
-    return ingest.counts_by_hour(spark, sf_dir, "events.parquet", schema, name, shared(spark, "stream"))
+    return ingest.counts_by_hour(spark, sf_dir, "events.parquet", schema, shared(spark, "hourly"), shared(spark, "stream"))

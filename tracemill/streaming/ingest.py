@@ -46,10 +46,20 @@ def latest_stays(spark: SparkSession, out: str) -> DataFrame:
     return every.join(newest, ["tid", "version"]).drop("version")
 
 
-def counts_by_hour(spark: SparkSession, folder: str, pattern: str, schema, name: str, checkpoint: str) -> DataFrame:
-    """Events an hour, counted by a stream in complete mode over the files that are there."""
+def counts_by_hour(spark: SparkSession, folder: str, pattern: str, schema, out: str, checkpoint: str) -> DataFrame:
+    """Events an hour, counted by a stream in complete mode over the files that are there; each micro-batch writes its totals as files."""
     rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
     counted = rows.groupBy(F.expr("CAST(floor(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 3600) AS BIGINT)").alias("hour")).agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
-    query = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    query = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
+
+
+def run_status(query) -> dict:
+    """The last run of a stream: when it ended, how many rows it took, and its error (None if it is well)."""
+    last, error = query.lastProgress, query.exception()
+    return {"last_run": last["timestamp"] if last else None, "n_rows": last["numInputRows"] if last else 0, "ok": error is None, "error": str(error) if error else None}
