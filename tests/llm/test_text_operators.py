@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -714,3 +715,14 @@ def test_word_count(spark, text):
 
 def test_hash_of_kept_lines():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_word_counts_never_exceed_the_edit_distance():
+    rng = random.Random(5)
+    for bins in (4, 40):
+        for _ in range(200):
+            x, y = ([rng.randrange(bins) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+            bx, by = (np.frombuffer(near_dedup.binned(np.array(t, np.uint64)), np.uint8)[None, :] for t in (x, y))
+            assert near_dedup.apart(bx, by)[0] <= plain_distance(x, y)
+    many = np.frombuffer(near_dedup.binned(np.full(1000, 3, np.uint64)), np.uint8)
+    assert len(many) == near_dedup.BINS and many[3] == 255  # a full bin loosens the bound only

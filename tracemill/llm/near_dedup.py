@@ -3,12 +3,15 @@
 A text is its sequence of lower-cased words. Its k-mers (five words) are labelled with their occurrence number; each
 of SKETCHES permutations picks the two smallest and keeps them in text order, so that a shared sketch value says
 that both the words and their order agree. Texts with a sketch value in common are candidates; they are linked
-if the word edit distance is at most (1 - similarity) of the longer one. Classes are the connected components.
+if the word edit distance is at most (1 - similarity) of the longer one. Before their texts are fetched and aligned, candidates
+must pass a bound that no edit distance undercuts: the words counted in BINS bins by hash, where one edit lowers the surplus of
+either side by one at most. Classes are the connected components.
 
 Exact copies (equal word sequences) are one text from the start. A bucket's members are first compared with one
 leader each, and only what is still apart is looked at again: against the bucket's other end, then against more and more
 leaders, until no bucket holds two components of which a pair (of like length) is untried. A group of thousands of copies costs one
-alignment a copy; a bucket of texts that are all far apart costs one for each of its pairs.
+alignment a copy; a bucket of texts that are all far apart (which share one common passage, say) costs one bound of counts for each
+of its pairs, and next to no alignments.
 
 Defined cases: null, empty or word-less texts are classes of their own; texts under five words are linked to equal
 ones only (as are any that have no two five-word runs in common); rows of one doc_id are one document; rows without doc_id have a null class; an empty table gives an
@@ -31,12 +34,16 @@ from .common import python_ready, stored
 from .graph import components
 
 SKETCHES, KMER = 64, 5
+#: Bins of the word counts; a bin holds 255 at most, which only loosens the bound.
+BINS = 256
 #: Buckets of up to so many texts are compared pair by pair at once; larger ones have so many leaders (on average) in their first round.
 SMALL = 12
 #: Pair lists of up to so many rows are sent to the tasks instead of shuffling all texts.
 BROADCAST_PAIRS = 500_000
 #: So are other tables of up to so many rows of a few numbers each, with a shuffle join beyond.
 BROADCAST_ROWS = 1_000_000
+#: And word counts (BINS bytes a row) of up to so many rows.
+BROADCAST_COUNTS = 250_000
 _WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(23)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -92,8 +99,19 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return mixed(out).view(np.int64)
 
 
+def binned(words: np.ndarray) -> bytes:
+    """How many of the word hashes fall in each bin."""
+    return np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances of texts whose counts are the rows of x and y."""
+    more = x.astype(np.int32) - y
+    return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2 (of the word sequence; null without words), n_words, sketch."""
+    """doc_id, h1, h2 (of the word sequence; null without words), n_words, counts (a byte for each bin), sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHash()
@@ -103,11 +121,28 @@ def sketched(docs: DataFrame) -> DataFrame:
                 ws = _WORD.findall(text.lower()) if text else []
                 h = np.array([cache[w] for w in ws], np.uint64)
                 d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64) if ws else (None, None)
-                rows.append((*d, len(ws), sketch(h)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["h1", "h2", "n_words", "sketch"]).astype({"h1": "Int64", "h2": "Int64"})], axis=1)
+                rows.append((*d, len(ws), binned(h), sketch(h)))
+            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["h1", "h2", "n_words", "counts", "sketch"]).astype({"h1": "Int64", "h2": "Int64"})], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h1 long, h2 long, n_words int, sketch array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h1 long, h2 long, n_words int, counts binary, sketch array<long>")
+
+
+def plausible(pairs: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) that the counts (doc, n, counts) do not rule out; unknown counts rule out nothing."""
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_COUNTS else counts
+    met = pairs.join(counts.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("counts").alias("x")), "a")
+    met = met.join(counts.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("y")), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = bytes(BINS)
+        for b in batches:
+            known = (b["x"].notna() & b["y"].notna()).to_numpy()
+            x, y = (np.frombuffer(b"".join(v if k else nothing for v, k in zip(b[c], known, strict=True)), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            most = ((1 - similarity) * np.maximum(b["an"], b["bn"]) + 1e-9).astype(int).to_numpy()
+            yield b.loc[apart(x, y) <= most, ["a", "b"]]
+
+    return met.select("a", "b", "an", "bn", "x", "y").mapInPandas(check, pairs.schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -137,8 +172,8 @@ def _small(df: DataFrame) -> DataFrame:
 class _Linking:
     """Labels of texts (doc, comp), refined by rounds of verified pairs."""
 
-    def __init__(self, sizes: DataFrame, texts: DataFrame, similarity: float):
-        self.sizes, self.labels = sizes, stored(sizes.select("doc", F.col("doc").alias("comp")), "near-labels")
+    def __init__(self, sizes: DataFrame, counts: DataFrame, texts: DataFrame, similarity: float):
+        self.sizes, self.counts, self.labels = sizes, counts, stored(sizes.select("doc", F.col("doc").alias("comp")), "near-labels")
         self.texts, self.similarity, self.tried, self.links = texts, similarity, None, None
 
     def round(self, pairs: DataFrame) -> None:
@@ -150,7 +185,8 @@ class _Linking:
         todo = todo.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("bn")), "b")
         todo = stored(todo.where(F.least("an", "bn") >= self.similarity * F.greatest("an", "bn")).select("a", "b"), "near-pairs")
         self.tried = todo if self.tried is None else self.tried.unionByName(todo)
-        links = stored(verified(todo, self.texts, self.similarity), "near-links")
+        close = stored(plausible(todo, self.counts, self.similarity), "near-close")
+        links = stored(verified(close, self.texts, self.similarity), "near-links")
         self.links = links if self.links is None else self.links.unionByName(links)
         labels = _small(self.labels)
         ends = links.join(labels.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
@@ -181,12 +217,15 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     all_rows = stored(sketched(docs), "near-sketches")
     named = all_rows.where("doc_id is not null and h1 is not null")
     firsts = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "near-texts")
-    reps = named.join(_small(firsts), ["h1", "h2"]).where("doc = doc_id").select("doc", F.col("n_words").alias("n"), "sketch")
+    reps = named.join(_small(firsts), ["h1", "h2"]).where("doc = doc_id").select("doc", F.col("n_words").alias("n"), "counts", "sketch")
     members = reps.select("doc", F.explode("sketch").alias("bucket"))
     buckets = stored(_ends(members).select("bucket", "lo"), "near-buckets")
     shared = stored(members.join(_small(buckets), "bucket"), "near-members")  # only buckets of two or more
-    sizes = stored(reps.join(_small(stored(shared.select("doc").distinct(), "near-docs")), "doc", "left_semi").groupBy("doc").agg(F.max("n").alias("n")), "near-sizes")
-    linking = _Linking(sizes, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), similarity)
+    one = F.when(F.min("counts") == F.max("counts"), F.max("counts"))  # unknown for a doc_id with several texts
+    counts = reps.join(_small(stored(shared.select("doc").distinct(), "near-docs")), "doc", "left_semi").groupBy("doc").agg(F.max("n").alias("n"), one.alias("counts"))
+    counts = stored(counts, "near-counts")
+    sizes = counts.select("doc", "n")
+    linking = _Linking(sizes, counts, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), similarity)
 
     # each text against the leader with which it shares most buckets
     votes = shared.where("doc <> lo").groupBy("doc", "lo").agg(F.count("*").alias("votes"))
