@@ -17,3 +17,4 @@ SPEED_CEILINGS = {
     "subway": 100, "tram": 80, "ferry": 90, "boating": 80, "flying": 1200,
 }
 WORLD_COUNTRIES, MOON_DISTANCE, YEAR_DAYS = 195, 384_400_000.0, 365.25
+RAIL_MARGIN_MIN, RAIL_MARGIN_MAX = 0.15, 2.5  # degrees

@@ -42,3 +42,46 @@ def plausible_match(a: Column, b: Column) -> Column:
 def trip_days(start: Column, end: Column) -> Column:
     """Inclusive days of a trip."""
     return F.greatest(F.lit(1), F.floor((end - start) / 86400) + 1).cast("long")
+
+
+def trip_name(folder: Column) -> Column:
+    """A folder's name without the year at its end; null if nothing is left."""
+    return F.nullif(F.btrim(F.regexp_replace(folder, r"\s*\d{4}\s*$", "")), F.lit(""))
+
+
+def without_parentheses(name: Column) -> Column:
+    return F.btrim(F.regexp_replace(name, r"\([^)]*\)", ""))
+
+
+def dates_of_folder(folder: Column) -> Column:
+    """struct(first, last) of the days in `name (dd-MM-yyyy)` or `name (dd-MM-yyyy - dd-MM-yyyy)`; null parts without (valid) ones."""
+    form = r"\((\d{2}-\d{2}-\d{4})(?:\s*-\s*(\d{2}-\d{2}-\d{4}))?\)"
+    first, last = (F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(folder, form, i), F.lit("")), F.lit("dd-MM-yyyy"))) for i in (1, 2))
+    return F.struct(first.alias("first"), F.coalesce(last, first).alias("last"))
+
+
+#: What else in a description stands for a country.
+COUNTRY_ALIASES = {
+    "united kingdom": ["united kingdom", "england", "scotland", "wales", "northern ireland", "great britain", " uk"],
+    "united states": ["united states", " usa", "u.s.a", "u.s."],
+    "netherlands": ["netherlands", "holland"],
+    "czechia": ["czechia", "czech republic"],
+    "myanmar": ["myanmar", "burma"],
+}
+
+
+def about_a_country(description: Column) -> Column:
+    """Whether an article's short description is that of a country itself."""
+    return F.coalesce(description, F.lit("")).rlike(r"(?i)\bcountry\b")
+
+
+def names_country(description: Column, country: Column) -> Column:
+    """Whether a description names the country, by its own name or an alias (in any case)."""
+    said, own = F.lower(F.coalesce(description, F.lit(""))), F.lower(country)
+    known = F.create_map(*[x for name, others in COUNTRY_ALIASES.items() for x in (F.lit(name), F.array(*map(F.lit, others)))])
+    return F.exists(F.coalesce(F.try_element_at(known, own), F.array(own)), lambda a: F.contains(said, a))
+
+
+def locality(city: Column, town: Column, village: Column, municipality: Column) -> Column:
+    """The first part of an address that is there and not empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (city, town, village, municipality)])

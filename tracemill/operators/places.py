@@ -142,3 +142,9 @@ def gaps_filled(places: DataFrame, answers: DataFrame) -> DataFrame:
     a = answers.select("id", *[F.col(c).alias(f"__{c}") for c in ("city", "country", "country_code")])
     out = places.join(a, "id", "left")
     return out.select(*[F.coalesce(c, f"__{c}").alias(c) if f"__{c}" in out.columns else F.col(c) for c in places.columns])
+
+
+def on_world(shapes: DataFrame, codes: DataFrame, visited: DataFrame) -> DataFrame:
+    """A world map's shapes (iso3 and more) with their two-letter code (codes: iso3, iso2) and whether it was visited (visited: country_code)."""
+    seen = visited.where("country_code is not null").select(F.upper("country_code").alias("iso2")).distinct().withColumn("__seen", F.lit(True))
+    return shapes.join(codes.select("iso3", "iso2"), "iso3", "left").join(seen, "iso2", "left").select(*shapes.columns, "iso2", F.col("__seen").isNotNull().alias("visited"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import RAIL_MARGIN_MAX, RAIL_MARGIN_MIN
 from ..functions.geo import metres, radius_join
 
 
@@ -98,3 +99,31 @@ def via_hubs(requests: DataFrame, hubs: DataFrame, route, stored, hops: int = 3,
     rows = done.groupBy("id").agg(F.sum(share).alias("whole"), F.sum("metres").alias("metres"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("legs"))
     path = F.aggregate("legs", F.array().cast("array<string>"), lambda acc, x: F.when(F.size(acc) == 0, x["path"]).otherwise(F.concat(acc, F.slice(x["path"], 2, F.greatest(F.size(x["path"]) - 1, F.lit(0))))))
     return rows.where("whole = 1").select("id", "metres", path.alias("path"))
+
+
+def margin(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Degrees to look around a leg: a quarter of its length, within fixed bounds."""
+    return F.least(F.lit(RAIL_MARGIN_MAX), F.greatest(F.lit(RAIL_MARGIN_MIN), metres(lat1, lon1, lat2, lon2) / 1000 * 0.25 / 111))
+
+
+def ways_near(ways: DataFrame, legs: DataFrame) -> DataFrame:
+    """The ways (way_id, geometry) with a point in the widened box of any leg (lat1, lon1, lat2, lon2); boxes and points meet in cells of a degree."""
+    by = margin("lat1", "lon1", "lat2", "lon2")
+    box = legs.select(*[(pick(f"{c}1", f"{c}2") + sign * by).alias(f"{c}_{side}") for c in ("lat", "lon") for side, pick, sign in (("lo", F.least, -1), ("hi", F.greatest, 1))])
+    cells = lambda c: F.explode(F.sequence(F.floor(f"{c}_lo"), F.floor(f"{c}_hi")))
+    box = box.distinct().withColumn("y", cells("lat")).withColumn("x", cells("lon"))
+    points = ways.select("way_id", F.explode("geometry").alias("p")).select("way_id", "p.lat", "p.lon", F.floor("p.lat").alias("y"), F.floor("p.lon").alias("x"))
+    inside = F.col("lat").between(F.col("lat_lo"), F.col("lat_hi")) & F.col("lon").between(F.col("lon_lo"), F.col("lon_hi"))
+    return ways.join(points.join(box, ["y", "x"]).where(inside).select("way_id").distinct(), "way_id", "left_semi")
+
+
+def through_cache(legs: DataFrame, cache: DataFrame, route) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache): legs (leg, lat1 ... lon2) answered from the cache (key, found, metres, path) or by route(open legs), which returns
+    leg, metres, path, found. Keys are the ends to five decimals, in travel order; legs that route leaves out have failed and aren't kept."""
+    key = F.concat_ws(",", *[F.format_number(F.bround(c, 5) + 0.0, 5) for c in ("lat1", "lon1", "lat2", "lon2")])
+    keyed = legs.withColumn("key", key)
+    known = keyed.join(cache.select("key", "found", "metres", "path"), "key")
+    asked = route(keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).drop("leg").withColumn("leg", F.col("key"))).select(F.col("leg").alias("key"), "found", "metres", "path")
+    fresh = keyed.join(asked, "key")
+    answers = known.unionByName(fresh).where("found").select("leg", "metres", "path")
+    return answers, cache.select("key", "found", "metres", "path").unionByName(asked)

@@ -81,3 +81,14 @@ def calendar_cell(day: Column) -> tuple[Column, Column]:
     offset = F.weekday(first)
     n = F.date_diff(day, first)
     return F.floor((n + offset) / 7).cast("int"), F.weekday(day)
+
+
+def tracked(spans: DataFrame, pings: DataFrame) -> DataFrame:
+    """spans (tid, start_ts, end_ts) in which the tid has a ping, both ends included; matched through the day bins a span touches."""
+    days = F.explode(F.sequence(F.floor(F.col("start_ts") / 86400), F.floor(F.greatest("start_ts", "end_ts") / 86400)))
+    seen = pings.select("tid", F.col("tst").alias("__t"), F.floor(F.col("tst") / 86400).alias("__day"))
+    seen = seen.groupBy("tid", "__day").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"), F.sort_array(F.collect_set(F.col("__t"))).alias("__all"))
+    dated = spans.select("tid", "start_ts", "end_ts").distinct().withColumn("__day", days).join(seen, ["tid", "__day"])
+    inside = F.exists("__all", lambda t: (t >= F.col("start_ts")) & (t <= F.col("end_ts")))
+    hit = dated.where((F.col("__first") <= F.col("end_ts")) & (F.col("__last") >= F.col("start_ts"))).where(inside).select("tid", "start_ts", "end_ts").distinct()
+    return spans.join(hit, ["tid", "start_ts", "end_ts"], "left_semi").select(*spans.columns)

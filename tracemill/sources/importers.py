@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import STATIONARY_RADIUS
 from ..functions.categories import mode_of_activity
 from ..functions.geo import metres
-from ..functions.text import lat_lon, unix_of_iso
+from ..functions.text import dates_of_folder, lat_lon, unix_of_iso, without_parentheses
 
 PING = "_type string, tid string, lat double, lon double, alt double, acc double, vel double, batt double, tst long"
 TIMELINE = "semanticSegments array<struct<startTime:string,endTime:string,visit:struct<topCandidate:struct<placeId:string,placeLocation:struct<latLng:string>>>,activity:struct<distanceMeters:double,topCandidate:struct<type:string>>,timelinePath:array<struct<point:string>>>>"
@@ -97,3 +97,29 @@ def not_overlapping(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 def new_places(seeds: DataFrame, places: DataFrame) -> DataFrame:
     """places with the seeds added whose coordinate key isn't there yet."""
     return places.unionByName(seeds.dropDuplicates(["lat_round", "lon_round"]).join(places, ["lat_round", "lon_round"], "left_anti").select(*places.columns))
+
+
+def folders_to_review(folders: DataFrame, photos: DataFrame, found: DataFrame, generic: tuple = ("Other places", "Streets and roads")) -> DataFrame:
+    """Dated folders (folder) without a photo (folder, lat) that has a place: folder, first, last, query, verdict.
+
+    found: query, category, the first answer to each folder's cleaned name. The verdict is confident, uncertain (a generic category) or none."""
+    rows = folders.select("folder", dates_of_folder(F.col("folder")).alias("d"), without_parentheses(F.col("folder")).alias("query")).where("d.first is not null").distinct()
+    rows = rows.join(photos.where("lat is not null").select("folder").distinct(), "folder", "left_anti").join(found.dropDuplicates(["query"]).select("query", "category", F.lit(True).alias("hit")), "query", "left")
+    sure = F.when(F.col("hit").isNull(), "none").when(F.coalesce(F.col("category").isin(*generic), F.lit(True)), "uncertain").otherwise("confident")
+    return rows.select("folder", "d.first", "d.last", "query", sure.alias("verdict"))
+
+
+def replaced(table: DataFrame, rows: DataFrame, source: str) -> DataFrame:
+    """table with all rows of the source replaced by the given ones."""
+    return table.where(~F.col("source").eqNullSafe(F.lit(source))).unionByName(rows, allowMissingColumns=True)
+
+
+def made_up(stays: DataFrame, moves: DataFrame) -> DataFrame:
+    """Pings of a plan, for demonstrations: stays (tid, lat, lon, start_ts, duration_s) every ten minutes, a few metres apart, and straight
+    moves (tid, lat, lon, lat2, lon2, start_ts, duration_s, n) in n steps. Returns tid, lat, lon, tst."""
+    at = stays.select("tid", "lat", "lon", "start_ts", F.explode(F.sequence(F.lit(0), F.col("duration_s").cast("int"), F.lit(600))).alias("t"))
+    rest = at.select("tid", (F.col("lat") + F.col("t") % 3 * 0.00003).alias("lat"), "lon", (F.col("start_ts") + F.col("t")).cast("long").alias("tst"))
+    step = moves.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int")))).withColumn("share", F.col("i") / F.col("n"))
+    along = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("share")
+    moved = step.select("tid", along("lat", "lat2").alias("lat"), along("lon", "lon2").alias("lon"), F.floor(F.col("start_ts") + F.col("duration_s") * F.col("share")).alias("tst"))
+    return rest.unionByName(moved)
