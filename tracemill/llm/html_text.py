@@ -7,7 +7,7 @@ and reader comments go by their element, role or name before anything is scored,
 
 Blocks stay whole and in page order: character references are decoded, white space becomes one space, `<br>` is white space.
 
-Bounds: each page is read by itself, in time in proportion to its length (but for tags that are never closed by `>`), and in batches of
+Bounds: each page is read by itself, in time in proportion to its length, and in batches of
 few pages; nothing is shuffled. Defined cases: a null or empty page, or one without text outside what goes, gives an empty text; very long
 pages are read whole; unclosed elements end with the next block that can't stand in them, or with the page; containers of equal points:
 the first one; repeated rows give the same text each; an empty table gives an empty result; further columns are passed through, but for
@@ -46,6 +46,7 @@ HEADS = set("header masthead".split())
 ARTICLE_NAMES = set("article content entry post story".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_UNCLOSED = re.compile(r"<[!?/a-zA-Z]")  # after the last > nothing but text can come
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -78,8 +79,8 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at = 0
-        while m := _TOKEN.search(html, at):
+        at, last = 0, html.rfind(">")
+        while at <= last and (m := _TOKEN.search(html, at)):
             self._say(html[at : m.start()])
             at = m.end()
             end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -93,7 +94,7 @@ class Page:
                 at = close.end() if close else len(html)
             else:
                 self._start(tag, rest)
-        self._say(html[at:])
+        self._say(_UNCLOSED.split(html[at:], maxsplit=1)[0])
         self._flush()
 
     def _say(self, text: str) -> None:
