@@ -190,16 +190,16 @@ def test_names_from_answers(spark):
     assert {r["id"]: (r["name"], r["city"], r["name_local"], r["city_local"]) for r in english.collect()} == {1: ("Wirtshaus", "Munich", None, "München"), 2: ("Rynek", "Kraków", None, None), 3: ("X", None, None, None), 4: ("Y", "Z", None, None), 5: (None, None, None, None)}
     details = spark.createDataFrame([("g1", "Zum Bären", "Food and drink"), ("g2", " kraków", None), ("g3", "Inn", "Hotels")], "google_place_id string, vendor_name string, vendor_category string")
     assert {r["id"]: (r["name"], r["category"]) for r in overlays.vendor_named(p, details).collect()} == {1: ("Zum Bären", "Food and drink"), 2: ("Rynek", "Streets and roads"), 3: ("X", "Hotels"), 4: ("Y", "Other places"), 5: (None, "Other places")}
-    trips = spark.createDataFrame([(1, 86400 * 10 + 5, 86400 * 12 + 7, None), (2, 86400 * 10, 86400 * 13, "old")], "id long, start_ts long, end_ts long, name string")
-    folders = spark.sql("SELECT 'B' AS folder, DATE'1970-01-11' AS first_day, DATE'1970-01-13' AS last_day UNION ALL SELECT 'A', DATE'1970-01-11', DATE'1970-01-13'")
-    assert {r["id"]: r["name"] for r in overlays.relabelled(trips, folders).collect()} == {1: "A", 2: "old"}
+    trips = spark.createDataFrame([(1, 1, 86400 * 10 + 5, 86400 * 12 + 7, None), (1, 2, 86400 * 10, 86400 * 13, "old"), (2, 3, 86400 * 10, 86400 * 12, "other")], "tid long, id long, start_ts long, end_ts long, name string")
+    folders = spark.sql("SELECT 1 AS tid, 'B' AS folder, DATE'1970-01-11' AS first_day, DATE'1970-01-13' AS last_day UNION ALL SELECT 1, 'A', DATE'1970-01-11', DATE'1970-01-13'")
+    assert {r["id"]: r["name"] for r in overlays.relabelled(trips, folders).collect()} == {1: "A", 2: "old", 3: "other"}
 
 
 def test_place_resolution(spark):
-    known = spark.createDataFrame([(1, "k1", "Inn", "C", "Hotels", 50.0, 0.0), (2, None, "Home", None, "Home", 51.0, 0.0)], "id long, google_place_id string, name string, city string, category string, lat_round double, lon_round double").withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
-    periods = spark.createDataFrame([(1, 51.0, 0.0, 500.0)], "id long, lat double, lon double, radius_m double")
+    known = spark.createDataFrame([(0, 1, "k1", "Inn", "C", "Hotels", 50.0, 0.0), (0, 2, None, "Home", None, "Home", 51.0, 0.0), (9, 3, "k1", "Inn", "C", "Home", 50.0, 0.0)], "tid long, id long, google_place_id string, name string, city string, category string, lat_round double, lon_round double").withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
+    periods = spark.createDataFrame([(0, 1, 51.0, 0.0, 500.0), (9, 2, 53.0, 0.0, 900.0)], "tid long, id long, lat double, lon double, radius_m double")
     at = [("k1", 10.0, 0.0), (None, 50.00001, 0.0), (None, 51 + 300 * M, 0.0), (None, 50 + 200 * M, 0.0), (None, 52.0, 0.0), (None, 52.00001, 0.0), (None, 53.0, 0.0), ("k9", 54.0, 0.0)]
-    visits = spark.createDataFrame([(i, k, a, b) for i, (k, a, b) in enumerate(at)], "id long, place_key string, lat double, lon double")
+    visits = spark.createDataFrame([(0, i, k, a, b) for i, (k, a, b) in enumerate(at)], "tid long, id long, place_key string, lat double, lon double")
     answers = spark.createDataFrame([(round(50 + 200 * M, 4), 0.0, "Inn", "C", "Hotels"), (52.0, 0.0, "Inn", "C", "Hotels")], "lat_round double, lon_round double, name string, city string, category string")
     done, made = places.resolved_or_made(visits, known, periods, answers)
     got = {r["id"]: r["place_id"] for r in done.collect()}
@@ -266,8 +266,9 @@ def test_importers(spark, tmp_path):
     (tmp_path / "t.kml").write_text(f"<kml><Folder><name>F</name>{mark('a', '')}{mark('b', 'on 02Jan2020')}{mark('c', '')}{mark('d', '05Jan2020')}</Folder></kml>")
     got = importers.planned_stops(spark, str(tmp_path / "t.kml")).orderBy("position").collect()
     assert [str(r["day"]) for r in got] == ["2020-01-02", "2020-01-02", "2020-01-02", "2020-01-05"] and got[0]["lat"] == 2.0
-    have = spark.createDataFrame([(0, 100), (200, 300)], "start_ts long, end_ts long")
-    assert [r["start_ts"] for r in importers.not_overlapping(spark.createDataFrame([(50, 60), (100, 200), (290, 400)], have.schema), have).collect()] == [100]
+    have = spark.createDataFrame([(1, 0, 100), (1, 200, 300), (2, 100, 200)], "tid long, start_ts long, end_ts long")
+    offered = spark.createDataFrame([(1, 50, 60), (1, 100, 200), (1, 290, 400), (2, 50, 60)], have.schema)
+    assert sorted((r["tid"], r["start_ts"]) for r in importers.not_overlapping(offered, have).collect()) == [(1, 100), (2, 50)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -302,15 +303,6 @@ def test_routes_via_hubs(spark, tmp_path):
     assert got == {1: (2, 11119), 2: (5, 88956)}
 
 
-def test_home_periods_of_any_number(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "Other places", 50.0, 1.0), (2, "Other places", 50.02, 1.0), (3, "Shopping", 50.0, 1.0), (4, "Other places", None, None)], "id long, category string, lat double, lon double")
-    periods = spark.createDataFrame([(50.0, 1.001, 200.0), (50.0, 1.002, 300.0), (50.02, 1.01, 100.0)], "lat double, lon double, radius_m double")
-    for few in (1000, 0):
-        monkeypatch.setattr(places, "FEW_PERIODS", few)
-        got = {r["id"]: r["category"] for r in places.home_tagged(rows, periods).collect()}
-        assert got == {1: "Home", 2: "Other places", 3: "Shopping", 4: "Other places"}
-
-
 def test_routes_via_hubs_of_any_number(spark, tmp_path):
     n = iter(range(10_000))
     keep = lambda df: (df.write.parquet(p := str(tmp_path / f"m{next(n)}")), spark.read.schema(df.schema).parquet(p))[1]

@@ -20,9 +20,12 @@ def test_flanks_and_closing_visit(spark):
     shared = {r["id"]: (r["from_share"], r["to_share"]) for r in timeline.shares_of_span(flanked).collect()}
     assert shared == {7: (0.0, 1.0), 8: (0.0, 0.6), 9: (0.6, 1.0)}
     more = visits.union(spark.createDataFrame([(1, 3, 45, 500, 6), (1, 4, 45, 500, None), (2, 5, 45, 500, 6)], V))
-    closed = timeline.with_closing_visit(line, more, 100).where("tid = 1").orderBy("position").collect()
-    assert timeline.with_closing_visit(line, more, 100).where("tid = 2").count() == 1
-    assert (closed[-1]["id"], closed[-1]["start_ts"], closed[-1]["end_ts"], len(closed)) == (3, 50, 100, 6)
+    closed = timeline.with_closing_visit(line, more).where("tid = 1").orderBy("position").collect()
+    assert timeline.with_closing_visit(line, more).where("tid = 2").count() == 1
+    assert (closed[-1]["id"], closed[-1]["start_ts"], closed[-1]["end_ts"], len(closed)) == (3, 50, 500, 6)
+    ends_there = visits.union(spark.createDataFrame([(1, 6, 40, 50, 7)], V))
+    closed = timeline.with_closing_visit(line, ends_there).where("tid = 1").orderBy("position").collect()
+    assert (closed[-1]["id"], closed[-1]["start_ts"], closed[-1]["end_ts"]) == (6, 50, 50)
 
 
 def test_chunks_and_slices(spark):

@@ -28,10 +28,14 @@ def plain_letters(text: Column) -> Column:
     return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
 
 
+#: Words of names that tell nothing.
+STOP_WORDS = "the and of in at on for de la le el an a".split()
+
+
 def significant_words(text: Column) -> Column:
-    """Different words of three letters or more that aren't articles or prepositions."""
+    """Different words of three letters or more that aren't stop words."""
     words = F.regexp_extract_all(F.lower(plain_letters(F.coalesce(text, F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin("the", "and", "for", "les", "des", "del", "der", "die", "das")))
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP_WORDS)))
 
 
 def plausible_match(a: Column, b: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import AWAY_GAP, BLANK_GAP, NEAR_HOME, TRIP_MIN
 from ..functions.geo import metres
-from .sequence import islands, overlap_join
+from . import scan
+from .sequence import overlap_join
 
 
 def with_home(visits: DataFrame, periods: DataFrame) -> DataFrame:
@@ -38,16 +39,16 @@ def trips(visits: DataFrame, segments: DataFrame, work: str = "Work") -> DataFra
     """visits as from with_home() with category, city, country, country_code, source. Returns tid, start_ts, end_ts, n_visits, primary_*.
 
     Visits at work are left out; a run of away visits ends at a visit that isn't away, at a long gap with either side near home, and
-    at a gap whose longest uncovered stretch is over a day. Photo visits are trips of their own.
+    at a gap whose longest uncovered stretch is over a day. Photo visits are trips of their own; visits of imported trips take no part (those trips come with them).
     """
-    rows = visits.where((F.coalesce("category", F.lit("")) != work) & (F.col("source") != "photo_import"))
-    w = Window.partitionBy("tid").orderBy("start_ts", "id")
-    rows = rows.withColumns({"g0": F.lag("end_ts").over(w), "was_away": F.lag("away").over(w), "was_near": F.lag("near_home").over(w)}).withColumn("g1", F.col("start_ts"))
+    rows = visits.where((F.coalesce("category", F.lit("")) != work) & ~F.col("source").isin("kml_import", "photo_import"))
+    before = {"g0": "end_ts", "was_away": "away", "was_near": "near_home"}
+    rows = scan.running(rows, ["tid"], "start_ts", ["id"], {n: ("lag", F.col(c)) for n, c in before.items()}).withColumn("g1", F.col("start_ts"))
     gaps = rows.where(F.col("away") & F.col("was_away") & (F.col("g1") - F.col("g0") > BLANK_GAP)).select("tid", "g0", "g1").distinct()
     rows = rows.join(blank_seconds(gaps, segments), ["tid", "g0", "g1"], "left")
     gap = F.col("g1") - F.col("g0")
     new = F.col("away") & (~F.coalesce("was_away", F.lit(False)) | ((gap > AWAY_GAP) & (F.col("was_near") | F.col("near_home"))) | (F.coalesce("blank_s", F.lit(0)) > BLANK_GAP))
-    runs = islands(rows, ["tid"], ["start_ts", "id"], new, "run").where("away").withColumn("own", F.lit(0).cast("long"))
+    runs = scan.islands(rows, ["tid"], "start_ts", ["id"], {}, new, "run").where("away").withColumn("own", F.lit(0).cast("long"))
     alone = visits.where(F.col("source") == "photo_import").withColumns({"run": F.lit(-1).cast("long"), "own": F.col("id")})
     cols = ["tid", "run", "own", "id", "start_ts", "end_ts", "city", "country", "country_code"]
     every = runs.select(*cols).unionByName(alone.select(*cols))

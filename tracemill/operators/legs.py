@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CHAIN_PAUSE, LEG_MAX_GAP, LEG_MIN_DISTANCE
 from ..functions.geo import metres, mode_of_speed
+from . import scan
 from .sequence import islands, overlap_join
 
 
@@ -16,8 +17,8 @@ def segments(visits: DataFrame, pings: DataFrame) -> DataFrame:
     Pings from the end of a visit to the start of the next are a leg, split where they are silent for too long. Only the
     first and the last part of a leg touch a visit. Pings of one second count once, the last one recorded.
     """
-    w = Window.partitionBy("tid").orderBy("start_ts", "end_ts")
-    gaps = visits.select("tid", F.col("start_ts").alias("visit_ts"), F.col("end_ts").alias("leg_from"), F.lead("start_ts").over(w).alias("leg_to")).where("leg_to is not null and leg_to >= leg_from")
+    gaps = scan.running(visits.select("tid", "start_ts", "end_ts"), ["tid"], "start_ts", ["end_ts"], {"leg_to": ("lag", F.col("start_ts"))}, back=True)
+    gaps = gaps.select("tid", F.col("start_ts").alias("visit_ts"), F.col("end_ts").alias("leg_from"), "leg_to").where("leg_to is not null and leg_to >= leg_from")
     one = pings.groupBy("tid", "tst").agg(F.max_by("lat", "id").alias("lat"), F.max_by("lon", "id").alias("lon")).withColumn("tst_", F.col("tst"))
     on = overlap_join(gaps, one, ("leg_from", "leg_to"), ("tst", "tst_"), ["tid"])
     v = Window.partitionBy("tid", "visit_ts").orderBy("tst")
@@ -34,8 +35,6 @@ def segments(visits: DataFrame, pings: DataFrame) -> DataFrame:
 
 def chained(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Journeys of each tid: consecutive segments of one mode with short pauses; flights never chain. keys order equal starts."""
-    w = Window.partitionBy("tid").orderBy("start_ts", *keys)
-    rows = segments.withColumn("was", F.lag("mode").over(w)).withColumn("left", F.lag("end_ts").over(w))
     new = F.col("was").isNull() | (F.col("was") != F.col("mode")) | (F.col("mode") == "flying") | (F.col("start_ts") - F.col("left") > CHAIN_PAUSE)
-    rows = islands(rows, ["tid"], ["start_ts", *keys], new, "journey")
+    rows = scan.islands(segments, ["tid"], "start_ts", keys, {"was": F.col("mode"), "left": F.col("end_ts")}, new, "journey")
     return rows.groupBy("tid", "journey").agg(F.first("mode").alias("mode"), F.min("start_ts").alias("start_ts"), F.max_by("end_ts", F.struct("start_ts", *keys)).alias("end_ts"), F.sum("distance_m").alias("distance_m"), F.sum("duration_s").alias("duration_s"), F.count("*").alias("n_segments")).drop("journey")

@@ -97,15 +97,18 @@ def vendor_named(places: DataFrame, details: DataFrame, generic: tuple = ("Other
 
 
 def relabelled(trips: DataFrame, folders: DataFrame) -> DataFrame:
-    """Trips take the name of the first folder (folder, first_day, last_day as dates) of exactly their first and last day."""
+    """Trips take the name of their person's first folder (tid, folder, first_day, last_day as dates) of exactly their first and last day."""
     day = lambda c: F.date_from_unix_date(F.floor(F.col(c) / 86400).cast("int"))
-    named = folders.groupBy("first_day", "last_day").agg(F.min("folder").alias("__folder"))
-    out = trips.withColumns({"first_day": day("start_ts"), "last_day": day("end_ts")}).join(named, ["first_day", "last_day"], "left")
+    on = ["tid", "first_day", "last_day"]
+    named = folders.groupBy(*on).agg(F.min("folder").alias("__folder"))
+    out = trips.withColumns({"first_day": day("start_ts"), "last_day": day("end_ts")}).join(named, on, "left")
     return out.withColumn("name", F.coalesce("__folder", "name")).select(*trips.columns)
 
 
 def carried_over(trips: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Fresh trips take the names of corrected ones with the same start and end."""
-    c = corrected.where("manually_corrected").select("start_ts", "end_ts", *[F.col(x).alias(f"__{x}") for x in ("name", "primary_city", "primary_country", "primary_country_code")], F.lit(True).alias("__c"))
-    out = trips.join(c, ["start_ts", "end_ts"], "left")
-    return out.select(*[F.when(F.col("__c"), F.col(f"__{x}")).otherwise(F.col(x)).alias(x) if f"__{x}" in out.columns else F.col(x) for x in trips.columns], F.coalesce("__c", F.lit(False)).alias("manually_corrected"))
+    """Fresh trips take the names of their person's corrected ones with the same start and end; of several (id), those of the greatest id."""
+    names, on = ("name", "primary_city", "primary_country", "primary_country_code"), ["tid", "start_ts", "end_ts"]
+    c = corrected.where("manually_corrected").groupBy(*on).agg(F.max_by(F.struct(*names), "id").alias("__c"))
+    out = trips.join(c, on, "left")
+    kept = lambda x: F.when(F.col("__c").isNotNull(), F.col(f"__c.{x}")).otherwise(F.col(x)).alias(x) if x in names else F.col(x)
+    return out.select(*[kept(x) for x in trips.columns if x != "manually_corrected"], F.col("__c").isNotNull().alias("manually_corrected"))

@@ -55,24 +55,20 @@ def greedy_clusters(places: DataFrame, visits: DataFrame | None = None, radius:
     return named.groupBy("tid", "name", "city").applyInPandas(cluster, "id long, keeper long")
 
 
-#: So many home periods are sent to the tasks; more of them meet the points through grid cells.
-FEW_PERIODS = 1000
-
-
 def in_periods(points: DataFrame, periods: DataFrame) -> DataFrame:
-    """Points (lat, lon and more) joined to each period (hlat, hlon, radius_m and more) whose radius they are in."""
-    n, widest = periods.agg(F.count("*"), F.max("radius_m")).first()
-    within = metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m")
-    if n <= FEW_PERIODS:
-        return points.join(F.broadcast(periods), within)
-    around = periods.withColumnsRenamed({"hlat": "lat", "hlon": "lon"})
-    return radius_join(points, around, widest or 1.0, {"lat": "hlat", "lon": "hlon"}).where("metres <= radius_m").drop("metres")
+    """Points (tid, lat, lon and more) joined to each period (tid, hlat, hlon, radius_m and more) of their person whose radius they are in.
+
+    The join is on the person, who has a handful of periods."""
+    return points.join(periods, "tid").where(metres("lat", "lon", "hlat", "hlon") <= F.col("radius_m"))
 
 
 def home_tagged(places: DataFrame, periods: DataFrame, generic: tuple = ("Other places", "Streets and roads")) -> DataFrame:
-    """Generic places inside the radius of any home period become Home."""
-    p = periods.select(F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
-    inside = in_periods(places.where(F.col("category").isin(*generic)).select("id", "lat", "lon"), p).select("id", F.lit("Home").alias("__h")).distinct()
+    """Generic places inside the radius of any home period of their person, at whatever time, become Home; corrected places stay."""
+    p = periods.select("tid", F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
+    open_ = places.where(F.col("category").isin(*generic))
+    if "manually_corrected" in places.columns:
+        open_ = open_.where(~F.coalesce("manually_corrected", F.lit(False)))
+    inside = in_periods(open_.select("tid", "id", "lat", "lon"), p).select("id", F.lit("Home").alias("__h")).distinct()
     return places.join(inside, "id", "left").withColumn("category", F.coalesce("__h", "category")).select(*places.columns)
 
 
@@ -103,37 +99,37 @@ def text_search(features: DataFrame, query: str, lat: float, lon: float, most: i
 
 
 def resolved(visits: DataFrame, places: DataFrame, periods: DataFrame) -> DataFrame:
-    """visits (id, lat, lon, place_key) with place_id: by external key, else by rounded coordinates, else the Home place of a home
+    """visits (tid, id, lat, lon, place_key) with place_id, a place of their person: by external key, else by rounded coordinates, else the Home place of a home
     period around it; null where a new place is needed. Each step is one join on what is still open; all visits are resolved at once,
     so places made for one visit are not seen by the next (see greedy_clusters for merging them afterwards)."""
     key = lambda c: F.bround(c, 4)
-    by_key = places.where("google_place_id is not null").groupBy(F.col("google_place_id").alias("place_key")).agg(F.min("id").alias("p1"))
-    by_spot = places.groupBy(F.col("lat_round").alias("k1"), F.col("lon_round").alias("k2")).agg(F.min("id").alias("p2"))
-    p = periods.select(F.col("id").alias("period"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
-    homes = places.where("category = 'Home'").select(F.col("id").alias("home_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    home_of = in_periods(homes.withColumnsRenamed({"plat": "lat", "plon": "lon"}), p).groupBy("period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
-    at_home = in_periods(visits.select("id", "lat", "lon"), home_of).groupBy("id").agg(F.min_by("home_id", "period").alias("p3"))
-    out = visits.withColumns({"k1": key("lat"), "k2": key("lon")}).join(by_key, "place_key", "left").join(by_spot, ["k1", "k2"], "left").join(at_home, "id", "left")
+    by_key = places.where("google_place_id is not null").groupBy("tid", F.col("google_place_id").alias("place_key")).agg(F.min("id").alias("p1"))
+    by_spot = places.groupBy("tid", F.col("lat_round").alias("k1"), F.col("lon_round").alias("k2")).agg(F.min("id").alias("p2"))
+    p = periods.select("tid", F.col("id").alias("period"), F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), "radius_m")
+    homes = places.where("category = 'Home'").select("tid", F.col("id").alias("home_id"), "lat", "lon")
+    home_of = in_periods(homes, p).groupBy("tid", "period", "hlat", "hlon", "radius_m").agg(F.min("home_id").alias("home_id"))
+    at_home = in_periods(visits.select("tid", "id", "lat", "lon"), home_of).groupBy("tid", "id").agg(F.min_by("home_id", "period").alias("p3"))
+    out = visits.withColumns({"k1": key("lat"), "k2": key("lon")}).join(by_key, ["tid", "place_key"], "left").join(by_spot, ["tid", "k1", "k2"], "left").join(at_home, ["tid", "id"], "left")
     return out.select(*visits.columns, F.coalesce("p1", "p2", "p3").alias("place_id"))
 
 
 def resolved_or_made(visits: DataFrame, places: DataFrame, periods: DataFrame, answers: DataFrame, radius: float = PLACE_RADIUS) -> tuple[DataFrame, DataFrame]:
-    """visits with place_id for all, and the places to be added: resolved() first, then a place of the name and city that a geocoder
-    gives for the spot (answers: lat_round, lon_round, name, city, category) within the radius, else a new place for each spot.
+    """visits with place_id for all, and the places to be added: resolved() first, then a place of the person with the name and city that a
+    geocoder gives for the spot (answers: lat_round, lon_round, name, city, category) within the radius, else a new place for each person's spot.
 
     A new place's id is a hash of its spot, so reruns make the same places; without an answer it has no name and is an other place."""
     found = resolved(visits, places, periods)
     key = lambda c: F.bround(c, 4)
     open_ = found.where("place_id is null").drop("place_id").withColumns({"lat_round": key("lat"), "lon_round": key("lon")})
-    spots = open_.groupBy("lat_round", "lon_round").agg(F.max("place_key").alias("google_place_id")).join(answers, ["lat_round", "lon_round"], "left")
-    spots = spots.withColumn("spot", F.xxhash64("lat_round", "lon_round").bitwiseAND(F.lit((1 << 62) - 1))).withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
-    names = {"id": "dup", "name": "name2", "city": "city2", "lat": "lat2", "lon": "lon2"}
-    near = radius_join(spots.where("name is not null").select("spot", "name", "city", "lat", "lon"), places.select("id", "name", "city", "lat", "lon"), radius, names)
-    near = near.where((F.col("name") == F.col("name2")) & F.col("city").eqNullSafe(F.col("city2"))).groupBy("spot").agg(F.min("dup").alias("dup"))
+    spots = open_.groupBy("tid", "lat_round", "lon_round").agg(F.max("place_key").alias("google_place_id")).join(answers, ["lat_round", "lon_round"], "left")
+    spots = spots.withColumn("spot", F.xxhash64("tid", "lat_round", "lon_round").bitwiseAND(F.lit((1 << 62) - 1))).withColumns({"lat": F.col("lat_round"), "lon": F.col("lon_round")})
+    names = {"id": "dup", "tid": "tid2", "name": "name2", "city": "city2", "lat": "lat2", "lon": "lon2"}
+    near = radius_join(spots.where("name is not null").select("spot", "tid", "name", "city", "lat", "lon"), places.select("id", "tid", "name", "city", "lat", "lon"), radius, names)
+    near = near.where((F.col("tid") == F.col("tid2")) & (F.col("name") == F.col("name2")) & F.col("city").eqNullSafe(F.col("city2"))).groupBy("spot").agg(F.min("dup").alias("dup"))
     spots = spots.join(near, "spot", "left")
-    made = spots.where("dup is null").select(F.col("spot").alias("id"), "lat_round", "lon_round", "google_place_id", "name", F.coalesce("category", F.lit("Other places")).alias("category"), "city")
-    ids = spots.select("lat_round", "lon_round", F.coalesce("dup", "spot").alias("__made"))
-    done = found.withColumns({"lat_round": key("lat"), "lon_round": key("lon")}).join(ids, ["lat_round", "lon_round"], "left")
+    made = spots.where("dup is null").select(F.col("spot").alias("id"), "tid", "lat_round", "lon_round", "google_place_id", "name", F.coalesce("category", F.lit("Other places")).alias("category"), "city")
+    ids = spots.select("tid", "lat_round", "lon_round", F.coalesce("dup", "spot").alias("__made"))
+    done = found.withColumns({"lat_round": key("lat"), "lon_round": key("lon")}).join(ids, ["tid", "lat_round", "lon_round"], "left")
     return done.select(*visits.columns, F.coalesce("place_id", "__made").alias("place_id")), made
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import ACCURACY_MAX, EARTH_RADIUS, ISLAND_HOP, MERGE_GAP, MERGE_RADIUS, STAY_MIN, STAY_RADIUS
 from ..functions.geo import metres
 from ..shipping import ship_package
-from .sequence import islands
+from .scan import islands
 
 STAY = "tid long, start_ts long, end_ts long, lat double, lon double, point_count int"
 
@@ -24,9 +24,8 @@ def trusted(pings: DataFrame) -> DataFrame:
 
 def ping_islands(pings: DataFrame) -> DataFrame:
     """Tracks cut where a hop is so long that no stay can span it: islands can be clustered apart, with equal results."""
-    w = Window.partitionBy("tid").orderBy("tst", "id")
-    hop = metres(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return islands(pings.withColumn("hop", hop), ["tid"], ["tst", "id"], F.col("hop") > ISLAND_HOP).drop("hop")
+    hop = metres("was.lat", "was.lon", "lat", "lon")
+    return islands(pings, ["tid"], "tst", ["id"], {"was": F.struct("lat", "lon")}, hop > ISLAND_HOP, width=86_400).drop("was")
 
 
 def _apart(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -70,8 +69,7 @@ def merged(candidates: DataFrame) -> DataFrame:
 
     Long gaps never merge, so each run between them is folded by itself, in order, by a higher-order function.
     """
-    w = Window.partitionBy("tid").orderBy("start_ts", "end_ts")
-    runs = islands(candidates.withColumn("before", F.lag("end_ts").over(w)), ["tid"], ["start_ts", "end_ts"], F.col("start_ts") - F.col("before") > MERGE_GAP, "run")
+    runs = islands(candidates, ["tid"], "start_ts", ["end_ts"], {"before": F.col("end_ts")}, F.col("start_ts") - F.col("before") > MERGE_GAP, "run")
     kind = "array<struct<start_ts:bigint,end_ts:bigint,lat:double,lon:double,n:bigint>>"
     rows = runs.groupBy("tid", "run").agg(F.array_sort(F.collect_list(F.struct("start_ts", "end_ts", "lat", "lon", F.col("point_count").cast("long").alias("n")))).alias("rows"))
 

@@ -26,12 +26,12 @@ def flanks(timeline: DataFrame) -> DataFrame:
     return marked.where("kind = 'segment'").drop("kind", "rank")
 
 
-def with_closing_visit(timeline: DataFrame, visits: DataFrame, day_end: int) -> DataFrame:
-    """Where a person's last entry is a segment, the first visit with a place that covers its end is put after it, cut to the day."""
+def with_closing_visit(timeline: DataFrame, visits: DataFrame) -> DataFrame:
+    """Where a person's last entry is a segment, the first visit with a place that covers its end (both ends included) is put after it, from there to the visit's end."""
     last = timeline.groupBy("tid").agg(F.max(F.struct("position", "kind", "end_ts")).alias("l")).where("l.kind = 'segment'").select("tid", F.col("l.end_ts").alias("__at"), (F.col("l.position") + 1).alias("position"))
-    over = visits.where("place_id is not null").join(last, "tid").where((F.col("start_ts") <= F.col("__at")) & (F.col("end_ts") > F.col("__at")))
-    over = over.withColumn("__r", F.row_number().over(Window.partitionBy("tid").orderBy("start_ts", "id"))).where("__r = 1").drop("__r")
-    closing = over.withColumns({"start_ts": F.col("__at"), "end_ts": F.least("end_ts", F.lit(day_end)), "kind": F.lit("visit"), "rank": F.lit(0)}).drop("__at")
+    over = visits.where("place_id is not null").join(last, "tid").where((F.col("start_ts") <= F.col("__at")) & (F.col("end_ts") >= F.col("__at")))
+    first = over.groupBy("tid").agg(F.min_by(F.struct(*[c for c in over.columns if c != "tid"]), F.struct("start_ts", "id")).alias("v")).select("tid", "v.*")
+    closing = first.withColumns({"start_ts": F.col("__at"), "kind": F.lit("visit"), "rank": F.lit(0)}).drop("__at")
     return timeline.unionByName(closing, allowMissingColumns=True)
 
 

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import away, legs, overlays, places, routing, sequence, stays
+from ..operators import away, legs, overlays, places, routing, scan, sequence, stays
 from ..streaming import ingest
 from .checks import CHAIN, with_ends
 from .dialect import CHECK
@@ -111,9 +111,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT *, sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY tst, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM a)
 SELECT CAST(tid AS BIGINT) AS tid, CAST(part AS BIGINT) AS part, min(tst) AS start_ts, max(tst) AS end_ts, count(*) AS n FROM b GROUP BY 1, 2""")
 def gap_split_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("tid").orderBy("tst", "id")
-    rows = stays.trusted(frame(spark, sf_dir, "pings")).withColumn("gap", F.col("tst") - F.lag("tst").over(w))
-    rows = sequence.islands(rows, ["tid"], ["tst", "id"], F.col("gap") > 1800, "part")
+    rows = scan.islands(stays.trusted(frame(spark, sf_dir, "pings")), ["tid"], "tst", ["id"], {"was": F.col("tst")}, F.col("tst") - F.col("was") > 1800, "part")
     return rows.groupBy("tid", "part").agg(F.min("tst").alias("start_ts"), F.max("tst").alias("end_ts"), F.count("*").alias("n"))
 
 
@@ -163,7 +161,7 @@ def home_period_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @op("trips", f"""WITH {HOMED},
-r0 AS (SELECT *, lag(end_ts) OVER w AS g0, lag(away) OVER w AS wa, lag(near) OVER w AS wn FROM ha WHERE category <> 'Work' AND source <> 'photo_import' WINDOW w AS (PARTITION BY tid ORDER BY start_ts, id)),
+r0 AS (SELECT *, lag(end_ts) OVER w AS g0, lag(away) OVER w AS wa, lag(near) OVER w AS wn FROM ha WHERE category <> 'Work' AND source NOT IN ('kml_import', 'photo_import') WINDOW w AS (PARTITION BY tid ORDER BY start_ts, id)),
 gp AS (SELECT DISTINCT tid, g0, start_ts AS g1 FROM r0 WHERE away AND wa AND start_ts - g0 > 86400),
 cv AS (SELECT gp.tid, gp.g0, gp.g1, greatest(s.start_ts, g0) AS s, least(s.end_ts, g1) AS e FROM gp JOIN segments s ON s.tid = gp.tid AND s.start_ts < g1 AND s.end_ts > g0),
 ho AS (SELECT tid, g0, g1, e, s - greatest(g0, coalesce(max(e) OVER (PARTITION BY tid, g0, g1 ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g0)) AS hole FROM cv),

@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MERGE_GAP, MOON_DISTANCE, SPEED_CEILINGS, WORLD_COUNTRIES, YEAR_DAYS
+from ..constants import MERGE_GAP, MOON_DISTANCE, PHOTO_DISTANCE, PHOTO_GAP, SPEED_CEILINGS, WORLD_COUNTRIES, YEAR_DAYS
 from ..functions.geo import metres
-from ..operators import legs, places as place_ops, sequence
+from ..operators import legs, places as place_ops, scan, sequence
 from .fixtures import MODES
 
 BIRTH = -315619200  # 1960-01-01, the fixtures' date of birth
@@ -24,6 +24,7 @@ DECADE_S = int(10 * YEAR_DAYS * DAY_S)
 A_DAY = 883785600  # 1998-01-03, the day that the day reports show
 SEGMENT_KEYS = ["k1", "k2", "k3", "k4", "distance_m"]
 SIX = 6  # months in a trend
+TRIP_BIN = 365 * DAY_S  # trips of a person are dealt by year
 MIN_METRES, MIN_SECONDS = 160.9344, 60  # fixed values: what shows as more than zero
 STORY_EXCLUDES = ("Home", "Streets and roads", "Other places")
 FLIGHTS, FAST_FLIGHTS = 20, 30  # fixed values: flights whose ends are looked up
@@ -491,7 +492,8 @@ def longest_by_mode(segments: DataFrame, visits: DataFrame, places: DataFrame) -
 
 
 def _next(trips: DataFrame) -> DataFrame:
-    return trips.withColumn("nxt", F.lead("start_ts").over(Window.partitionBy("tid").orderBy("start_ts", "id")))
+    """trips with nxt, the start of the person's next one."""
+    return scan.running(trips, ["tid"], "start_ts", ["id"], {"nxt": ("lag", F.col("start_ts"))}, width=TRIP_BIN, back=True)
 
 
 def _trip_days() -> Column:
@@ -692,10 +694,10 @@ def _on_day(rows: DataFrame, at: int) -> DataFrame:
 
 def coalesced(visits: DataFrame) -> DataFrame:
     """Consecutive visits of one place with short gaps as one: tid, id (of the first), place_id, start_ts, end_ts, n_visits. Visits without a place stay alone."""
-    w = Window.partitionBy("tid").orderBy("start_ts", "id")
-    rows = sequence.islands(visits.withColumn("__was", F.lag("place_id").over(w)), ["tid"], ["start_ts", "id"], F.col("__was").isNull() | F.col("place_id").isNull() | (F.col("__was") != F.col("place_id")), "__run")
-    upto = F.max("end_ts").over(Window.partitionBy("tid", "__run").orderBy("start_ts", "id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = sequence.islands(rows.withColumn("__upto", upto), ["tid", "__run"], ["start_ts", "id"], F.col("start_ts") - F.col("__upto") > MERGE_GAP, "__part")
+    new = F.col("__was").isNull() | F.col("place_id").isNull() | (F.col("__was") != F.col("place_id"))
+    rows = scan.islands(visits, ["tid"], "start_ts", ["id"], {"__was": F.col("place_id")}, new, "__run")
+    rows = scan.running(rows, ["tid", "__run"], "start_ts", ["id"], {"__upto": ("max_before", F.col("end_ts"))})
+    rows = scan.islands(rows, ["tid", "__run"], "start_ts", ["id"], {}, F.col("start_ts") - F.col("__upto") > MERGE_GAP, "__part")
     return rows.groupBy("tid", "__run", "__part").agg(F.min_by("id", F.struct("start_ts", "id")).alias("id"), F.first("place_id").alias("place_id"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n_visits")).drop("__run", "__part")
 
 
@@ -742,10 +744,9 @@ def context_visits(visits: DataFrame, at: int = A_DAY) -> DataFrame:
 @report("photos")
 def photo_clusters(photos: DataFrame) -> DataFrame:
     """Runs of photos with hops of at most six hours and a kilometre."""
-    w = Window.partitionBy("tid").orderBy("taken_ts", "uid")
-    rows = photos.where("not (lat = 0 and lon = 0)").withColumns({"t0": F.lag("taken_ts").over(w), "hop": metres(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))})
-    near = (F.col("taken_ts") - F.col("t0") <= 21600) & (F.col("hop") <= 1000)
-    runs = sequence.islands(rows, ["tid"], ["taken_ts", "uid"], ~F.coalesce(near, F.lit(False)), "g")
+    near = (F.col("taken_ts") - F.col("was.taken_ts") <= PHOTO_GAP) & (metres("was.lat", "was.lon", "lat", "lon") <= PHOTO_DISTANCE)
+    some = photos.where("not (lat = 0 and lon = 0)")
+    runs = scan.islands(some, ["tid"], "taken_ts", ["uid"], {"was": F.struct("taken_ts", "lat", "lon")}, ~F.coalesce(near, F.lit(False)), "g")
     return runs.groupBy("tid", "g").agg(F.min("taken_ts").alias("start_ts"), F.max("taken_ts").alias("end_ts"), F.count("*").alias("n_photos"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"))
 
 

@@ -85,13 +85,12 @@ def planned_mode(name_a: Column, name_b: Column, distance_m: Column) -> Column:
 
 
 def not_overlapping(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates (start_ts, end_ts) that no existing interval overlaps; matched through the day bins both touch."""
-    days = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 86400), F.floor(F.greatest(F.col(a), F.col(b)) / 86400)))
-    marked = candidates.withColumn("__id", F.monotonically_increasing_id())
-    left = marked.select("__id", "start_ts", "end_ts", days("start_ts", "end_ts").alias("__day"))
-    right = existing.select(F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e")).withColumn("__day", days("__s", "__e"))
-    hit = left.join(right, "__day").where("__s < end_ts and __e > start_ts").select("start_ts", "end_ts").distinct()
-    return marked.join(hit, ["start_ts", "end_ts"], "left_anti").drop("__id")
+    """Candidates (tid, start_ts, end_ts) that no existing interval of the tid overlaps; matched through the day bins both touch."""
+    on, days = ["tid", "start_ts", "end_ts"], lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 86400), F.floor(F.greatest(F.col(a), F.col(b)) / 86400)))
+    left = candidates.select(*on).distinct().withColumn("__day", days("start_ts", "end_ts"))
+    right = existing.select("tid", F.col("start_ts").alias("__s"), F.col("end_ts").alias("__e")).withColumn("__day", days("__s", "__e"))
+    hit = left.join(right, ["tid", "__day"]).where("__s < end_ts and __e > start_ts").select(*on).distinct()
+    return candidates.join(hit, on, "left_anti").select(*candidates.columns)
 
 
 def new_places(seeds: DataFrame, places: DataFrame) -> DataFrame:
