@@ -20,8 +20,8 @@ def mode_of_speed(kmh: Column) -> Column:
     return F.when(kmh > 140, "flying").when(kmh > 25, "driving").when(kmh > 7, "cycling").otherwise("walking")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, right_names: dict[str, str]) -> DataFrame:
-    """Pairs of left and right rows (both with lat, lon) at most radius metres apart, with the distance as metres.
+def radius_join(left: DataFrame, right: DataFrame, radius: float, right_names: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left and right rows (both with lat, lon) at most radius metres apart and equal in `keys`, with the distance as metres.
 
     Both sides are put in latitude bands and, inside a band, longitude cells of the radius's size at the band's
     widest latitude; right rows are copied to neighbouring cells, so it is an equi-join with a residual filter.
@@ -36,5 +36,6 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, right_names: d
     r = right.withColumn("cell_b", F.explode(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)])))
     r = r.withColumn("cell_l", F.explode(F.array(*[lon_cell(F.col("lon"), F.col("cell_b")) + i for i in (-1, 0, 1)])))
     r = r.select("cell_b", "cell_l", *[F.col(c).alias(right_names.get(c, c)) for c in right.columns])
+    on = [*keys, "cell_b", "cell_l"]
     distance = metres("lat", "lon", right_names["lat"], right_names["lon"])
-    return l.join(r, ["cell_b", "cell_l"]).withColumn("metres", distance).where(F.col("metres") <= radius).drop("cell_b", "cell_l")
+    return l.join(r, on).withColumn("metres", distance).where(F.col("metres") <= radius).drop("cell_b", "cell_l")

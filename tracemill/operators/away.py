@@ -25,9 +25,9 @@ def with_home(visits: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def blank_seconds(gaps: DataFrame, segments: DataFrame) -> DataFrame:
-    """gaps (tid, g0, g1): the longest stretch of each that no segment covers."""
+    """gaps (tid, g0, g1 and more) with blank_s, the longest stretch of each that no segment covers."""
     s = segments.select("tid", F.col("start_ts").alias("s0"), F.col("end_ts").alias("s1"))
-    met = overlap_join(gaps, s, ("g0", "g1"), ("s0", "s1"), ["tid"]).where("s0 < g1 and s1 > g0")
+    met = overlap_join(gaps.select("tid", "g0", "g1").distinct(), s, ("g0", "g1"), ("s0", "s1"), ["tid"]).where("s0 < g1 and s1 > g0")
     order = Window.partitionBy("tid", "g0", "g1").orderBy("s0", "s1")
     covered = F.max(F.least("s1", "g1")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     hole = F.greatest("s0", "g0") - F.greatest(F.coalesce(covered, F.col("g0")), F.col("g0"))
@@ -42,21 +42,25 @@ def trips(visits: DataFrame, segments: DataFrame, work: str = "Work") -> DataFra
     at a gap whose longest uncovered stretch is over a day. Photo visits are trips of their own; visits of imported trips take no part (those trips come with them).
     """
     rows = visits.where((F.coalesce("category", F.lit("")) != work) & ~F.col("source").isin("kml_import", "photo_import"))
-    before = {"g0": "end_ts", "was_away": "away", "was_near": "near_home"}
-    rows = scan.running(rows, ["tid"], "start_ts", ["id"], {n: ("lag", F.col(c)) for n, c in before.items()}).withColumn("g1", F.col("start_ts"))
-    gaps = rows.where(F.col("away") & F.col("was_away") & (F.col("g1") - F.col("g0") > BLANK_GAP)).select("tid", "g0", "g1").distinct()
-    rows = rows.join(blank_seconds(gaps, segments), ["tid", "g0", "g1"], "left")
-    gap = F.col("g1") - F.col("g0")
+    lagged = {"g0": F.col("end_ts"), "was_away": F.col("away"), "was_near": F.col("near_home")}
+    gap = F.col("start_ts") - F.col("g0")
+    far = scan.running(rows.select("tid", "id", "start_ts", "end_ts", "away"), ["tid"], "start_ts", ["id"], {n: ("lag", lagged[n]) for n in ("g0", "was_away")})
+    gaps = far.where(F.col("away") & F.col("was_away") & (gap > BLANK_GAP)).select("tid", "id", "g0", F.col("start_ts").alias("g1"))
+    rows = rows.join(blank_seconds(gaps, segments).select("id", "blank_s"), "id", "left")
     new = F.col("away") & (~F.coalesce("was_away", F.lit(False)) | ((gap > AWAY_GAP) & (F.col("was_near") | F.col("near_home"))) | (F.coalesce("blank_s", F.lit(0)) > BLANK_GAP))
-    runs = scan.islands(rows, ["tid"], "start_ts", ["id"], {}, new, "run").where("away").withColumn("own", F.lit(0).cast("long"))
+    cols = ["tid", "id", "start_ts", "end_ts", "city", "country", "country_code"]
+    rows = rows.select(*cols, "away", "near_home", "blank_s")
+    runs = scan.islands(rows, ["tid"], "start_ts", ["id"], lagged, new, "run").where("away").withColumn("own", F.lit(0).cast("long"))
     alone = visits.where(F.col("source") == "photo_import").withColumns({"run": F.lit(-1).cast("long"), "own": F.col("id")})
-    cols = ["tid", "run", "own", "id", "start_ts", "end_ts", "city", "country", "country_code"]
-    every = runs.select(*cols).unionByName(alone.select(*cols))
-    spans = every.groupBy("tid", "run", "own").agg(F.min("start_ts").alias("start_ts"), F.max_by("end_ts", F.struct("start_ts", "id")).alias("end_ts"), F.count("*").alias("n_visits"))
-    weight = F.greatest(F.col("end_ts") - F.col("start_ts"), F.lit(60))
-    named = F.coalesce(F.nullif("city", F.lit("")), F.nullif("country", F.lit("")))
-    kind = F.when(F.nullif("city", F.lit("")).isNotNull(), 0).otherwise(1)
-    votes = every.where(named.isNotNull()).withColumns({"kind": kind, "label": named}).groupBy("tid", "run", "own", "kind", "label").agg(F.sum(weight).alias("s"), F.min("start_ts").alias("seen"), F.max_by(F.struct("country", "country_code"), F.struct("start_ts", "id")).alias("c"))
-    best = votes.groupBy("tid", "run", "own").agg(F.min_by(F.struct("kind", "label", "c"), F.struct("kind", -F.col("s"), "seen", "label")).alias("b"))
-    out = spans.where(F.col("end_ts") - F.col("start_ts") >= TRIP_MIN).join(best, ["tid", "run", "own"], "left")
+    every = runs.select("run", "own", *cols).unionByName(alone.select("run", "own", *cols))
+
+    # first by run and name, then by run
+    city, country = (F.nullif(c, F.lit("")) for c in ("city", "country"))
+    named = F.coalesce(city, country)
+    weight, at = F.greatest(F.col("end_ts") - F.col("start_ts"), F.lit(60)), F.struct("start_ts", "id")
+    votes = every.withColumns({"kind": F.when(city.isNotNull(), 0).otherwise(1), "label": named}).groupBy("tid", "run", "own", "kind", "label").agg(
+        F.sum(weight).alias("s"), F.min("start_ts").alias("seen"), F.max_by(F.struct("country", "country_code"), at).alias("c"), F.count("*").alias("n"), F.max(F.struct("start_ts", "id", "end_ts")).alias("last"))
+    order = F.when(F.col("label").isNotNull(), F.struct("kind", -F.col("s"), "seen", "label"))
+    spans = votes.groupBy("tid", "run", "own").agg(F.min("seen").alias("start_ts"), F.max("last").alias("last"), F.sum("n").alias("n_visits"), F.min_by(F.struct("kind", "label", "c"), order).alias("b"))
+    out = spans.withColumn("end_ts", F.col("last.end_ts")).where(F.col("end_ts") - F.col("start_ts") >= TRIP_MIN)
     return out.select("tid", "start_ts", "end_ts", "n_visits", F.when(F.col("b.kind") == 0, F.col("b.label")).alias("primary_city"), F.col("b.c.country").alias("primary_country"), F.col("b.c.country_code").alias("primary_country_code"))

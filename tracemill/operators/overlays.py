@@ -35,6 +35,30 @@ def repointed(visits: DataFrame, alias: DataFrame) -> DataFrame:
     return visits.join(a, "place_id", "left").withColumn("place_id", F.coalesce("__new", "place_id")).select(*visits.columns)
 
 
+def final_aliases(alias: DataFrame, stored) -> DataFrame:
+    """old_id, new_id with each merged place's last keeper: chains of merges (old_id, new_id, in any order) are followed to their end.
+
+    Pointers double in each round, so a chain of n merges takes log n of them. Of several merges of one place, the one into the smallest id counts.
+    Places that were merged in a circle are kept by the smallest id of the circle, which isn't merged itself; merges into oneself are none."""
+    one = alias.where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    at = stored(one.withColumn("least", F.col("old_id")))  # the smallest id from old_id up to before new_id
+    known, reach = at.count(), 1
+    while True:
+        step = at.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("__next"), F.col("least").alias("__least"))
+        met = at.join(step, "new_id", "left")
+        if reach > known or met.where("__next is not null").isEmpty():
+            break
+        at, reach = stored(met.select("old_id", F.coalesce("__next", "new_id").alias("new_id"), F.least("least", "__least").alias("least"))), 2 * reach
+    # what still goes on after so many steps ends in a circle, whose smallest id is that seen from there
+    return met.select("old_id", F.coalesce("__least", "new_id").alias("new_id")).where("old_id <> new_id")
+
+
+def merged_places(places: DataFrame, visits: DataFrame, alias: DataFrame, stored) -> tuple[DataFrame, DataFrame]:
+    """Places without those merged into others, and visits that point to their last keepers."""
+    last = stored(final_aliases(alias, stored))
+    return without(places, last.select(F.col("old_id").alias("id")), ["id"]), repointed(visits, last)
+
+
 def merged_into_previous(visits: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The visits of `ids` are merged into the ones before them; segments inside a merged span go. visits: tid, id, start_ts, end_ts."""
     w = Window.partitionBy("tid").orderBy("start_ts", "id")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import away, legs, overlays, places, routing, scan, sequence, stays
+from ..operators import away, legs, overlays, photos as photo_ops, places, rederive, routing, scan, sequence, stays
+from ..storage import keeper, shared
 from ..streaming import ingest
 from .checks import CHAIN, with_ends
 from .dialect import CHECK
@@ -29,27 +26,6 @@ def op(name: str, check: str | None = None):
     return keep
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; only a local session without one (tests) gets a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{base or os.path.join(tempfile.gettempdir(), 'checkpoints')}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def keeper(spark: SparkSession, name: str):
-    """A function that writes a table to the shared folder and reads it back."""
-
-    def keep(df: DataFrame) -> DataFrame:
-        df.write.parquet(path := shared(spark, name))
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 M = CHECK.metres
 TRUSTED = "t AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY tst, id) AS i FROM pings WHERE source = 'owntracks' AND (acc IS NULL OR acc <= 100))"
 # The scan as a recursion over the whole track of each device: a state is a run of pings i..k with its sums.
@@ -129,7 +105,7 @@ def longest_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("dist"), "start_ts", "mode"))
     some = chains.select("tid", "mode", "start_ts", "end_ts", "dist").withColumn("r", rank).where("r <= 25")
     visits = placed(frame(spark, sf_dir, "visits"), frame(spark, sf_dir, "places"))
-    rows = places.with_ends(some, visits, ["tid"]).where("ends_m is not null").withColumn("ends_m", F.round("ends_m", 1))
+    rows = places.with_ends(keeper(spark, "journeys")(some), visits, ["tid"]).where("ends_m is not null").withColumn("ends_m", F.round("ends_m", 1))
     return top(rows, ["tid"], [-F.col("ends_m"), F.col("start_ts"), F.col("mode")], "mode", "start_ts", "from_place", "to_place", "ends_m")
 
 
@@ -177,6 +153,43 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return away.trips(_homed(spark, sf_dir), frame(spark, sf_dir, "segments")).select("tid", "start_ts", "end_ts", "n_visits", "primary_city")
 
 
+#: Visits put in by hand (where no imported one stands), with what they replace, and people who moved: the tables after the edit.
+EDITED = """mv AS (SELECT v.* REPLACE (v.id + 1000000000 AS id, v.start_ts + 259200 AS start_ts, v.start_ts + 277200 AS end_ts, 'manual' AS source) FROM visits v WHERE v.id % 9 = 4),
+mo AS (SELECT * FROM mv WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.tid = mv.tid AND v.source NOT IN ('owntracks', 'manual') AND v.start_ts < mv.end_ts AND v.end_ts > mv.start_ts)),
+v2 AS (SELECT * FROM visits v WHERE source <> 'owntracks' OR NOT EXISTS (SELECT 1 FROM mo WHERE mo.tid = v.tid AND v.start_ts < mo.end_ts AND v.end_ts > mo.start_ts) UNION ALL SELECT * FROM mo),
+s2 AS (SELECT * FROM segments s WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.tid = s.tid AND s.start_ts < mo.end_ts AND s.end_ts > mo.start_ts)),
+h2 AS (SELECT * REPLACE (CASE WHEN tid % 5 = 2 AND id % 2 = 0 THEN 50.24 ELSE lat END AS lat) FROM home_periods)"""
+_AFTER = CHECKS["trips"].replace("WITH ", f"WITH {EDITED}, ", 1).replace("FROM visits v JOIN places", "FROM v2 v JOIN places").replace("JOIN home_periods h", "JOIN h2 h").replace("JOIN segments s", "JOIN s2 s")
+
+
+@op("rederived_trips", _AFTER)
+def rederived_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips after visits put in by hand and moves of home, from the trips before: only what the edits touch is derived again."""
+    keep = keeper(spark, "rederived")
+    visits, periods = frame(spark, sf_dir, "visits"), frame(spark, sf_dir, "home_periods")
+    segs = frame(spark, sf_dir, "segments").withColumn("source", F.lit("owntracks"))
+    p = frame(spark, sf_dir, "places").select(F.col("id").alias("place_id"), "category", "city", "country", "country_code", "lat", "lon")
+    old = keep(away.trips(away.with_home(visits.join(p, "place_id"), periods), segs))
+    hand = visits.where("id % 9 = 4").withColumns({"id": F.col("id") + 1000000000, "start_ts": F.col("start_ts") + 259200, "end_ts": F.col("start_ts") + 277200, "source": F.lit("manual")})
+    visits2, segs2 = (keep(x) for x in overlays.manual_visit(visits, segs, hand))
+    moved = periods.withColumn("lat", F.when((F.col("tid") % 5 == 2) & (F.col("id") % 2 == 0), 50.24).otherwise(F.col("lat")))
+    changes = rederive.accepted(visits, segs, visits2.where("source = 'manual'")).unionByName(rederive.period_changes(periods, moved))
+    rows = rederive.trips(old, visits2.join(p, "place_id"), segs2, moved, changes, keep)
+    return rows.select("tid", "start_ts", "end_ts", "n_visits", "primary_city")
+
+
+@op("rederived_segments", CHECKS["segments"].replace("FROM merged),\no AS", "FROM merged WHERE start_ts % 7 <> 3),\no AS"))
+def rederived_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs after some visits were deleted, from the legs before."""
+    keep = keeper(spark, "rederived")
+    trusted = stays.trusted(frame(spark, sf_dir, "pings"))
+    visits = keep(stays.merged(stays.stays(trusted)))
+    left = visits.where("start_ts % 7 <> 3")
+    old = keep(legs.segments(visits, trusted))
+    rows = rederive.segments(old, left, trusted, rederive.changes_of(visits, left, ["tid", "start_ts"]), keep)
+    return rows.select("tid", "start_ts", "end_ts", "mode", F.round("distance_m", 2).alias("distance_m"), "start_visit", "end_visit")
+
+
 def _chained_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of seven names, so that many share one."""
     return frame(spark, sf_dir, "places").withColumn("name", F.concat(F.lit("Chain "), (F.col("id") % 7).cast("string"))).withColumn("city", F.when(F.col("id") % 29 > 0, F.col("country")))
@@ -224,6 +237,47 @@ def place_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("place_id").agg(F.count("*").alias("n_visits"))
 
 
+# chains of merges by a recursion that carries the path along, so that circles are seen
+@op("place_merge_chains", """WITH RECURSIVE al AS (SELECT id AS o, CASE WHEN id % 100 = 0 THEN id + 2 ELSE id - 1 END AS n FROM places WHERE id % 4 <> 0 OR id % 100 = 0),
+w AS (SELECT o, n AS cur, [o] AS seen FROM al UNION ALL SELECT w.o, al.n, list_append(seen, w.cur) FROM w JOIN al ON al.o = w.cur WHERE NOT list_contains(seen, w.cur)),
+e AS (SELECT o, CASE WHEN list_contains(seen, cur) THEN list_min(list_slice(seen, list_position(seen, cur), len(seen))) ELSE cur END AS keeper FROM w QUALIFY row_number() OVER (PARTITION BY o ORDER BY len(seen) DESC) = 1)
+SELECT p.id, (SELECT count(*) FROM visits v LEFT JOIN e ON e.o = v.place_id WHERE coalesce(e.keeper, v.place_id) = p.id) AS n_visits FROM places p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.o = p.id AND e.keeper <> p.id)""")
+def place_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the places after merges in chains and circles, with the visits that now point to each."""
+    some = frame(spark, sf_dir, "places")
+    alias = some.where("id % 4 <> 0 or id % 100 = 0").select(F.col("id").alias("old_id"), F.when(F.col("id") % 100 == 0, F.col("id") + 2).otherwise(F.col("id") - 1).alias("new_id"))
+    left, visits = overlays.merged_places(some, frame(spark, sf_dir, "visits"), alias, keeper(spark, "merges"))
+    n = visits.groupBy(F.col("place_id").alias("id")).agg(F.count("*").alias("n_visits"))
+    return left.select("id").join(n, "id", "left").fillna(0, ["n_visits"])
+
+
+def _photo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth photo has a second file, taken elsewhere."""
+    rows = frame(spark, sf_dir, "photos").withColumn("file", F.lit("a"))
+    return rows.unionByName(rows.where("uid % 4 = 0").withColumns({"file": F.lit("b"), "lat": F.lit(50.0), "lon": F.lit(0.01)}))
+
+
+@op("photos_near_visits", f"""WITH f AS (SELECT *, 'a' AS file FROM photos UNION ALL SELECT * REPLACE (50.0::DOUBLE AS lat, 0.01::DOUBLE AS lon), 'b' FROM photos WHERE uid % 4 = 0),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY uid ORDER BY file) = 1),
+m AS (SELECT v.id, u.uid, round({M('u.lat', 'u.lon', 'p.lat', 'p.lon')}, 1) AS metres FROM visits v JOIN places p ON p.id = v.place_id JOIN u ON u.tid = v.tid AND NOT (u.lat = 0 AND u.lon = 0)
+  AND u.taken_ts >= CAST(floor((v.start_ts - 259200) / 86400.0) AS BIGINT) * 86400 AND u.taken_ts < (CAST(floor((v.end_ts + 259200) / 86400.0) AS BIGINT) + 1) * 86400 WHERE {M('u.lat', 'u.lon', 'p.lat', 'p.lon')} <= 100000)
+SELECT id, uid, metres, CAST(row_number() OVER (PARTITION BY id ORDER BY metres, uid) AS INT) AS rank FROM m QUALIFY rank <= 24""")
+def photos_near_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos within 100 km of a visit's place, taken up to three days around it; a photo's first file counts."""
+    at = frame(spark, sf_dir, "places").select(F.col("id").alias("place_id"), "lat", "lon")
+    spots = frame(spark, sf_dir, "visits").join(at, "place_id").select("id", "tid", "lat", "lon", (F.col("start_ts") - 259200).alias("start_ts"), (F.col("end_ts") + 259200).alias("end_ts"))
+    return photo_ops.near(spots, _photo_files(spark, sf_dir), 100_000.0)
+
+
+@op("photos_of_trips", """WITH f AS (SELECT *, 'a' AS file FROM photos UNION ALL SELECT * REPLACE (50.0::DOUBLE AS lat, 0.01::DOUBLE AS lon), 'b' FROM photos WHERE uid % 4 = 0),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY uid ORDER BY file) = 1)
+SELECT t.id, u.uid, u.taken_ts, CASE WHEN NOT (lat = 0 AND lon = 0) THEN lat END AS lat, CASE WHEN NOT (lat = 0 AND lon = 0) THEN lon END AS lon, CAST(row_number() OVER (PARTITION BY t.id ORDER BY taken_ts, uid) AS INT) AS rank
+FROM trips t JOIN u ON u.tid = t.tid AND u.taken_ts >= CAST(floor(t.start_ts / 86400.0) AS BIGINT) * 86400 AND u.taken_ts < (CAST(floor(t.end_ts / 86400.0) AS BIGINT) + 1) * 86400 QUALIFY rank <= 100""")
+def photos_of_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = frame(spark, sf_dir, "trips").select("id", "tid", "start_ts", "end_ts")
+    return photo_ops.taken_between(spans, _photo_files(spark, sf_dir), 100)
+
+
 @op("away_seconds_per_day", "SELECT bin AS day, CAST(sum(least(end_ts, (bin + 1) * 86400) - greatest(start_ts, bin * 86400)) AS BIGINT) AS seconds FROM (SELECT start_ts, end_ts, CAST(unnest(generate_series(CAST(floor(start_ts / 86400.0) AS BIGINT), CAST(floor((end_ts - 1) / 86400.0) AS BIGINT))) AS BIGINT) AS bin FROM trips) t GROUP BY 1")
 def away_seconds_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.clipped_per_bin(frame(spark, sf_dir, "trips"), "start_ts", "end_ts", 86400, "day").groupBy("day").agg(F.sum("seconds").alias("seconds"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import MERGE_GAP, MOON_DISTANCE, PHOTO_DISTANCE, PHOTO_GAP, SPEED_CEILINGS, WORLD_COUNTRIES, YEAR_DAYS
 from ..functions.geo import metres
 from ..operators import legs, places as place_ops, scan, sequence
+from ..storage import keeper
 from .fixtures import MODES
 
 BIRTH = -315619200  # 1960-01-01, the fixtures' date of birth
@@ -457,7 +458,9 @@ def monthly_categories(visits: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _with_ends(journeys: DataFrame, visits: DataFrame, places: DataFrame) -> DataFrame:
-    """journeys (tid, start_ts, end_ts) with start_name, end_name and ends_m (null where an end is missing)."""
+    """journeys (a few of each tid: tid, start_ts, end_ts) with start_name, end_name and ends_m (null where an end is missing). They are
+    written first, as both as-of joins look at them twice."""
+    journeys = keeper(journeys.sparkSession, "journeys")(journeys)
     label = F.coalesce("name", "city", "country").alias("label")
     rows = place_ops.with_ends(journeys, placed(visits, places).select("tid", "id", "start_ts", "end_ts", "place_id", "lat", "lon", label), ["tid"], ["label"])
     return rows.withColumnsRenamed({"from_label": "start_name", "to_label": "end_name"})
@@ -693,11 +696,13 @@ def _on_day(rows: DataFrame, at: int) -> DataFrame:
 
 
 def coalesced(visits: DataFrame) -> DataFrame:
-    """Consecutive visits of one place with short gaps as one: tid, id (of the first), place_id, start_ts, end_ts, n_visits. Visits without a place stay alone."""
+    """Consecutive visits of one place with short gaps as one: tid, id (of the first), place_id, start_ts, end_ts, n_visits. Visits without a place stay alone.
+
+    Runs of one place come from the scan over time bins; inside a run (no other place between its visits) a window of its own looks for gaps."""
     new = F.col("__was").isNull() | F.col("place_id").isNull() | (F.col("__was") != F.col("place_id"))
     rows = scan.islands(visits, ["tid"], "start_ts", ["id"], {"__was": F.col("place_id")}, new, "__run")
-    rows = scan.running(rows, ["tid", "__run"], "start_ts", ["id"], {"__upto": ("max_before", F.col("end_ts"))})
-    rows = scan.islands(rows, ["tid", "__run"], "start_ts", ["id"], {}, F.col("start_ts") - F.col("__upto") > MERGE_GAP, "__part")
+    upto = F.max("end_ts").over(Window.partitionBy("tid", "__run").orderBy("start_ts", "id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = sequence.islands(rows.withColumn("__upto", upto), ["tid", "__run"], ["start_ts", "id"], F.col("start_ts") - F.col("__upto") > MERGE_GAP, "__part")
     return rows.groupBy("tid", "__run", "__part").agg(F.min_by("id", F.struct("start_ts", "id")).alias("id"), F.first("place_id").alias("place_id"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n_visits")).drop("__run", "__part")
 
 
