@@ -726,3 +726,22 @@ def test_word_counts_never_exceed_the_edit_distance():
             assert near_dedup.apart(bx, by)[0] <= plain_distance(x, y)
     many = np.frombuffer(near_dedup.binned(np.full(1000, 3, np.uint64)), np.uint8)
     assert len(many) == near_dedup.BINS and many[3] == 255  # a full bin loosens the bound only
+
+
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_texts_around_one_passage(spark, monkeypatch, crowd):
+    """Texts that share one long passage and differ around it: classes as by all pairs, whether their word pairs count as crowded or not."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rng = random.Random(29)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, rng.randrange(0, 30))} {passage} {prose(rng, rng.randrange(0, 12))}".strip() for _ in range(60)]
+    texts += [" ".join(w if rng.random() > 0.06 else rng.choice(WORDS) for w in t.split()) for t in texts[:25]] + [prose(rng, 80) for _ in range(5)]
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        n = max(len(words[i]), len(words[j]))
+        if min(len(words[i]), len(words[j])) >= 0.8 * n and plain_distance(words[i], words[j]) <= 0.2 * n + 1e-9:
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) > 10

@@ -8,10 +8,12 @@ must pass a bound that no edit distance undercuts: the words counted in BINS bin
 either side by one at most. Classes are the connected components.
 
 Exact copies (equal word sequences) are one text from the start. A bucket's members are first compared with one
-leader each, and only what is still apart is looked at again: against the bucket's other end, then against more and more
-leaders, until no bucket holds two components of which a pair (of like length) is untried. A group of thousands of copies costs one
-alignment a copy; a bucket of texts that are all far apart (which share one common passage, say) costs one bound of counts for each
-of its pairs, and next to no alignments.
+leader each, the text of the bucket whose own buckets hold most others (of a group of near copies, their original), then with both ends of
+every bucket that still holds two components. A group of thousands of copies costs one alignment a copy. What is still apart then (texts
+that share one common passage, say) goes by an exact bound instead of all pairs of a bucket: a word edit changes two word pairs at most, so
+texts of similarity 0.8 have one of the rarest 0.4 n + 1 of their word pairs in common, and passages that many texts share are not
+among the rarest. Texts meet in these pairs of words, those of a pair's largest component with others only; where very many meet in one, they
+meet in their rarest 0.2 n + 1 words instead (an edit changes one word at most).
 
 Defined cases: null, empty or word-less texts are classes of their own; texts under five words are linked to equal
 ones only (as are any that have no two five-word runs in common); rows of one doc_id are one document; rows without doc_id have a null class; an empty table gives an
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import aligned_within
@@ -36,8 +38,10 @@ from .graph import components
 SKETCHES, KMER = 64, 5
 #: Bins of the word counts; a bin holds 255 at most, which only loosens the bound.
 BINS = 256
-#: Buckets of up to so many texts are compared pair by pair at once; larger ones have so many leaders (on average) in their first round.
-SMALL = 12
+#: A word pair among the rarest of more texts than this is crowded: its texts meet in their rarest words instead.
+CROWD = 32
+#: So many rarer grams stand beside each, to tell whether two texts have met before.
+LOOK_BACK = 32
 #: Pair lists of up to so many rows are sent to the tasks instead of shuffling all texts.
 BROADCAST_PAIRS = 500_000
 #: So are other tables of up to so many rows of a few numbers each, with a shuffle join beyond.
@@ -201,12 +205,13 @@ class _Linking:
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    """bucket, lo, hi: the buckets of two documents or more and their first and last one."""
-    return rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    """bucket, lo, hi: the buckets (bucket, doc, weight) of two components or more, their heaviest document and the lightest one."""
+    by = F.struct("weight", -F.col("doc"))
+    return rows.groupBy("bucket").agg(F.max_by("doc", by).alias("lo"), F.min_by("doc", by).alias("hi")).where("lo <> hi")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """a, b: each row of a bucket with the bucket's first and last one."""
+    """a, b: each row of a bucket with the bucket's ends."""
     met = rows.select("bucket", "doc").join(_small(stored(_ends(rows), "near-ends")), "bucket")
     return met.select(F.col("doc").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
 
@@ -219,8 +224,10 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     firsts = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "near-texts")
     reps = named.join(_small(firsts), ["h1", "h2"]).where("doc = doc_id").select("doc", F.col("n_words").alias("n"), "counts", "sketch")
     members = reps.select("doc", F.explode("sketch").alias("bucket"))
-    buckets = stored(_ends(members).select("bucket", "lo"), "near-buckets")
+    buckets = stored(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "near-buckets")
     shared = stored(members.join(_small(buckets), "bucket"), "near-members")  # only buckets of two or more
+    weights = stored(shared.groupBy("doc").agg(F.sum("held").alias("weight")), "near-weights")
+    shared = stored(shared.select("bucket", "doc").join(_small(weights), "doc"), "near-weighed")
     one = F.when(F.min("counts") == F.max("counts"), F.max("counts"))  # unknown for a doc_id with several texts
     counts = reps.join(_small(stored(shared.select("doc").distinct(), "near-docs")), "doc", "left_semi").groupBy("doc").agg(F.max("n").alias("n"), one.alias("counts"))
     counts = stored(counts, "near-counts")
@@ -228,18 +235,16 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     linking = _Linking(sizes, counts, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), similarity)
 
     # each text against the leader with which it shares most buckets
-    votes = shared.where("doc <> lo").groupBy("doc", "lo").agg(F.count("*").alias("votes"))
+    led = shared.join(_small(stored(_ends(shared).select("bucket", "lo"), "near-leaders")), "bucket").where("doc <> lo")
+    votes = led.groupBy("doc", "lo").agg(F.count("*").alias("votes"))
     linking.round(votes.groupBy(F.col("doc").alias("a")).agg(F.max_by("lo", F.struct("votes", -F.col("lo"))).alias("b")))
     # then against both ends of every bucket that still holds different components
-    rows = linking.open(shared.select("bucket", "doc"))
+    rows = linking.open(shared)
     linking.round(_stars(rows))
-    # then all that is left: each text of a bucket against more leaders every round; leaders have then been compared with all and leave
-    rows, leaders = linking.open(rows.select("bucket", "doc").join(_small(sizes), "doc")), SMALL
-    while not rows.isEmpty():
-        share = F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(1 << 30)) / (1 << 30)  # the same texts lead in buckets of like size
-        rows = stored(rows.withColumn("leads", share * F.col("size") < leaders), "near-led")
-        linking.round(_led(rows, similarity))
-        rows, leaders = linking.open(rows.where("not leads").select("bucket", "doc", "n")), leaders * 4
+    # then all that is left by its rarest word pairs
+    left = stored(linking.open(rows.select("bucket", "doc")).select("doc", "comp").distinct(), "near-left")
+    if not left.isEmpty():
+        _by_rare_grams(linking, left, similarity)
 
     degree = linking.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     found = firsts.join(_small(linking.labels), "doc", "left").join(_small(stored(degree, "near-degrees")), "doc", "left")
@@ -249,8 +254,64 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return out.select("doc_id", mine.alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _led(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each leader of a bucket with the bucket's rows (bucket, doc, n, comp, leads) of other components and of like length."""
-    left = _small(stored(rows.where("leads").select("bucket", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("an")), "near-leaders"))
-    right = rows.select("bucket", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("bn"))
-    return right.join(left, "bucket").where((F.col("ca") != F.col("cb")) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
+def grams(texts: DataFrame, size: int) -> DataFrame:
+    """doc, n (words), gram: the runs of `size` (1 or 2) words of each text (doc_id, text), hashed; the i-th occurrence is a gram of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHash()
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                h = np.array([cache[w] for w in _WORD.findall(text.lower())] if text else [], np.uint64)
+                if len(h) >= size:
+                    gram = np.sort(h if size == 1 else mixed(h[:-1]) + h[1:])
+                    at = np.arange(len(gram))
+                    nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), at, 0))
+                    yield pd.DataFrame({"doc": doc, "n": len(h), "gram": mixed(gram + mixed(nth.astype(np.uint64))).view(np.int64)})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInPandas(run, f"doc {kind}, n int, gram long")
+
+
+def _rarest(texts: DataFrame, left: DataFrame, size: int, similarity: float) -> DataFrame:
+    """gram, doc, n, earlier (rarer ones), comp: of each text of left (doc, comp), those of its rarest grams that others have too.
+
+    An edit changes `size` grams at most, so similar texts have all but size (1 - similarity) n of the longer one's grams in common, and in any
+    order of all grams their first size (1 - similarity) n + 1 meet."""
+    every = stored(grams(texts.join(_small(left.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi"), size), "near-grams")
+    often = stored(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "near-frequent")
+    w = Window.partitionBy("doc", "n").orderBy(F.coalesce("df", F.lit(1)), "gram")
+    earlier = F.collect_list(F.when(F.col("df").isNotNull(), F.col("gram"))).over(w.rowsBetween(-LOOK_BACK, -1))
+    first = every.join(often, "gram", "left").withColumns({"rank": F.row_number().over(w), "earlier": earlier}).where((F.col("rank") <= size * (1 - similarity) * F.col("n") + 1 + 1e-9) & F.col("df").isNotNull())
+    return stored(first.select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
+
+
+def _met(rare: DataFrame, similarity: float) -> DataFrame:
+    """a, b: texts of different components and of like length that meet in a gram, the first they share (as far as LOOK_BACK sees). Of a gram's
+    texts only those outside its most frequent component ask."""
+    held = rare.groupBy("gram", "comp").agg(F.count("*").alias("held")).groupBy("gram")
+    most = held.agg(F.max_by("comp", F.struct("held", -F.col("comp"))).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    asks = stored(rare.join(most, "gram").where("comp <> most").select("gram", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("an"), F.col("earlier").alias("ea")), "near-asking")
+    answers = rare.select("gram", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("bn"), F.col("earlier").alias("eb"))
+    return answers.join(asks, "gram").where(~F.arrays_overlap("ea", "eb") & (F.col("ca") != F.col("cb")) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
+
+
+def _shortest(rare: DataFrame, similarity: float) -> DataFrame:
+    """a, b: of each gram's texts (gram, doc, n, comp), those of like length outside the shortest one's component with the shortest one."""
+    first = stored(rare.groupBy("gram").agg(F.min(F.struct("n", "doc", "comp")).alias("s")).select("gram", F.col("s.doc").alias("b"), F.col("s.comp").alias("cb"), F.col("s.n").alias("bn")), "near-shortest")
+    return rare.join(_small(first), "gram").where((F.col("comp") != F.col("cb")) & (F.col("bn") >= similarity * F.col("n"))).select(F.col("doc").alias("a"), "b").distinct()
+
+
+def _by_rare_grams(linking: _Linking, left: DataFrame, similarity: float) -> None:
+    """Links what may be similar among the texts of left (doc, comp). Texts meet in their rarest word pairs. Those that meet in a crowded one (a
+    passage that makes up most of many texts) are compared with the shortest text there, which is most of the passage alone; what is still
+    apart must have one of its rarest words in common as well, and meets in that instead."""
+    rare = _rarest(linking.texts, left, 2, similarity)
+    crowded = stored(rare.groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") > CROWD).select("gram"), "near-crowded")
+    linking.round(_met(rare.join(crowded, "gram", "left_anti"), similarity))
+    crowd = rare.join(crowded, "gram", "left_semi").drop("comp")
+    now = stored(crowd.join(_small(linking.labels), "doc"), "near-crowd")
+    if now.isEmpty():
+        return
+    linking.round(_shortest(now, similarity))
+    many = stored(crowd.join(_small(linking.labels), "doc").select("doc", "comp").distinct(), "near-crowd")
+    linking.round(_met(_rarest(linking.texts, many, 1, similarity), similarity))
