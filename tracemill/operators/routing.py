@@ -34,27 +34,82 @@ def snapped(points: DataFrame, nodes: DataFrame, radius: float = 2000.0) -> Data
     return met.groupBy("id").agg(F.min_by("node", F.struct(F.round("metres", 3), "node")).alias("node"), F.min("metres").alias("snap_m"))
 
 
+def shortcuts(edges: DataFrame, ends: DataFrame, stored) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, metres, both ways round) without the nodes that only lie on a line: of degree two, and none of ends (node).
+
+    Returns src, dst, first, metres: each line from junction to junction as one edge that leaves src towards `first`; and src, first, node,
+    offset: the nodes of such a line with their distance from src. Lines are walked by pointer doubling, so a line of n nodes takes log n
+    rounds. Circles without a junction are left out: nothing leads there."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("n"))
+    line = stored(degree.where("n = 2").select(F.col("src").alias("node")).join(ends.select("node").distinct(), "node", "left_anti"))
+    into = edges.join(line.select(F.col("node").alias("dst"), F.lit(True).alias("__on")), "dst", "left").select("src", "dst", "metres", F.coalesce("__on", F.lit(False)).alias("on"))
+    into = stored(into)
+    # (u, v): having come from u to v, a node of a line, the walk goes on to nv and got there from nu
+    onward = into.select(F.col("src").alias("v"), F.col("dst").alias("nv"), F.col("metres").alias("add"), (~F.col("on")).alias("done"))
+    walk = into.where("on").select(F.col("src").alias("u"), F.col("dst").alias("v")).join(onward, "v").where("u <> nv")
+    walk = stored(walk.select("u", "v", F.col("v").alias("nu"), "nv", "add", "done"))
+    left = walk.where("not done").count()
+    while left:
+        far = walk.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("__u"), F.col("nv").alias("__v"), F.col("add").alias("__add"), F.col("done").alias("__done"))
+        met = walk.where("not done").join(far, ["nu", "nv"]).select("u", "v", F.col("__u").alias("nu"), F.col("__v").alias("nv"), (F.col("add") + F.col("__add")).alias("add"), F.col("__done").alias("done"))
+        walk = stored(walk.where("done").unionByName(met))
+        was, left = left, walk.where("not done").count()
+        if left == was:  # only circles are left
+            break
+    walk = walk.where("done").drop("done")
+    start = into.join(line.select(F.col("node").alias("src")), "src", "left_anti")
+    direct = start.where("not on").select("src", "dst", F.col("dst").alias("first"), "metres")
+    along = start.where("on").join(walk.select(F.col("u").alias("src"), F.col("v").alias("dst"), "nv", "add"), ["src", "dst"]).select("src", F.col("nv").alias("dst"), F.col("dst").alias("first"), (F.col("metres") + F.col("add")).alias("metres"))
+    both = direct.unionByName(along).where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("metres", "first")).alias("b")).select("src", "dst", "b.first", "b.metres")
+    return stored(both), stored(walk.select(F.col("nv").alias("src"), F.col("nu").alias("first"), F.col("v").alias("node"), F.col("add").alias("offset")))
+
+
 def shortest_paths(requests: DataFrame, edges: DataFrame, stored, steps: int = 4) -> DataFrame:
     """requests: id, src, dst. Returns id, metres, path (nodes) where dst is reached.
 
-    All requests grow together: each round joins the nodes that improved last with the edges, a few times over, and keeps the best
-    distance per (request, node), until none improves; nodes beyond the best known distance to the target are not grown. `stored`
-    writes a round's table and reads it back.
+    Lines are edges first (see shortcuts), so rounds go with junctions, not with a line's nodes. All requests grow together: each round
+    joins the nodes that improved last with the edges, a few times over, and keeps the best distance and predecessor per (request, node),
+    until none improves; nodes beyond the best known distance to the target are not grown. Paths are read off the predecessors at the
+    end, by pointer doubling. `stored` writes a round's table and reads it back.
     """
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("metres").alias("step"))
-    shortest = lambda rows: rows.groupBy("id", "node", "dst").agg(F.min_by(F.struct("metres", "path", "fresh"), F.struct("metres", "fresh", "path")).alias("b")).select("id", "node", "dst", "b.*")
-    best = stored(requests.select("id", F.col("src").alias("node"), "dst", F.lit(0.0).alias("metres"), F.array("src").alias("path"), F.lit(True).alias("fresh")))
+    ends = requests.select(F.explode(F.array("src", "dst")).alias("node"))
+    short, inner = shortcuts(stored(edges), ends, stored)
+    e = short.select(F.col("src").alias("node"), F.col("dst").alias("next"), "first", F.col("metres").alias("step"))
+    kind = edges.schema["src"].dataType
+    shortest = lambda rows: rows.groupBy("id", "node", "dst").agg(F.min(F.struct("metres", "fresh", "pred", "first")).alias("b")).select("id", "node", "dst", "b.*")
+    none = F.lit(None).cast(kind)
+    best = stored(requests.select("id", F.col("src").alias("node"), "dst", F.lit(0.0).alias("metres"), F.lit(True).alias("fresh"), none.alias("pred"), none.alias("first")).distinct())
     while True:
         goal = best.where("node = dst").select("id", F.col("metres").alias("bound"))
-        grown = best.where("fresh").join(goal, "id", "left").where("bound is null or metres < bound").drop("bound")
+        grown = best.where("fresh").join(goal, "id", "left").where("bound is null or metres < bound").select("id", "node", "dst", "metres")
         every = best.withColumn("fresh", F.lit(False))
         for _ in range(steps):
-            grown = shortest(grown.join(e, "node").select("id", F.col("next").alias("node"), "dst", (F.col("metres") + F.col("step")).alias("metres"), F.concat("path", F.array("next")).alias("path"), F.lit(True).alias("fresh")))
+            grown = grown.join(e, "node").select("id", F.col("next").alias("node"), "dst", (F.col("metres") + F.col("step")).alias("metres"), F.lit(True).alias("fresh"), F.col("node").alias("pred"), "first")
+            grown = shortest(grown)
             every = every.unionByName(grown)
+            grown = grown.select("id", "node", "dst", "metres")
         best = stored(shortest(every))
         if best.where("fresh").isEmpty():
             break
-    return best.where("node = dst").select("id", "metres", "path")
+    return _paths(best, inner, stored)
+
+
+def _paths(best: DataFrame, inner: DataFrame, stored) -> DataFrame:
+    """id, metres, path: from the targets back along pred (best: id, node, dst, metres, pred, first), with the nodes of the lines between."""
+    back = best.where("pred is not null").select("id", "node", F.col("pred").alias("to"))
+    on = stored(best.where("node = dst").select("id", "node"))
+    n = on.count()
+    while n:
+        on = stored(on.unionByName(on.join(back, ["id", "node"]).select("id", F.col("to").alias("node"))).distinct())
+        was, n = n, on.count()
+        if n == was:
+            break
+        back = stored(back.join(back.select("id", F.col("node").alias("to"), F.col("to").alias("__to")), ["id", "to"]).select("id", "node", F.col("__to").alias("to")))
+    stops = stored(best.join(on, ["id", "node"]))
+    starts = stops.select("id", F.col("node").alias("pred"), F.col("metres").alias("from"))
+    between = stops.where("pred is not null").join(starts, ["id", "pred"]).select("id", F.col("pred").alias("src"), "first", "from").join(inner, ["src", "first"])
+    every = stops.select("id", F.col("metres").alias("at"), "node").unionByName(between.select("id", (F.col("from") + F.col("offset")).alias("at"), "node"))
+    return every.groupBy("id").agg(F.max("at").alias("metres"), F.array_sort(F.collect_list(F.struct("at", "node"))).alias("p")).select("id", "metres", F.col("p.node").alias("path"))
 
 
 def _between(legs: DataFrame, hubs: DataFrame) -> DataFrame:

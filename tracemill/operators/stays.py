@@ -22,10 +22,11 @@ def trusted(pings: DataFrame) -> DataFrame:
     return pings.where((F.col("source") == "owntracks") & (F.col("acc").isNull() | (F.col("acc") <= ACCURACY_MAX)))
 
 
-def ping_islands(pings: DataFrame) -> DataFrame:
-    """Tracks cut where a hop is so long that no stay can span it: islands can be clustered apart, with equal results."""
+def ping_islands(pings: DataFrame, keys: tuple[str, ...] = ("tid",)) -> DataFrame:
+    """Tracks of the keys cut where a hop is so long that no stay can span it: islands can be clustered apart, with equal results. Adds island and
+    was (tst, lat, lon of the ping before)."""
     hop = metres("was.lat", "was.lon", "lat", "lon")
-    return islands(pings, ["tid"], "tst", ["id"], {"was": F.struct("lat", "lon")}, hop > ISLAND_HOP, width=86_400).drop("was")
+    return islands(pings, [*keys], "tst", ["id"], {"was": F.struct("tst", "lat", "lon")}, hop > ISLAND_HOP, width=86_400)
 
 
 def _apart(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -56,12 +57,16 @@ def clustered(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def stays(pings: DataFrame) -> DataFrame:
-    """Islands too short to hold a stay are left out first; the others go to Python by the hundred."""
+    return clustered_islands(ping_islands(trusted(pings)))
+
+
+def clustered_islands(pings: DataFrame, keys: tuple[str, ...] = ("tid",)) -> DataFrame:
+    """Stays of pings with their island. Islands too short to hold a stay are left out first; the others go to Python by the hundred."""
     ship_package(pings.sparkSession)
-    every = Window.partitionBy("tid", "island")
-    rows = ping_islands(trusted(pings)).select("tid", "island", "id", "tst", "lat", "lon")
+    every = Window.partitionBy(*keys, "island")
+    rows = pings.select(*keys, "island", "id", "tst", "lat", "lon")
     rows = rows.withColumn("span", F.max("tst").over(every) - F.min("tst").over(every)).where(F.col("span") >= STAY_MIN).drop("span")
-    return rows.groupBy("tid", F.floor(F.col("island") / 100).alias("bundle")).applyInPandas(clustered, STAY)
+    return rows.groupBy(*keys, F.floor(F.col("island") / 100).alias("bundle")).applyInPandas(clustered, STAY)
 
 
 def merged(candidates: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import away, legs, overlays, photos as photo_ops, places, rederive, routing, scan, sequence, stays
 from ..storage import keeper, shared
 from ..streaming import ingest
+from ..streaming.pinglog import PingLog
 from .checks import CHAIN, with_ends
 from .dialect import CHECK
 from .fixtures import frame
@@ -326,6 +327,42 @@ def rail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.shortest_paths(requests, edges, keep).select("id", F.round("metres", 1).alias("metres"), F.size("path").alias("n_nodes"))
 
 
+LINES = """c AS (SELECT c_custkey AS c, c_nationkey AS a, CAST((c_custkey * 7 + 3) % 25 AS INT) AS b, (c_custkey % 50) * 0.002 AS off FROM customer WHERE c_nationkey <> (c_custkey * 7 + 3) % 25),
+pt AS MATERIALIZED (SELECT c, j, lat, lon, printf('%.6f,%.6f', lat, lon) AS n FROM (SELECT c, j, 50.0::DOUBLE + (a % 5) * 0.5 + ((b % 5) - (a % 5)) * 0.5 * j / 9.0 + CASE WHEN j IN (0, 9) THEN 0 ELSE off END AS lat,
+  (a // 5) * 0.5::DOUBLE + ((b // 5) - (a // 5)) * 0.5 * j / 9.0 AS lon FROM c, (SELECT range AS j FROM range(10))))"""
+
+
+# distances relaxed node by node by a keyed recursion, without any shortcut
+@op("line_routes", f"""WITH RECURSIVE {LINES},
+st AS (SELECT p.n AS s, q.n AS t, {M('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS m FROM pt p JOIN pt q ON p.c = q.c AND q.j = p.j + 1),
+ed AS MATERIALIZED (SELECT s, t, min(m) AS m FROM (SELECT s, t, m FROM st UNION ALL SELECT t, s, m FROM st) GROUP BY 1, 2),
+rq AS MATERIALIZED (SELECT x.c AS id, x.n AS s, y.n AS t FROM pt x JOIN pt y ON y.c = x.c + 1 AND y.j = 5 AND x.j = 3 WHERE x.c % 100 = 0),
+pa(s, n, d, k) USING KEY (s, n) AS (SELECT DISTINCT s, s, 0.0::DOUBLE, 1::BIGINT FROM rq UNION
+  SELECT pa.s, ed.t, min(pa.d + ed.m), arg_min(pa.k + 1, pa.d + ed.m) FROM pa JOIN ed ON ed.s = pa.n LEFT JOIN recurring.pa r ON r.s = pa.s AND r.n = ed.t WHERE r.d IS NULL OR pa.d + ed.m < r.d - 1e-6 GROUP BY 1, 2)
+SELECT rq.id, round(pa.d, 1) AS metres FROM rq JOIN pa ON pa.s = rq.s AND pa.n = rq.t""")
+def line_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths over ways between 25 hubs, one for each customer with eight nodes on the way: nearly all nodes lie on lines."""
+    keep = keeper(spark, "lines")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("long").alias("a"), ((F.col("c_custkey") * 7 + 3) % 25).alias("b"), (F.col("c_custkey") % 50 * 0.002).alias("off")).where("a <> b")
+    row, col = (lambda k: F.col(k) % 5), (lambda k: F.floor(F.col(k) / 5))
+    place = lambda j: F.struct((50 + row("a") * 0.5 + (row("b") - row("a")) * 0.5 * j / 9 + F.when(j.isin(0, 9), 0.0).otherwise(F.col("off"))).alias("lat"), (col("a") * 0.5 + (col("b") - col("a")) * 0.5 * j / 9).alias("lon"))
+    ways = keep(c.select(F.col("c").alias("way_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), place).alias("geometry")))
+    node = lambda j: F.concat_ws(",", F.format_number(F.col("geometry")[j]["lat"], 6), F.format_number(F.col("geometry")[j]["lon"], 6))
+    start = ways.where("way_id % 100 = 0").select(F.col("way_id").alias("id"), node(3).alias("src"))
+    requests = keep(start.join(ways.select((F.col("way_id") - 1).alias("id"), node(5).alias("dst")), "id"))
+    return routing.shortest_paths(requests, routing.edges_of(ways), keep).select("id", F.round("metres", 1).alias("metres"))
+
+
+@op("stays_by_batches", CHECKS["stay_points"])
+def stays_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays brought up to date batch by batch, the second one full of late pings."""
+    log, pings = PingLog(spark, shared(spark, "log"), shared(spark, "state"), buckets=8), frame(spark, sf_dir, "pings")
+    for number, part in enumerate(("id % 3 <> 1", "id % 3 = 1")):
+        log.append(pings.where(part), number)
+        log.derive(number)
+    return log.stays().select("tid", "start_ts", "end_ts", F.col("point_count").cast("long").alias("point_count"))
+
+
 @op("stream_hourly_events", "SELECT CAST(floor(epoch(ts) / 3600.0) AS BIGINT) AS hour, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -24,10 +24,12 @@ def _report(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def with_views(statement: str) -> str:
     """A statement of the checking database with the views that it names in front."""
     views = check_views(CHECK, {v for v in VIEWS if re.search(rf"\b{v}\b", statement)})
+    if not views:
+        return statement
     for head in ("WITH RECURSIVE ", "WITH "):
         if statement.startswith(head):
             return f"{head}{views}, {statement[len(head):]}"
-    return f"WITH {views} {statement}" if views else statement
+    return f"WITH {views} {statement}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in reports.REPORTS} | operator_queries.QUERIES

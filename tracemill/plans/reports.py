@@ -804,13 +804,16 @@ def stories(visits: DataFrame, places: DataFrame, segments: DataFrame, trips: Da
 
 
 @report("pings")
-def tracking_status(pings: DataFrame, now: int | None = None) -> DataFrame:
-    """Whether a device still reports: its last point and the points of the last hour and day before `now` (the latest point of all)."""
+def tracking_status(pings: DataFrame, now: int | None = None, run: DataFrame | None = None) -> DataFrame:
+    """Whether a device still reports: its last point and the points of the last hour and day before `now` (the latest point of all). run: one
+    row (ok) of the last run of the ingest; if that has failed, all are in error."""
     now = (pings.agg(F.max("tst")).first()[0] or 0) if now is None else now
     last = top(pings, ["tid"], [-F.col("tst"), -F.col("id")], "id", "tst", "acc", "source")
     n = pings.groupBy("tid").agg(F.count_if(F.col("tst") >= now - 3600).alias("last_hour"), F.count_if(F.col("tst") >= now - DAY_S).alias("last_day"), F.count("*").alias("n_points"))
     age = now - F.col("tst")
     level = F.when(age > 14400, "error").when(age > 3600, "warn").otherwise("ok")
+    if run is not None and run.where("not ok").limit(1).count():
+        level = F.lit("error")
     return last.join(n, "tid").withColumns({"age_s": age, "level": level})
 
 

@@ -1,15 +1,19 @@
-"""Continuous ingest: pings arrive as files, each micro-batch is appended and the touched devices are derived again.
+"""Continuous ingest: pings arrive as files, each micro-batch is appended and the touched parts of its devices are derived again.
 
 Late pings are never dropped: derivation is a recomputation of what they touch, so there is no watermark on that path.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..operators.stays import merged, stays
+from ..operators.stays import merged
 from ..sources.importers import PING, pings_of
+from .pinglog import PingLog
 
 
 def ping_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,16 +27,14 @@ def append_pings(stream: DataFrame, out: str, checkpoint: str):
     return query
 
 
-def derive_on_arrival(stream: DataFrame, log: str, out: str, checkpoint: str):
-    """Each micro-batch is added to the log (by batch number, so that a retry overwrites its own part), then the stays of its devices are derived again."""
+def derive_on_arrival(stream: DataFrame, log: str, out: str, checkpoint: str, dedupe: bool = False):
+    """Each micro-batch goes to the ping log, then the islands that its pings touch are derived again (see pinglog.PingLog). dedupe: pings that the
+    log holds already (same device, time and place) are left out; late ones never are."""
+    pings = PingLog(stream.sparkSession, log, out)
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        touched = spark.read.parquet(f"{log}/batch={number}").select("tid").distinct()
-        every = spark.read.parquet(log).drop("batch").join(touched, "tid", "left_semi")
-        derived = merged(stays(every))
-        derived.write.mode("overwrite").parquet(f"{out}/version={number}")
+        pings.append(batch, number, dedupe)
+        pings.derive(number)
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -40,10 +42,8 @@ def derive_on_arrival(stream: DataFrame, log: str, out: str, checkpoint: str):
 
 
 def latest_stays(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of each device's stays."""
-    every = spark.read.parquet(out)
-    newest = every.groupBy("tid").agg(F.max("version").alias("version"))
-    return every.join(newest, ["tid", "version"]).drop("version")
+    """The visits of all devices: their current stays, with neighbouring ones merged."""
+    return merged(PingLog(spark, "", out).stays())
 
 
 def counts_by_hour(spark: SparkSession, folder: str, pattern: str, schema, out: str, checkpoint: str) -> DataFrame:
@@ -59,7 +59,36 @@ def counts_by_hour(spark: SparkSession, folder: str, pattern: str, schema, out:
     return spark.read.parquet(out)
 
 
-def run_status(query) -> dict:
-    """The last run of a stream: when it ended, how many rows it took, and its error (None if it is well)."""
-    last, error = query.lastProgress, query.exception()
-    return {"last_run": last["timestamp"] if last else None, "n_rows": last["numInputRows"] if last else 0, "ok": error is None, "error": str(error) if error else None}
+class RunLog(StreamingQueryListener):
+    """Writes a row for each micro-batch and each end of a stream to a table: name, run_id, batch, ended_at (unix seconds), n_rows, seconds, ok, error."""
+
+    SCHEMA = "name string, run_id string, batch long, ended_at long, n_rows long, seconds double, ok boolean, error string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__()
+        self.spark, self.path, self.names = spark, path, {}
+
+    def _write(self, run: str, batch: int | None, n_rows: int | None, seconds: float | None, error: str | None) -> None:
+        row = (self.names.get(run), run, batch, int(time.time()), n_rows, seconds, error is None, error)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._write(str(p.runId), p.batchId, p.numInputRows, p.batchDuration / 1000, None)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._write(str(event.runId), None, None, None, event.exception)
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
+def last_run(runs: DataFrame) -> DataFrame:
+    """The latest row of a run log: ok, error, ended_at. A failure and a batch of the same second: the failure."""
+    return runs.orderBy(F.desc("ended_at"), "ok", F.desc("batch")).limit(1).select("ok", "error", "ended_at")
