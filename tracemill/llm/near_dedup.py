@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import aligned_within
@@ -40,8 +40,10 @@ SKETCHES, KMER = 64, 5
 BINS = 256
 #: A word pair among the rarest of more texts than this is crowded: its texts meet in their rarest words instead.
 CROWD = 32
-#: So many rarer grams stand beside each, to tell whether two texts have met before.
-LOOK_BACK = 32
+#: Grams are counted in so many cells by hash.
+CELLS = 1 << 19
+#: So many rarer grams stand beside each, to tell whether two texts have met before (words only).
+LOOK_BACK = 64
 #: Pair lists of up to so many rows are sent to the tasks instead of shuffling all texts.
 BROADCAST_PAIRS = 500_000
 #: So are other tables of up to so many rows of a few numbers each, with a shuffle join beyond.
@@ -176,18 +178,16 @@ def _small(df: DataFrame) -> DataFrame:
 class _Linking:
     """Labels of texts (doc, comp), refined by rounds of verified pairs."""
 
-    def __init__(self, sizes: DataFrame, counts: DataFrame, texts: DataFrame, similarity: float):
-        self.sizes, self.counts, self.labels = sizes, counts, stored(sizes.select("doc", F.col("doc").alias("comp")), "near-labels")
+    def __init__(self, counts: DataFrame, texts: DataFrame, similarity: float):
+        self.counts, self.labels = counts, stored(counts.select("doc", F.col("doc").alias("comp")), "near-labels")
         self.texts, self.similarity, self.tried, self.links = texts, similarity, None, None
 
     def round(self, pairs: DataFrame) -> None:
-        """pairs: a, b."""
+        """pairs: a, b, of like length."""
         todo = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
             todo = todo.join(self.tried, ["a", "b"], "left_anti")
-        sizes = _small(self.sizes)
-        todo = todo.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("bn")), "b")
-        todo = stored(todo.where(F.least("an", "bn") >= self.similarity * F.greatest("an", "bn")).select("a", "b"), "near-pairs")
+        todo = stored(todo, "near-pairs")
         self.tried = todo if self.tried is None else self.tried.unionByName(todo)
         close = stored(plausible(todo, self.counts, self.similarity), "near-close")
         links = stored(verified(close, self.texts, self.similarity), "near-links")
@@ -205,15 +205,22 @@ class _Linking:
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    """bucket, lo, hi: the buckets (bucket, doc, weight) of two components or more, their heaviest document and the lightest one."""
-    by = F.struct("weight", -F.col("doc"))
-    return rows.groupBy("bucket").agg(F.max_by("doc", by).alias("lo"), F.min_by("doc", by).alias("hi")).where("lo <> hi")
+    """bucket, lo, hi: the buckets (bucket, doc, n, weight) of two documents or more, their heaviest document and the lightest one (doc and n each)."""
+    end = F.struct("weight", (-F.col("doc")).alias("later"), "doc", "n")
+    ends = rows.groupBy("bucket").agg(F.max(end).alias("lo"), F.min(end).alias("hi")).where("lo.doc <> hi.doc")
+    return ends.select("bucket", *[F.struct(f"{c}.doc", f"{c}.n").alias(c) for c in ("lo", "hi")])
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """a, b: each row of a bucket with the bucket's ends."""
-    met = rows.select("bucket", "doc").join(_small(stored(_ends(rows), "near-ends")), "bucket")
-    return met.select(F.col("doc").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+def _stars(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each row of a bucket with the bucket's ends of like length."""
+    met = rows.select("bucket", "doc", "n").join(_small(stored(_ends(rows), "near-ends")), "bucket")
+    met = met.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.explode(F.array("lo", "hi")).alias("e")).where("a <> e.doc")
+    return _alike(met.select("a", F.col("e.doc").alias("b"), "an", F.col("e.n").alias("bn")), similarity)
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b: those of pairs (a, b, an, bn) of like length."""
+    return pairs.where(F.least("an", "bn") >= similarity * F.greatest("an", "bn")).select("a", "b")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -223,24 +230,24 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     named = all_rows.where("doc_id is not null and h1 is not null")
     firsts = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "near-texts")
     reps = named.join(_small(firsts), ["h1", "h2"]).where("doc = doc_id").select("doc", F.col("n_words").alias("n"), "counts", "sketch")
-    members = reps.select("doc", F.explode("sketch").alias("bucket"))
+    members = reps.select("doc", "n", F.explode("sketch").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"), "near-buckets")
     shared = stored(members.join(_small(buckets), "bucket"), "near-members")  # only buckets of two or more
     weights = stored(shared.groupBy("doc").agg(F.sum("held").alias("weight")), "near-weights")
-    shared = stored(shared.select("bucket", "doc").join(_small(weights), "doc"), "near-weighed")
+    shared = stored(shared.select("bucket", "doc", "n").join(_small(weights), "doc"), "near-weighed")
     one = F.when(F.min("counts") == F.max("counts"), F.max("counts"))  # unknown for a doc_id with several texts
     counts = reps.join(_small(stored(shared.select("doc").distinct(), "near-docs")), "doc", "left_semi").groupBy("doc").agg(F.max("n").alias("n"), one.alias("counts"))
     counts = stored(counts, "near-counts")
-    sizes = counts.select("doc", "n")
-    linking = _Linking(sizes, counts, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), similarity)
+    linking = _Linking(counts, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), similarity)
 
     # each text against the leader with which it shares most buckets
-    led = shared.join(_small(stored(_ends(shared).select("bucket", "lo"), "near-leaders")), "bucket").where("doc <> lo")
-    votes = led.groupBy("doc", "lo").agg(F.count("*").alias("votes"))
-    linking.round(votes.groupBy(F.col("doc").alias("a")).agg(F.max_by("lo", F.struct("votes", -F.col("lo"))).alias("b")))
+    led = shared.join(_small(stored(_ends(shared).select("bucket", "lo"), "near-leaders")), "bucket").where("doc <> lo.doc")
+    votes = led.groupBy("doc", "n", "lo").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(F.col("doc").alias("a"), F.col("n").alias("an")).agg(F.max_by("lo", F.struct("votes", -F.col("lo.doc"))).alias("b"))
+    linking.round(_alike(best.select("a", F.col("b.doc").alias("b"), "an", F.col("b.n").alias("bn")), similarity))
     # then against both ends of every bucket that still holds different components
     rows = linking.open(shared)
-    linking.round(_stars(rows))
+    linking.round(_stars(rows, similarity))
     # then all that is left by its rarest word pairs
     left = stored(linking.open(rows.select("bucket", "doc")).select("doc", "comp").distinct(), "near-left")
     if not left.isEmpty():
@@ -254,35 +261,57 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return out.select("doc_id", mine.alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def grams(texts: DataFrame, size: int) -> DataFrame:
-    """doc, n (words), gram: the runs of `size` (1 or 2) words of each text (doc_id, text), hashed; the i-th occurrence is a gram of its own."""
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """The runs of `size` (1 or 2) words of a text's word hashes, hashed; the i-th occurrence is a gram of its own."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    gram, at = np.sort(words if size == 1 else mixed(words[:-1]) + words[1:]), np.arange(len(words) - size + 1)
+    nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), at, 0))
+    return mixed(gram + mixed(nth.astype(np.uint64)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
+
+def _loads(texts: DataFrame, size: int) -> np.ndarray:
+    """How many grams of all texts fall in each of CELLS cells."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, total = WordHash(), np.zeros(CELLS, np.int64)
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b["text"]:
                 h = np.array([cache[w] for w in _WORD.findall(text.lower())] if text else [], np.uint64)
-                if len(h) >= size:
-                    gram = np.sort(h if size == 1 else mixed(h[:-1]) + h[1:])
-                    at = np.arange(len(gram))
-                    nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), at, 0))
-                    yield pd.DataFrame({"doc": doc, "n": len(h), "gram": mixed(gram + mixed(nth.astype(np.uint64))).view(np.int64)})
+                total += np.bincount((grams(h, size) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cells.astype(np.int32), "n": total[cells]})
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInPandas(run, f"doc {kind}, n int, gram long")
+    out = np.zeros(CELLS, np.int64)
+    found = texts.select("text").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def _rarest(texts: DataFrame, left: DataFrame, size: int, similarity: float) -> DataFrame:
     """gram, doc, n, earlier (rarer ones), comp: of each text of left (doc, comp), those of its rarest grams that others have too.
 
     An edit changes `size` grams at most, so similar texts have all but size (1 - similarity) n of the longer one's grams in common, and in any
-    order of all grams their first size (1 - similarity) n + 1 meet."""
-    every = stored(grams(texts.join(_small(left.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi"), size), "near-grams")
-    often = stored(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "near-frequent")
-    w = Window.partitionBy("doc", "n").orderBy(F.coalesce("df", F.lit(1)), "gram")
-    earlier = F.collect_list(F.when(F.col("df").isNotNull(), F.col("gram"))).over(w.rowsBetween(-LOOK_BACK, -1))
-    first = every.join(often, "gram", "left").withColumns({"rank": F.row_number().over(w), "earlier": earlier}).where((F.col("rank") <= size * (1 - similarity) * F.col("n") + 1 + 1e-9) & F.col("df").isNotNull())
-    return stored(first.select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
+    order of all grams their first size (1 - similarity) n + 1 meet. The order here is by the load of a gram's cell among CELLS, so that what
+    very many texts hold comes last; it needs no exact count of every gram."""
+    some = texts.join(_small(left.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+    sent = texts.sparkSession.sparkContext.broadcast(_loads(some, size))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, loads = WordHash(), sent.value
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                h = np.array([cache[w] for w in _WORD.findall(text.lower())] if text else [], np.uint64)
+                every = grams(h, size)
+                most = int(size * (1 - similarity) * len(h) + 1 + 1e-9)
+                first = every[np.lexsort((every, loads[(every % np.uint64(CELLS)).astype(np.int64)]))[:most]].view(np.int64)
+                earlier = [first[max(0, i - LOOK_BACK) : i] for i in range(len(first))] if size == 1 else [[]] * len(first)
+                yield pd.DataFrame({"doc": doc, "n": len(h), "gram": first, "earlier": earlier})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    every = stored(some.mapInPandas(run, f"doc {kind}, n int, gram long, earlier array<long>"), "near-grams")
+    often = stored(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "near-frequent")
+    return stored(every.join(often, "gram").select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
 
 
 def _met(rare: DataFrame, similarity: float) -> DataFrame:
@@ -290,9 +319,9 @@ def _met(rare: DataFrame, similarity: float) -> DataFrame:
     texts only those outside its most frequent component ask."""
     held = rare.groupBy("gram", "comp").agg(F.count("*").alias("held")).groupBy("gram")
     most = held.agg(F.max_by("comp", F.struct("held", -F.col("comp"))).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    asks = stored(rare.join(most, "gram").where("comp <> most").select("gram", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("an"), F.col("earlier").alias("ea")), "near-asking")
+    asks = stored(rare.join(most, "gram").where("comp <> most").select("gram", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("an"), F.col("earlier").alias("ea"), "most"), "near-asking")
     answers = rare.select("gram", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("bn"), F.col("earlier").alias("eb"))
-    return answers.join(asks, "gram").where(~F.arrays_overlap("ea", "eb") & (F.col("ca") != F.col("cb")) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
+    return answers.join(asks, "gram").where(~F.arrays_overlap("ea", "eb") & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
 
 
 def _shortest(rare: DataFrame, similarity: float) -> DataFrame:
