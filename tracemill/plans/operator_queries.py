@@ -9,10 +9,11 @@ from ..operators import away, legs, overlays, photos as photo_ops, places, reder
 from ..storage import keeper, shared
 from ..streaming import ingest
 from ..streaming.pinglog import PingLog
-from .checks import CHAIN, with_ends
+from . import documents
+from .checks import CHAIN, CHECKS as REPORT_CHECKS, with_ends
 from .dialect import CHECK
 from .fixtures import frame
-from .reports import SEGMENT_KEYS, placed, top
+from .reports import A_DAY, SEGMENT_KEYS, placed, top
 
 QUERIES, CHECKS = {}, {}
 
@@ -353,6 +354,47 @@ def line_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.shortest_paths(requests, routing.edges_of(ways), keep).select("id", F.round("metres", 1).alias("metres"))
 
 
+#: Documents as the checking database writes them: lists of structs in order, nulls kept, whole numbers.
+E6 = "CAST(round_even({} * 1000000, 0) AS BIGINT)"
+TRIP_DOC = f"""mine AS (SELECT t.id, v.id AS vid, v.start_ts AS from_ts, v.end_ts AS to_ts, p.name AS place_name, p.category, p.city, {E6.format('p.lat')} AS lat_e6, {E6.format('p.lon')} AS lon_e6
+  FROM trips t JOIN visits v ON v.tid = t.tid AND v.start_ts >= t.start_ts AND v.start_ts < t.end_ts LEFT JOIN places p ON p.id = v.place_id),
+shots AS (SELECT t.id, f.uid, f.taken_ts, (SELECT arg_min(m.vid, (m.from_ts, m.vid)) FROM mine m WHERE m.id = t.id AND f.taken_ts >= m.from_ts AND f.taken_ts <= m.to_ts) AS vid FROM trips t JOIN photos f ON f.tid = t.tid
+  AND f.taken_ts >= CAST(floor(t.start_ts / 86400.0) AS BIGINT) * 86400 AND f.taken_ts < (CAST(floor(t.end_ts / 86400.0) AS BIGINT) + 1) * 86400),
+vl AS (SELECT id, list({{'vid': vid, 'from_ts': from_ts, 'to_ts': to_ts, 'place_name': place_name, 'category': category, 'city': city, 'lat_e6': lat_e6, 'lon_e6': lon_e6,
+  'photos': coalesce((SELECT list({{'uid': uid, 'taken_ts': taken_ts}} ORDER BY taken_ts, uid) FROM shots s WHERE s.id = mine.id AND s.vid = mine.vid), [])}} ORDER BY from_ts, vid) AS l FROM mine GROUP BY id),
+gl AS (SELECT t.id, list({{'k1': s.k1, 'from_ts': s.start_ts, 'to_ts': s.end_ts, 'mode': s.mode, 'metres': CAST(round_even(s.distance_m, 0) AS BIGINT)}} ORDER BY s.start_ts, s.k1, s.k2, round_even(s.distance_m, 0)) AS l
+  FROM trips t JOIN segments s ON s.tid = t.tid AND s.start_ts >= t.start_ts AND s.end_ts <= t.end_ts GROUP BY t.id),
+pl AS (SELECT id, list({{'uid': uid, 'taken_ts': taken_ts}} ORDER BY taken_ts, uid) AS l FROM shots WHERE vid IS NULL GROUP BY id)"""
+
+
+@op("trip_documents", f"""WITH {TRIP_DOC} SELECT tid, t.id, CAST(to_json({{'id': t.id, 'name': name, 'start_ts': start_ts, 'end_ts': end_ts, 'days': greatest(1, (end_ts - start_ts) // 86400 + 1), 'primary_city': primary_city, 'primary_country': primary_country, 'primary_country_code': primary_country_code,
+  'visits': coalesce(vl.l, []), 'legs': coalesce(gl.l, []), 'photos': coalesce(pl.l, [])}}) AS VARCHAR) AS document FROM trips t LEFT JOIN vl ON vl.id = t.id LEFT JOIN gl ON gl.id = t.id LEFT JOIN pl ON pl.id = t.id""")
+def trip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.trip_documents(*[frame(spark, sf_dir, t) for t in ("trips", "visits", "places", "segments", "photos")])
+
+
+@op("new_country_documents", """WITH c AS (SELECT v.tid, p.country_code, min(v.start_ts) AS t, max(p.country) AS country FROM visits v JOIN places p ON p.id = v.place_id WHERE p.country_code IS NOT NULL GROUP BY 1, 2)
+SELECT tid, CAST(year(make_timestamp(t * 1000000)) AS INT) AS year, CAST(to_json(list({'country_code': country_code, 'country': country} ORDER BY t, country_code)) AS VARCHAR) AS new_countries FROM c GROUP BY 1, 2""")
+def new_country_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The countries that were new to a person in each year, by name, out of the documents of their years."""
+    rows = documents.year_documents(*[frame(spark, sf_dir, t) for t in ("trips", "visits", "places", "segments")])
+    return rows.select("tid", "year", F.get_json_object("document", "$.new_countries").alias("new_countries")).where("new_countries <> '[]'")
+
+
+DAY_DOC = f"""dt AS ({REPORT_CHECKS['day_timeline']}), dm AS ({REPORT_CHECKS['day_modes']}),
+dc AS (SELECT c.tid, c.side, c.id, c.at_ts, p.name, p.city, {E6.format('p.lat')} AS lat_e6, {E6.format('p.lon')} AS lon_e6 FROM ({REPORT_CHECKS['context_visits']}) c JOIN visits v ON v.id = c.id LEFT JOIN places p ON p.id = v.place_id),
+dp AS (SELECT tid, uid, taken_ts, CASE WHEN NOT (lat = 0 AND lon = 0) THEN {E6.format('lat')} END AS lat_e6, CASE WHEN NOT (lat = 0 AND lon = 0) THEN {E6.format('lon')} END AS lon_e6 FROM photos WHERE taken_ts >= {A_DAY} AND taken_ts < {A_DAY} + 86400)"""
+
+
+@op("day_documents", f"""WITH {DAY_DOC} SELECT w.tid, CAST(to_json({{
+  'timeline': coalesce((SELECT list({{'type': type, 'id': id, 'start_ts': start_ts, 'end_ts': end_ts, 'place_name': place_name, 'category': category, 'city': city, 'mode': mode, 'metres': CAST(round_even(distance_m, 0) AS BIGINT)}} ORDER BY start_ts, type, id, end_ts) FROM dt WHERE dt.tid = w.tid), []),
+  'modes': coalesce((SELECT list({{'mode': mode, 'metres': CAST(round_even(distance_m, 0) AS BIGINT), 'seconds': CAST(round_even(duration_s, 0) AS BIGINT)}} ORDER BY mode) FROM dm WHERE dm.tid = w.tid), []),
+  'around': coalesce((SELECT list({{'side': side, 'id': id, 'at_ts': at_ts, 'name': name, 'city': city, 'lat_e6': lat_e6, 'lon_e6': lon_e6}} ORDER BY at_ts, id) FROM dc WHERE dc.tid = w.tid), []),
+  'photos': coalesce((SELECT list({{'uid': uid, 'taken_ts': taken_ts, 'lat_e6': lat_e6, 'lon_e6': lon_e6}} ORDER BY taken_ts, uid) FROM dp WHERE dp.tid = w.tid), [])}}) AS VARCHAR) AS document FROM (SELECT tid FROM dt UNION SELECT tid FROM dp) w""")
+def day_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.day_documents(*[frame(spark, sf_dir, t) for t in ("visits", "segments", "places", "photos")])
+
+
 @op("stays_by_batches", CHECKS["stay_points"])
 def stays_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stays brought up to date batch by batch, the second one full of late pings."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import STATIONARY_RADIUS
 from ..functions.categories import mode_of_activity
 from ..functions.geo import metres
-from ..functions.text import dates_of_folder, lat_lon, unix_of_iso, without_parentheses
+from ..functions.text import dates_of_folder, lat_lon, trip_name, unix_of_iso, without_parentheses
 
 PING = "_type string, tid string, lat double, lon double, alt double, acc double, vel double, batt double, tst long"
 TIMELINE = "semanticSegments array<struct<startTime:string,endTime:string,visit:struct<topCandidate:struct<placeId:string,placeLocation:struct<latLng:string>>>,activity:struct<distanceMeters:double,topCandidate:struct<type:string>>,timelinePath:array<struct<point:string>>>>"
@@ -65,17 +65,50 @@ def photos(spark: SparkSession, path: str) -> DataFrame:
 
 
 def planned_stops(spark: SparkSession, path: str) -> DataFrame:
-    """Folders of a KML file as planned trips: folder, position, name, lat, lon, day; missing days come from the nearest dated stop, the one before first."""
+    """Folders of a KML file as planned trips: folder, position (from 0, of the stops with a point), name, lat, lon, day; missing days come from the
+    nearest dated stop, the one before first. Folders without a dated stop, or with one stop only, are left out."""
     schema = "name string, Placemark array<struct<name:string,description:string,Point:struct<coordinates:string>>>"
-    rows = spark.read.format("xml").option("rowTag", "Folder").schema(schema).load(path).select(F.col("name").alias("folder"), F.posexplode("Placemark").alias("position", "p")).where("p.Point is not null")
+    rows = spark.read.format("xml").option("rowTag", "Folder").schema(schema).load(path).select(F.col("name").alias("folder"), F.posexplode(F.filter("Placemark", lambda p: p["Point"].isNotNull())).alias("position", "p"))
     parts = F.split(F.btrim("p.Point.coordinates"), ",")
     day = F.to_date(F.nullif(F.regexp_extract("p.description", r"(\d{2}[A-Z][a-z]{2}\d{4})", 1), F.lit("")), "ddMMMyyyy")
     rows = rows.select("folder", "position", F.col("p.name").alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("lat"), F.get(parts, F.lit(0)).try_cast("double").alias("lon"), day.alias("dated"))
     w = Window.partitionBy("folder").orderBy("position")
     before = F.last("dated", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.last("dated", ignorenulls=True).over(Window.partitionBy("folder").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0))
-    enough = F.count("dated").over(Window.partitionBy("folder"))
-    return rows.withColumn("n", enough).where("n >= 2").withColumn("day", F.coalesce(before, after)).drop("dated", "n")
+    rows = rows.withColumn("day", F.coalesce(before, after)).where("day is not null").drop("dated")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("folder"))).where("n >= 2").drop("n")
+
+
+def planned_trips(stops: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Planned stops (tid, folder and more, see planned_stops) as visits, segments and trips, for folders whose days meet no visit (tid, start_ts,
+    end_ts) of the person; any overlap refuses the whole folder.
+
+    A stop is a visit of a minute, so many seconds into its day as its position says. Legs lead from stop to stop, those under a kilometre
+    are left out. A trip goes from its first stop to its last, is named after its folder, and has the place of the stop farthest from the first."""
+    of = ["tid", "folder"]
+    at = (F.unix_date("day").cast("long") * 86400 + F.col("position")).alias("start_ts")
+    spans = stops.groupBy(*of).agg((F.min(F.unix_date("day")).cast("long") * 86400).alias("start_ts"), ((F.max(F.unix_date("day")).cast("long") + 1) * 86400).alias("end_ts"))
+    free = not_overlapping(spans, visits).select(*of)
+    stays = stops.join(free, of, "left_semi").select(*of, "position", "name", "lat", "lon", at).withColumn("end_ts", F.col("start_ts") + 60)
+    w = Window.partitionBy(*of).orderBy("start_ts", "position")
+    ends = {c: F.lead(c).over(w) for c in ("name", "lat", "lon", "start_ts")}
+    legs = stays.withColumns({f"to_{c}": v for c, v in ends.items()}).where("to_start_ts is not null")
+    far = metres("lat", "lon", "to_lat", "to_lon")
+    legs = legs.withColumn("distance_m", far).where("distance_m >= 1000").select(
+        *of, "start_ts", F.col("to_start_ts").alias("end_ts"), planned_mode(F.col("name"), F.col("to_name"), F.col("distance_m")).alias("mode"), "distance_m",
+        F.greatest(F.col("to_start_ts") - F.col("start_ts"), F.lit(1)).cast("double").alias("duration_s"), F.lit("kml_import").alias("source"))
+    first = stays.withColumns({"lat0": F.first("lat").over(w), "lon0": F.first("lon").over(w)}).withColumn("far", metres("lat0", "lon0", "lat", "lon"))
+    order = F.struct("start_ts", "position")
+    trips = first.groupBy(*of).agg(F.min("start_ts").alias("start_ts"), F.max_by("end_ts", order).alias("end_ts"), F.max_by(F.struct("lat", "lon", F.col("name").alias("far_name")), F.struct("far", -F.col("start_ts"))).alias("f"))
+    trips = trips.select("tid", "folder", "start_ts", "end_ts", trip_name(F.col("folder")).alias("name"), "f.far_name", F.col("f.lat").alias("far_lat"), F.col("f.lon").alias("far_lon"), F.lit("kml_import").alias("source"))
+    return stays.select("tid", "folder", "start_ts", "end_ts", "lat", "lon", F.lit(1).alias("point_count"), F.lit("kml_import").alias("source")), legs, trips
+
+
+def confirmed_photo_trips(found: DataFrame, trips: DataFrame) -> DataFrame:
+    """Visits of trips known from photos only (found: tid, first_day, last_day as dates, lat, lon): from the first day's start to the last second of
+    the last day. Those that overlap any trip (tid, start_ts, end_ts) of the person are left out."""
+    spans = found.select("tid", (F.unix_date("first_day").cast("long") * 86400).alias("start_ts"), (F.unix_date("last_day").cast("long") * 86400 + 86_399).alias("end_ts"), "lat", "lon")
+    return not_overlapping(spans, trips).withColumns({"point_count": F.lit(1), "source": F.lit("photo_import")})
 
 
 def planned_mode(name_a: Column, name_b: Column, distance_m: Column) -> Column:
