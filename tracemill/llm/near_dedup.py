@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import aligned_within
@@ -40,8 +40,6 @@ SKETCHES, KMER = 64, 5
 BINS = 256
 #: A word pair among the rarest of more texts than this is crowded: its texts meet in their rarest words instead.
 CROWD = 32
-#: Grams are counted in so many cells by hash.
-CELLS = 1 << 19
 #: So many rarer grams stand beside each, to tell whether two texts have met before (words only).
 LOOK_BACK = 64
 #: Pair lists of up to so many rows are sent to the tasks instead of shuffling all texts.
@@ -270,48 +268,29 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(gram + mixed(nth.astype(np.uint64)))
 
 
-def _loads(texts: DataFrame, size: int) -> np.ndarray:
-    """How many grams of all texts fall in each of CELLS cells."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, total = WordHash(), np.zeros(CELLS, np.int64)
-        for b in batches:
-            for text in b["text"]:
-                h = np.array([cache[w] for w in _WORD.findall(text.lower())] if text else [], np.uint64)
-                total += np.bincount((grams(h, size) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        cells = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cells.astype(np.int32), "n": total[cells]})
-
-    out = np.zeros(CELLS, np.int64)
-    found = texts.select("text").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
 def _rarest(texts: DataFrame, left: DataFrame, size: int, similarity: float) -> DataFrame:
     """gram, doc, n, earlier (rarer ones), comp: of each text of left (doc, comp), those of its rarest grams that others have too.
 
     An edit changes `size` grams at most, so similar texts have all but size (1 - similarity) n of the longer one's grams in common, and in any
-    order of all grams their first size (1 - similarity) n + 1 meet. The order here is by the load of a gram's cell among CELLS, so that what
-    very many texts hold comes last; it needs no exact count of every gram."""
-    some = texts.join(_small(left.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
-    sent = texts.sparkSession.sparkContext.broadcast(_loads(some, size))
+    order of all grams their first size (1 - similarity) n + 1 meet. Grams of one text only come first; they are counted, not sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, loads = WordHash(), sent.value
+        cache = WordHash()
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 h = np.array([cache[w] for w in _WORD.findall(text.lower())] if text else [], np.uint64)
-                every = grams(h, size)
-                most = int(size * (1 - similarity) * len(h) + 1 + 1e-9)
-                first = every[np.lexsort((every, loads[(every % np.uint64(CELLS)).astype(np.int64)]))[:most]].view(np.int64)
-                earlier = [first[max(0, i - LOOK_BACK) : i] for i in range(len(first))] if size == 1 else [[]] * len(first)
-                yield pd.DataFrame({"doc": doc, "n": len(h), "gram": first, "earlier": earlier})
+                yield pd.DataFrame({"doc": doc, "n": len(h), "gram": grams(h, size).view(np.int64)})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    every = stored(some.mapInPandas(run, f"doc {kind}, n int, gram long, earlier array<long>"), "near-grams")
-    often = stored(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "near-frequent")
-    return stored(every.join(often, "gram").select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
+    some = texts.join(_small(left.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+    every = stored(some.mapInPandas(run, f"doc {kind}, n int, gram long"), "near-grams")
+    often = stored(every.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "near-frequent")
+    own = Window.partitionBy("doc", "n")
+    w = own.orderBy("df", "gram")
+    alone = F.col("n") - (size - 1) - F.count("*").over(own)
+    earlier = F.collect_list("gram").over(w.rowsBetween(-LOOK_BACK, -1)) if size == 1 else F.array().cast("array<long>")
+    first = every.join(often, "gram").withColumns({"rank": alone + F.row_number().over(w), "earlier": earlier}).where(F.col("rank") <= size * (1 - similarity) * F.col("n") + 1 + 1e-9)
+    return stored(first.select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
 
 
 def _met(rare: DataFrame, similarity: float) -> DataFrame:
