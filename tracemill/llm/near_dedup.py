@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import aligned_within
-from .common import python_ready, stored
+from .common import forget, python_ready, stored
 from .graph import components
 
 SKETCHES, KMER = 64, 5
@@ -203,16 +203,19 @@ class _Linking:
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    """bucket, lo, hi: the buckets (bucket, doc, n, weight) of two documents or more, their heaviest document and the lightest one (doc and n each)."""
-    end = F.struct("weight", (-F.col("doc")).alias("later"), "doc", "n")
+    """bucket, lo, hi: the buckets (bucket, doc, n, weight and perhaps comp) of two documents or more, their heaviest document and the lightest one
+    (doc, n and comp each)."""
+    own = [c for c in ("doc", "n", "comp") if c in rows.columns]
+    end = F.struct("weight", (-F.col("doc")).alias("later"), *own)
     ends = rows.groupBy("bucket").agg(F.max(end).alias("lo"), F.min(end).alias("hi")).where("lo.doc <> hi.doc")
-    return ends.select("bucket", *[F.struct(f"{c}.doc", f"{c}.n").alias(c) for c in ("lo", "hi")])
+    return ends.select("bucket", *[F.struct(*[f"{c}.{x}" for x in own]).alias(c) for c in ("lo", "hi")])
 
 
 def _stars(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each row of a bucket with the bucket's ends of like length."""
-    met = rows.select("bucket", "doc", "n").join(_small(stored(_ends(rows), "near-ends")), "bucket")
-    met = met.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.explode(F.array("lo", "hi")).alias("e")).where("a <> e.doc")
+    """a, b: each row of a bucket with the bucket's ends of like length and of another component."""
+    met = rows.select("bucket", "doc", "n", "comp").join(_small(stored(_ends(rows), "near-ends")), "bucket")
+    others = F.filter(F.array("lo", "hi"), lambda e: (e["comp"] != F.col("comp")) & (F.least(e["n"], "n") >= similarity * F.greatest(e["n"], "n")))
+    met = met.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.explode(others).alias("e"))
     return _alike(met.select("a", F.col("e.doc").alias("b"), "an", F.col("e.n").alias("bn")), similarity)
 
 
@@ -290,7 +293,10 @@ def _rarest(texts: DataFrame, left: DataFrame, size: int, similarity: float) ->
     alone = F.col("n") - (size - 1) - F.count("*").over(own)
     earlier = F.collect_list("gram").over(w.rowsBetween(-LOOK_BACK, -1)) if size == 1 else F.array().cast("array<long>")
     first = every.join(often, "gram").withColumns({"rank": alone + F.row_number().over(w), "earlier": earlier}).where(F.col("rank") <= size * (1 - similarity) * F.col("n") + 1 + 1e-9)
-    return stored(first.select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
+    out = stored(first.select("gram", "doc", "n", "earlier").join(_small(left), "doc"), "near-rare")
+    for df in (every, often):
+        forget(df)
+    return out
 
 
 def _met(rare: DataFrame, similarity: float) -> DataFrame:
