@@ -309,23 +309,32 @@ def _met(rare: DataFrame, similarity: float) -> DataFrame:
     return answers.join(asks, "gram").where(~F.arrays_overlap("ea", "eb") & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & (F.least("an", "bn") >= similarity * F.greatest("an", "bn"))).select("a", "b")
 
 
-def _shortest(rare: DataFrame, similarity: float) -> DataFrame:
-    """a, b: of each gram's texts (gram, doc, n, comp), those of like length outside the shortest one's component with the shortest one."""
-    first = stored(rare.groupBy("gram").agg(F.min(F.struct("n", "doc", "comp")).alias("s")).select("gram", F.col("s.doc").alias("b"), F.col("s.comp").alias("cb"), F.col("s.n").alias("bn")), "near-shortest")
-    return rare.join(_small(first), "gram").where((F.col("comp") != F.col("cb")) & (F.col("bn") >= similarity * F.col("n"))).select(F.col("doc").alias("a"), "b").distinct()
+def _crowded(rare: DataFrame) -> DataFrame:
+    """gram, b, bn, cb: of the grams that more than CROWD texts of several components hold, the shortest text (doc, n, comp)."""
+    held = rare.groupBy("gram").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("n", "doc", "comp")).alias("s"))
+    return held.where((F.col("held") > CROWD) & (F.col("c0") != F.col("c1"))).select("gram", F.col("s.doc").alias("b"), F.col("s.n").alias("bn"), F.col("s.comp").alias("cb"))
+
+
+def _shortest(crowd: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b: of each gram's texts (gram, doc, n, comp, b, bn, cb), those of like length outside the shortest one's component, then and by the labels
+    of now, with the shortest one."""
+    labels = _small(labels)
+    pairs = crowd.where((F.col("comp") != F.col("cb")) & (F.col("bn") >= similarity * F.col("n"))).select(F.col("doc").alias("a"), "b").distinct()
+    now = pairs.join(labels.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
+    return now.where("ca <> cb").select("a", "b")
 
 
 def _by_rare_grams(linking: _Linking, left: DataFrame, similarity: float) -> None:
     """Links what may be similar among the texts of left (doc, comp). Texts meet in their rarest word pairs. Those that meet in a crowded one (a
     passage that makes up most of many texts) are compared with the shortest text there, which is most of the passage alone; what is still
-    apart must have one of its rarest words in common as well, and meets in that instead."""
+    apart must have one of its rarest words in common as well, and meets in that instead. Each row is marked once with what its gram is."""
     rare = _rarest(linking.texts, left, 2, similarity)
-    crowded = stored(rare.groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") > CROWD).select("gram"), "near-crowded")
-    linking.round(_met(rare.join(crowded, "gram", "left_anti"), similarity))
-    crowd = rare.join(crowded, "gram", "left_semi").drop("comp")
-    now = stored(crowd.join(_small(linking.labels), "doc"), "near-crowd")
-    if now.isEmpty():
+    marked = stored(rare.join(_small(stored(_crowded(rare), "near-crowded")), "gram", "left"), "near-marked")
+    forget(rare)
+    linking.round(_met(marked.where("b is null").drop("b", "bn", "cb"), similarity))
+    crowd = marked.where("b is not null")
+    if crowd.isEmpty():
         return
-    linking.round(_shortest(now, similarity))
-    many = stored(crowd.join(_small(linking.labels), "doc").select("doc", "comp").distinct(), "near-crowd")
+    linking.round(_shortest(crowd, linking.labels, similarity))
+    many = stored(crowd.select("doc").distinct().join(_small(linking.labels), "doc"), "near-crowd")
     linking.round(_met(_rarest(linking.texts, many, 1, similarity), similarity))
