@@ -77,3 +77,11 @@ def test_legs_equal_a_full_rebuild(spark, tmp_path, seed):
     got = rederive.segments(old, v1, p, rederive.changes_of(v0, v1, ["tid", "start_ts"]), keep)
     key = lambda df: sorted((r["tid"], r["start_ts"], r["end_ts"], round(r["distance_m"], 3), str(r["start_visit"]), str(r["end_visit"])) for r in df.collect())
     assert key(got) == key(legs.segments(v1, p)) != []
+
+
+def test_zones_that_meet_are_one_across_bins(spark, tmp_path):
+    """The second zone begins in a later time bin than the first, inside it."""
+    some = spark.createDataFrame([(1, 100, 5_000_000), (1, 3_000_000, 3_000_100), (1, 9_000_000, 9_000_100)], "tid long, a long, b long")
+    marks = spark.createDataFrame([(1, t) for t in (0, 2_900_000, 3_100_000, 5_100_000, 8_900_000, 9_100_000)], "tid long, at long")
+    got = rederive.zones(some, marks, keeping(spark, tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 5_100_000), (1, 8_900_000, 9_100_000)]
