@@ -93,3 +93,11 @@ def test_runs_are_logged_and_a_failure_shows(spark, tmp_path):
     pings = spark.createDataFrame([(1, 1, 1000, 5.0, "owntracks")], "tid long, id long, tst long, acc double, source string")
     assert reports.tracking_status(pings, 1000).first()["level"] == "ok"
     assert reports.tracking_status(pings, 1000, ingest.last_run(runs.runs())).first()["level"] == "error"
+
+
+def test_zones_that_meet_are_one_across_weeks(spark, tmp_path):
+    """A ping's zone of several weeks takes in the zones of later pings that begin inside it."""
+    log = PingLog(spark, str(tmp_path / "log"), str(tmp_path / "state"))
+    new = spark.createDataFrame([(1, 100), (1, 2_900_000), (1, 9_000_000)], "tid long, tst long")
+    marks = spark.createDataFrame([(1, t, t + 10) for t in (0, 2_800_000, 3_000_000, 5_000_000, 8_900_000, 9_100_000, 9_200_000)], "tid long, at long, end_ts long")
+    assert sorted(map(tuple, log.zones(new, marks).collect())) == [(1, 0, 5_000_000), (1, 8_900_000, 9_200_000)]
