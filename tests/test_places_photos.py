@@ -1,6 +1,9 @@
 """Chains of merged places, and photos around a place and a time."""
 
-from tracemill.operators import overlays, photos
+import random
+
+from tracemill.operators import overlays, photos, places
+from tracemill.operators.stays import _apart
 
 
 def test_chains_and_circles_of_merges(spark, tmp_path):
@@ -32,3 +35,22 @@ def test_photos_near_a_place_and_a_time(spark):
     spans = spots.select("id", "tid", "start_ts", "end_ts")
     assert [(r["uid"], r["lat"]) for r in photos.taken_between(spans, shot).where("id = 7").orderBy("rank").collect()] == [("a", 50.001), ("d", None), ("f", 50.0), ("g", 50.01), ("b", 50.0)]
     assert photos.near(spots, shot.limit(0)).count() == 0
+
+
+def test_nearby_meets_by_spot(spark, monkeypatch):
+    """Many points and features on a few spots: spots are paired, not rows, and the result is that of all pairs."""
+    rng, met, was = random.Random(3), [], places.radius_join
+    spot = lambda: (50.0 + rng.randrange(3) * 0.001, 0.001 * rng.randrange(2))
+    points = [(i, *spot()) for i in range(60)]
+    features = [(f"n{rng.randrange(12)}" if rng.random() > 0.1 else None, rng.choice(["a", "b", None]), *spot()) for _ in range(300)]
+    monkeypatch.setattr(places, "radius_join", lambda *a, **k: (met.append(was(*a, **k)), met[-1])[1])
+    got = places.nearby(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(features, "name string, category string, lat double, lon double"), 200.0, most=4)
+    want = []
+    for i, lat, lon in points:
+        near = {}
+        for name, category, la, lo in features:
+            if name is not None and (m := _apart(lat, lon, la, lo)) <= 200:
+                near[name] = min(near.get(name, (1e9,)), (round(m, 2), category is not None, category or ""))
+        want += [(i, n, m, c or None, r + 1) for r, (m, n, c) in enumerate(sorted((m, n, c) for n, (m, _, c) in near.items())[:4])]
+    assert sorted((r["id"], r["name"], r["metres"], r["category"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert met[0].count() <= 36
