@@ -54,3 +54,27 @@ def test_nearby_meets_by_spot(spark, monkeypatch):
         want += [(i, n, m, c or None, r + 1) for r, (m, n, c) in enumerate(sorted((m, n, c) for n, (m, _, c) in near.items())[:4])]
     assert sorted((r["id"], r["name"], r["metres"], r["category"], r["rank"]) for r in got.collect()) == sorted(want)
     assert met[0].count() <= 36
+
+
+def test_clusters_are_streamed(spark):
+    """Groups that reach over several batches, many groups to a task, cities and people that lack; no call of Python for each group."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 2, None]), rng.choice("AB"), rng.choice(["x", None]), 50.0 + rng.randrange(8) * 0.001, 0.0) for i in range(80)]
+    visits = [(rng.randrange(80),) for _ in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = places.greedy_clusters(spark.createDataFrame(rows, "id long, tid long, name string, city string, lat double, lon double"), spark.createDataFrame(visits, "place_id long"))
+        got = {r["id"]: r["keeper"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key in {r[1:4] for r in rows}:
+        found = []
+        for r in sorted(r for r in rows if r[1:4] == key):
+            c = next((c for c in found if _apart(sum(x[4] for x in c) / len(c), 0.0, r[4], 0.0) <= 300), None)
+            found.append([r]) if c is None else c.append(r)
+        for c in found:
+            best = min(c, key=lambda r: (-visits.count((r[0],)), r[0]))[0]
+            want |= {r[0]: best for r in c}
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
