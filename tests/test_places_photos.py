@@ -104,3 +104,12 @@ def test_points_of_one_spot_are_snapped_once(spark, monkeypatch):
     nodes = spark.createDataFrame([("a", 50.0, 1.001), ("b", 50.01, 1.0)], "node string, lat double, lon double")
     assert {r["id"]: r["node"] for r in routing.snapped(points, nodes).collect()} == {i: "ab"[i % 2] for i in range(40)}
     assert met[0].count() <= 4
+
+
+def test_merges_do_not_go_through_the_driver(spark, tmp_path):
+    """Small files of ids may hold millions of rows, so no join of them is a broadcast."""
+    n = iter(range(10_000))
+    keep = lambda df: (df.write.parquet(p := str(tmp_path / f"t{next(n)}")), spark.read.schema(df.schema).parquet(p))[1]
+    alias = keep(spark.range(1, 200).selectExpr("id AS old_id", "id - 1 AS new_id"))
+    for df in (overlays.final_aliases(alias, keep), *overlays.merged_places(keep(spark.range(200)), keep(spark.range(400).selectExpr("id", "id % 200 AS place_id")), alias, keep)):
+        assert df.count() > 0 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

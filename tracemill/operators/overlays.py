@@ -44,7 +44,7 @@ def final_aliases(alias: DataFrame, stored) -> DataFrame:
     at = stored(one.withColumn("least", F.col("old_id")))  # the smallest id from old_id up to before new_id
     known, reach = at.count(), 1
     while True:
-        step = at.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("__next"), F.col("least").alias("__least"))
+        step = at.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("__next"), F.col("least").alias("__least")).hint("merge")  # ids compress so well that millions of them pass for a small table, and would go through the driver
         met = at.join(step, "new_id", "left")
         if reach > known or met.where("__next is not null").isEmpty():
             break
@@ -55,7 +55,7 @@ def final_aliases(alias: DataFrame, stored) -> DataFrame:
 
 def merged_places(places: DataFrame, visits: DataFrame, alias: DataFrame, stored) -> tuple[DataFrame, DataFrame]:
     """Places without those merged into others, and visits that point to their last keepers."""
-    last = stored(final_aliases(alias, stored))
+    last = stored(final_aliases(alias, stored)).hint("merge")
     return without(places, last.select(F.col("old_id").alias("id")), ["id"]), repointed(visits, last)
 
 
