@@ -4,6 +4,7 @@ import random
 
 from tracemill.operators import overlays, photos, places, routing
 from tracemill.operators.stays import _apart
+from tracemill.plans import reports
 
 
 def test_chains_and_circles_of_merges(spark, tmp_path):
@@ -113,3 +114,15 @@ def test_merges_do_not_go_through_the_driver(spark, tmp_path):
     alias = keep(spark.range(1, 200).selectExpr("id AS old_id", "id - 1 AS new_id"))
     for df in (overlays.final_aliases(alias, keep), *overlays.merged_places(keep(spark.range(200)), keep(spark.range(400).selectExpr("id", "id % 200 AS place_id")), alias, keep)):
         assert df.count() > 0 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_of_spans_through_wide_bins(spark):
+    """All pairs, wherever the bins cut; a span of ten days is in two bins at most."""
+    rng = random.Random(7)
+    spans = [(rng.choice([1, 2]), i, a := rng.randrange(-5_000_000, 5_000_000), a + rng.choice([-5, 0, 1, 864_000, 3_000_000])) for i in range(60)]
+    events = [(rng.choice([1, 2]), 1000 + i, rng.choice([rng.randrange(-5_000_000, 5_000_000), rng.choice(spans)[2], rng.choice(spans)[3]])) for i in range(200)]
+    s = spark.createDataFrame(spans, "tid long, id long, start_ts long, end_ts long")
+    df = reports.during(spark.createDataFrame(events, "tid long, event long, at long"), "at", s)
+    want = sorted((e[1], x[1]) for e in events for x in spans if e[0] == x[0] and x[2] <= e[2] < x[3])
+    assert sorted((r["event"], r["id"]) for r in df.collect()) == want != []
+    assert "1209600" in df._jdf.queryExecution().optimizedPlan().toString()
