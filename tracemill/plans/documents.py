@@ -43,8 +43,7 @@ def trip_documents(trips: DataFrame, visits: DataFrame, places: DataFrame, segme
     those that do are with the first visit they fall into."""
     keys, spans = ["tid", "id"], trips.select("tid", "id", "start_ts", "end_ts")
     inside = reports.trip_visits_of(trips, visits.select("tid", "place_id", "start_ts", "end_ts", F.col("id").alias("vid")).withColumnRenamed("vid", "id"))
-    ends = visits.select(F.col("id").alias("vid"), F.col("start_ts").alias("from_ts"), F.col("end_ts").alias("to_ts"), F.col("place_id").alias("at_place"))
-    mine = inside.select("tid", "id", "vid").join(ends, "vid").withColumnRenamed("at_place", "place_id")
+    mine = inside.select("tid", "id", "vid", F.col("at").alias("from_ts"), F.col("until").alias("to_ts"), "place_id")
     shots = photo_ops.taken_between(spans, photos.withColumn("file", F.lit("")), 100).join(spans.select("id", "tid"), "id").select("tid", "id", "uid", "taken_ts")
     met = shots.join(mine.select("tid", "id", "vid", "from_ts", "to_ts"), ["tid", "id"]).where((F.col("taken_ts") >= F.col("from_ts")) & (F.col("taken_ts") <= F.col("to_ts")))
     first = met.groupBy("tid", "id", "uid").agg(F.min(F.struct("from_ts", "vid")).alias("f")).select("tid", "id", "uid", "f.vid")
