@@ -101,3 +101,14 @@ def test_zones_that_meet_are_one_across_weeks(spark, tmp_path):
     new = spark.createDataFrame([(1, 100), (1, 2_900_000), (1, 9_000_000)], "tid long, tst long")
     marks = spark.createDataFrame([(1, t, t + 10) for t in (0, 2_800_000, 3_000_000, 5_000_000, 8_900_000, 9_100_000, 9_200_000)], "tid long, at long, end_ts long")
     assert sorted(map(tuple, log.zones(new, marks).collect())) == [(1, 0, 5_000_000), (1, 8_900_000, 9_200_000)]
+
+
+def test_a_last_island_that_shares_its_second_is_derived_again(spark, tmp_path):
+    """The hop lies within one second, so the last island has no mark of its own; a late ping before it must not lose it."""
+    rows = [(1, i, i * 60, 50.0, 0.0, None, "owntracks") for i in range(11)] + [(1, 100 + i, 600 + i * 60, 51.0, 0.0, None, "owntracks") for i in range(30)]
+    late = [(1, 99, 301, 50.0, 0.0, None, "owntracks")]
+    log = PingLog(spark, str(tmp_path / "log"), str(tmp_path / "state"), buckets=1)
+    for n, part in enumerate((rows, late)):
+        log.append(spark.createDataFrame(part, PINGS), n)
+        log.derive(n)
+    assert key(log.stays()) == key(stays.stays(spark.createDataFrame(rows + late, PINGS))) == [(1, 0, 600, 12), (1, 600, 2340, 30)]

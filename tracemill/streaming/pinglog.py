@@ -20,7 +20,7 @@ from ..storage import keeper
 
 DAY, MONTH = 86_400, 30 * 86_400
 STAYS = "tid long, start_ts long, end_ts long, lat double, lon double, point_count int, bucket int, month int"
-#: Starts of islands before which nothing stands in the same second, and the islands' last pings.
+#: Starts of islands before which nothing stands in the same second, and the last ping of the zone that they were found in (islands that share their first second are in no row).
 ISLANDS = "tid long, at long, end_ts long, bucket int, month int"
 
 
@@ -96,8 +96,9 @@ class PingLog:
         again = in_zones(pings, "tst", spans, closed=False).where("zone is not null")
         cut = self.keep(ping_islands(self.keep(again), ("tid", "zone")))
         found = clustered_islands(cut, ("tid", "zone"))
-        starts = cut.groupBy("tid", "zone", "island").agg(F.min("tst").alias("at"), F.max("tst").alias("end_ts"), F.min_by("was", F.struct("tst", "id")).alias("was"))
-        starts = starts.where("was is null or was.tst is null or was.tst < at").select("tid", "at", "end_ts")
+        ends = cut.groupBy("tid", "zone").agg(F.max("tst").alias("end_ts"))
+        starts = cut.groupBy("tid", "zone", "island").agg(F.min("tst").alias("at"), F.min_by("was", F.struct("tst", "id")).alias("was"))
+        starts = starts.where("was is null or was.tst is null or was.tst < at").join(ends, ["tid", "zone"]).select("tid", "at", "end_ts")
         self._replace("islands", ISLANDS, starts, "at", spans, touched)
         self._replace("stays", STAYS, found, "start_ts", spans, touched)
 
