@@ -78,3 +78,14 @@ def test_no_window_by_person_alone(spark):
         for line in (x for x in plan.split("\n") if "Window [" in x):
             by, order = line.rsplit("], [", 2)[1:]
             assert "__bin" in by or "__run" in by or "__bin" in order, line
+
+
+def test_trends_are_read_off_one_window(spark):
+    """Months without rows are zeros, a missing mode has no trend (as in SQL), and nothing is copied six times."""
+    month = lambda m: 86_400 * 31 * m + 86_400
+    df = spark.createDataFrame([(1, "bus", month(m), 1000.0 * (m + 1), 1.0) for m in (0, 1, 5, 9)] + [(1, None, month(1), 500.0, 1.0), (2, "bus", month(1), 700.0, 1.0)], "tid long, mode string, start_ts long, distance_m double, duration_s double")
+    out = reports.monthly_insights(df)
+    assert sorted((r["tid"], str(r["mode"]), r["month"], *[r[f"trend_{i}"] for i in range(6)]) for r in out.collect()) == [
+        (1, "None", "1970-02", 0, 0, 0, 0, 0, 0), (1, "bus", "1970-01", 0, 0, 0, 0, 0, 1000), (1, "bus", "1970-02", 0, 0, 0, 0, 1000, 2000),
+        (1, "bus", "1970-06", 1000, 2000, 0, 0, 0, 6000), (1, "bus", "1970-10", 0, 6000, 0, 0, 0, 10000), (2, "bus", "1970-02", 0, 0, 0, 0, 0, 700)]
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
