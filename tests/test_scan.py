@@ -80,6 +80,22 @@ def test_no_window_by_person_alone(spark):
             assert "__bin" in by or "__run" in by or "__bin" in order, line
 
 
+@pytest.mark.parametrize("width", [3, 5000, 10**9])
+def test_journeys_are_joined_over_the_borders_of_bins(spark, width):
+    """Journeys equal a plain fold, also where a mode is missing (no journey goes on there); rows are not shuffled again by journey."""
+    df = rows(spark, 5).where("tid is not null").withColumn("mode", F.when(F.col("id") % 7 > 0, F.col("mode")))
+    got, want = legs.chained(df, ["id"], width), []
+    for r in sorted(df.collect(), key=lambda r: (r["tid"], r["start_ts"], r["id"])):
+        last = want[-1] if want else None
+        if last and last[0] == r["tid"] and last[1] == r["mode"] not in (None, "flying") and r["start_ts"] - last[3] <= 7200:
+            last[3:] = [r["end_ts"], last[4] + r["distance_m"], last[5] + 1.0, last[6] + 1]
+        else:
+            want.append([r["tid"], r["mode"], r["start_ts"], r["end_ts"], r["distance_m"], 1.0, 1])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want))) and any(x[6] > 2 for x in want)
+    shuffles = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in x]
+    assert shuffles and not any("journey" in x or "__run" in x.split("hashpartitioning(")[1].split(")")[0] for x in shuffles)
+
+
 def test_trends_are_read_off_one_window(spark):
     """Months without rows are zeros, a missing mode has no trend (as in SQL), and nothing is copied six times."""
     month = lambda m: 86_400 * 31 * m + 86_400
