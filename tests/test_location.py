@@ -371,3 +371,12 @@ def test_rail_route_of_all_places(spark):
     got = {r["id"]: r["metres"] for r in rail_route(spark, "/root/testdata/sf0.001").collect()}
     assert set(got) == set(want) and len(got) > 20
     assert sum(w is not None for w in want.values()) > 10 and all(abs(got[i] - w) < 0.2 for i, w in want.items() if w is not None)
+
+
+def test_pings_are_clustered_once_for_merging(spark):
+    """Merging looks at its candidates twice; the clustering in Python is done before, once."""
+    rows = [(1, i, i * 60, 50.0 + (i // 40) * 0.01, 0.0, None, "owntracks") for i in range(120)]
+    df = spark.createDataFrame(rows, "tid long, id long, tst long, lat double, lon double, acc double, source string")
+    out = stays.merged(stays.stays(df))
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["start_ts"], r["end_ts"], r["point_count"]) for r in out.collect()) == [(0, 2340, 40), (2400, 4740, 40), (4800, 7140, 40)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import ACCURACY_MAX, EARTH_RADIUS, ISLAND_HOP, MERGE_GAP, MERGE_RADIUS, STAY_MIN, STAY_RADIUS
 from ..functions.geo import metres
 from ..shipping import ship_package
+from ..storage import keeper
 from .scan import islands
 
 STAY = "tid long, start_ts long, end_ts long, lat double, lon double, point_count int"
@@ -61,19 +62,21 @@ def stays(pings: DataFrame) -> DataFrame:
 
 
 def clustered_islands(pings: DataFrame, keys: tuple[str, ...] = ("tid",)) -> DataFrame:
-    """Stays of pings with their island. Islands too short to hold a stay are left out first; the others go to Python by the hundred."""
+    """Stays of pings with their island. Islands too short to hold a stay are left out first; the others go to Python by the thousand."""
     ship_package(pings.sparkSession)
     every = Window.partitionBy(*keys, "island")
     rows = pings.select(*keys, "island", "id", "tst", "lat", "lon")
     rows = rows.withColumn("span", F.max("tst").over(every) - F.min("tst").over(every)).where(F.col("span") >= STAY_MIN).drop("span")
-    return rows.groupBy(*keys, F.floor(F.col("island") / 100).alias("bundle")).applyInPandas(clustered, STAY)
+    return rows.groupBy(*keys, F.floor(F.col("island") / 1000).alias("bundle")).applyInPandas(clustered, STAY)
 
 
 def merged(candidates: DataFrame) -> DataFrame:
     """Neighbouring stays that are close in time and space become one, with the mean of their points as its place.
 
-    Long gaps never merge, so each run between them is folded by itself, in order, by a higher-order function.
+    Long gaps never merge, so each run between them is folded by itself, in order, by a higher-order function. Candidates are written first, as
+    islands() looks at them twice and each look would cluster all pings again.
     """
+    candidates = keeper(candidates.sparkSession, "stays")(candidates)
     runs = islands(candidates, ["tid"], "start_ts", ["end_ts"], {"before": F.col("end_ts")}, F.col("start_ts") - F.col("before") > MERGE_GAP, "run")
     kind = "array<struct<start_ts:bigint,end_ts:bigint,lat:double,lon:double,n:bigint>>"
     rows = runs.groupBy("tid", "run").agg(F.array_sort(F.collect_list(F.struct("start_ts", "end_ts", "lat", "lon", F.col("point_count").cast("long").alias("n")))).alias("rows"))
