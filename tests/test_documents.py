@@ -56,3 +56,52 @@ def test_stops_take_dates_from_their_neighbours(spark, tmp_path):
     (tmp_path / "t.kml").write_text(f"<kml><Folder><name>A</name>{mark('')}{mark('', False)}{mark('on 02Jan2020')}</Folder><Folder><name>B</name>{mark('')}{mark('')}</Folder><Folder><name>C</name>{mark('02Jan2020')}</Folder></kml>")
     got = [(r["folder"], r["position"], str(r["day"])) for r in importers.planned_stops(spark, str(tmp_path / "t.kml")).orderBy("folder", "position").collect()]
     assert got == [("A", 0, "2020-01-02"), ("A", 1, "2020-01-02")]
+
+
+def _trip_frames(spark, trips, visits=(), segments=(), photos=()):
+    shown = [(t, i, a, b, None, "C", None, None) for t, i, a, b in trips]
+    return (
+        spark.createDataFrame(shown, "tid long, id long, start_ts long, end_ts long, name string, primary_city string, primary_country string, primary_country_code string"),
+        spark.createDataFrame(list(visits), "tid long, id long, start_ts long, end_ts long, place_id long"),
+        spark.createDataFrame([(5, "Inn", "Hotels", "C", 50.0, 1.25)], "id long, name string, category string, city string, lat double, lon double"),
+        spark.createDataFrame(list(segments), "tid long, mode string, k1 long, k2 int, start_ts long, end_ts long, distance_m double"),
+        spark.createDataFrame([(*p, None, None) for p in photos], "tid long, uid string, taken_ts long, lat double, lon double"),
+    )
+
+
+def test_trip_documents_are_dealt_once(spark):
+    """Trips and what happens on them are dealt by person and part and stay there; only lists of trips over a border are shuffled by trip."""
+    rows = documents.trip_documents(*_trip_frames(spark, [(1, 1, 0, DAY)]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    by_trip = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and " id#" in line]
+    assert len(by_trip) == 1, by_trip
+
+
+def test_trip_document_over_the_border_of_parts(spark):
+    """Visits, legs and photos on both sides of it, in order; empty and odd trips keep their documents."""
+    part = 16 * 7 * DAY
+    at = 3 * part - DAY
+    trips = [(1, 7, at, at + 2 * DAY), (1, 8, at + 5 * DAY, at + 6 * DAY), (2, 9, at, at + 2 * DAY), (1, 10, None, at), (1, None, at, at + DAY), (None, 11, at, at + DAY), (1, 12, at - part, at + 3 * part)]
+    visits = [(1, 2, at + DAY + 50, at + DAY + 90, 5), (1, 1, at, at + DAY + 60, None), (1, 3, at + 2 * DAY, at + 2 * DAY + 5, 5)]
+    segments = [(1, "bus", 2, 1, at + DAY - 10, at + DAY + 10, 1.5), (1, "bus", 1, 1, at + 2 * DAY, at + 2 * DAY, 2.5), (1, "bus", 3, 1, at + 9, at + 2 * DAY + 1, 1.0)]
+    photos = [(1, "b", at + DAY + 55), (1, "a", at + DAY + 80), (1, "c", at + 2 * DAY + 100)]
+    rows = documents.trip_documents(*_trip_frames(spark, trips, visits, segments, photos)).collect()
+    got = {(r["tid"], r["id"]): json.loads(r["document"]) for r in rows}
+    assert len(rows) == len(got) == 7
+    over = got[1, 7]
+    assert [(v["vid"], v["place_name"], v["lon_e6"], v["photos"]) for v in over["visits"]] == [(1, None, None, [{"uid": "b", "taken_ts": at + DAY + 55}]), (2, "Inn", 1_250_000, [{"uid": "a", "taken_ts": at + DAY + 80}])]
+    assert over["legs"] == [{"k1": 2, "from_ts": at + DAY - 10, "to_ts": at + DAY + 10, "mode": "bus", "metres": 2}, {"k1": 1, "from_ts": at + 2 * DAY, "to_ts": at + 2 * DAY, "mode": "bus", "metres": 2}]
+    assert over["photos"] == [{"uid": "c", "taken_ts": at + 2 * DAY + 100}]
+    assert list(over) == ["id", "name", "start_ts", "end_ts", "days", "primary_city", "primary_country", "primary_country_code", "visits", "legs", "photos"]
+    assert [len(got[1, 12][c]) for c in ("visits", "legs", "photos")] == [3, 3, 1]
+    for key in ((1, 8), (2, 9), (1, 10), (1, None), (None, 11)):
+        assert [got[key][c] for c in ("visits", "legs", "photos")] == [[], [], []]
+
+
+def test_trip_document_holds_every_photo_of_its_days(spark):
+    """As its SQL has them: 150 photos, of which the last is in a visit."""
+    photos = [(1, f"p{i:03}", 40 * DAY + i) for i in range(150)]
+    rows = documents.trip_documents(*_trip_frames(spark, [(1, 1, 40 * DAY, 41 * DAY)], [(1, 4, 40 * DAY + 149, 40 * DAY + 200, 5)], photos=photos)).collect()
+    got = json.loads(rows[0]["document"])
+    assert [p["uid"] for p in got["photos"]] == [f"p{i:03}" for i in range(149)]
+    assert [p["uid"] for p in got["visits"][0]["photos"]] == ["p149"]

@@ -5,6 +5,8 @@ Documents hold whole numbers and texts: seconds, metres rounded to whole ones, d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from ..operators import photos as photo_ops
 from . import reports
 from .reports import DAY_S
 
+#: Seconds of the parts of a person's time that trips are dealt by: few trips lie in one part, and few reach over its border.
+TRIP_PART = 16 * 7 * DAY_S
+
 
 def listed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
     """keys and `name`: the rows of each key as a list of structs of the columns, in order."""
@@ -19,7 +24,7 @@ def listed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
     return rows.groupBy(*keys).agg(every.alias("l")).select(*keys, F.col("l.v").alias(name))
 
 
-def text_of(*columns: str) -> Column:
+def text_of(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document")
 
 
@@ -33,34 +38,73 @@ def _empty(out: DataFrame, parts: list[DataFrame], keys: list[str], names: list[
     return out
 
 
-def _visits(visits: DataFrame, places: DataFrame) -> DataFrame:
+def _first_day(ts: Column) -> Column:
+    return F.floor(ts / DAY_S) * DAY_S
+
+
+def _days_end(ts: Column) -> Column:
+    return (F.floor(ts / DAY_S) + 1) * DAY_S
+
+
+def _happened(visits: DataFrame, places: DataFrame, segments: DataFrame, photos: DataFrame) -> DataFrame:
+    """Visits with their places, legs and photos in one table, dealt by person and part: tid, __part, at, until and, each null in rows of the others,
+    the structs visit, leg and photo (what has no struct takes next to no room)."""
     p = places.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"), "category", "city", whole("lat", 1_000_000).alias("lat_e6"), whole("lon", 1_000_000).alias("lon_e6"))
-    return visits.join(p, "place_id", "left")
+    seen = visits.select("tid", "place_id", F.col("id").alias("vid"), F.col("start_ts").alias("at"), F.col("end_ts").alias("until")).join(p, "place_id", "left")
+    kinds = [
+        seen.select("tid", "at", "until", F.struct("vid", "place_name", "category", "city", "lat_e6", "lon_e6").alias("visit")),
+        segments.select("tid", F.col("start_ts").alias("at"), F.col("end_ts").alias("until"), F.struct("k1", "k2", whole("distance_m").alias("metres"), "mode").alias("leg")),
+        photo_ops.distinct_photos(photos.withColumn("file", F.lit(""))).select("tid", F.col("taken_ts").alias("at"), F.struct("uid").alias("photo")),
+    ]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), kinds).where("tid is not null and at is not null")
+    return every.withColumn("__part", F.floor(F.col("at") / TRIP_PART)).repartition("tid", "__part")
+
+
+def _listed(trips: DataFrame, happened: DataFrame) -> DataFrame:
+    """trips: tid, __part, id, trip (start_ts, end_ts and what else is shown). For each the visits that start in it, the legs that lie in it and
+    the photos of its days, as lists, out of what happened in its __part. Both sides are dealt alike, so nothing more is shuffled."""
+    at, until, start, end = F.col("at"), F.col("until"), F.col("trip.start_ts"), F.col("trip.end_ts")
+    of_kind = {"visit": (at >= start) & (at < end), "leg": (at >= start) & (at <= end) & (until <= end), "photo": (at >= _first_day(start)) & (at < _days_end(end))}
+    met = F.col("id").isNotNull() & reduce(lambda x, y: x | y, [F.col(k).isNotNull() & w for k, w in of_kind.items()])
+    same = (F.col("t.tid") == F.col("h.tid")) & (F.col("t.__part") == F.col("h.__part")) & met
+    rows = trips.alias("t").join(happened.alias("h"), same, "left").drop(F.col("h.tid"), F.col("h.__part"))
+    of = lambda kind, *columns: F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(*columns)))
+    return rows.groupBy("tid", "__part", "id", "trip").agg(
+        of("visit", "at", "visit.vid", "until", "visit.place_name", "visit.category", "visit.city", "visit.lat_e6", "visit.lon_e6").alias("visits"),
+        of("leg", "at", "leg.k1", "leg.k2", "leg.metres", "until", "leg.mode").alias("legs"),
+        of("photo", "at", "photo.uid").alias("photos"),
+    )
+
+
+def _told(lists: DataFrame) -> DataFrame:
+    """The documents of trips with their lists of visits, legs and photos; a photo goes to the first visit that it falls into."""
+    first = lambda p: F.get(F.filter("visits", lambda v: (p["at"] >= v["at"]) & (p["at"] <= v["until"])), F.lit(0))
+    held = lists.withColumns({c: F.sort_array(c) for c in ("visits", "legs", "photos")})
+    held = held.withColumn("photos", F.transform("photos", lambda p: F.struct(p["uid"].alias("uid"), p["at"].alias("taken_ts"), first(p)["vid"].alias("vid"))))
+    shots = lambda which: F.transform(F.filter("photos", which), lambda p: F.struct(p["uid"].alias("uid"), p["taken_ts"].alias("taken_ts")))
+    place = lambda v: [v[c].alias(c) for c in ("place_name", "category", "city", "lat_e6", "lon_e6")]
+    visits = F.transform("visits", lambda v: F.struct(v["vid"].alias("vid"), v["at"].alias("from_ts"), v["until"].alias("to_ts"), *place(v), shots(lambda p: p["vid"] == v["vid"]).alias("photos")))
+    legs = F.transform("legs", lambda g: F.struct(g["k1"].alias("k1"), g["at"].alias("from_ts"), g["until"].alias("to_ts"), g["mode"].alias("mode"), g["metres"].alias("metres")))
+    days = F.greatest(F.lit(1), F.floor((F.col("trip.end_ts") - F.col("trip.start_ts")) / DAY_S) + 1).cast("long").alias("days")
+    head = ["id", "trip.name", "trip.start_ts", "trip.end_ts", days, "trip.primary_city", "trip.primary_country", "trip.primary_country_code"]
+    return held.select("tid", "id", text_of(*head, visits.alias("visits"), legs.alias("legs"), shots(lambda p: p["vid"].isNull()).alias("photos")))
 
 
 def trip_documents(trips: DataFrame, visits: DataFrame, places: DataFrame, segments: DataFrame, photos: DataFrame) -> DataFrame:
     """tid, id, document of each trip: what it is, its visits with their places, its legs, and the photos of its days that fall into no visit;
-    those that do are with the first visit they fall into."""
-    keys, spans = ["tid", "id"], trips.select("tid", "id", "start_ts", "end_ts")
-    inside = reports.trip_visits_of(trips, visits.select("tid", "place_id", "start_ts", "end_ts", F.col("id").alias("vid")).withColumnRenamed("vid", "id"))
-    mine = inside.select("tid", "id", "vid", F.col("at").alias("from_ts"), F.col("until").alias("to_ts"), "place_id")
-    shots = photo_ops.taken_between(spans, photos.withColumn("file", F.lit("")), 100).join(spans.select("id", "tid"), "id").select("tid", "id", "uid", "taken_ts")
-    met = shots.join(mine.select("tid", "id", "vid", "from_ts", "to_ts"), ["tid", "id"]).where((F.col("taken_ts") >= F.col("from_ts")) & (F.col("taken_ts") <= F.col("to_ts")))
-    first = met.groupBy("tid", "id", "uid").agg(F.min(F.struct("from_ts", "vid")).alias("f")).select("tid", "id", "uid", "f.vid")
-    held = listed(shots.join(first, ["tid", "id", "uid"]), ["tid", "id", "vid"], ["taken_ts", "uid"], ["uid", "taken_ts"], "photos")
-    seen = _visits(_empty(mine, [held], ["tid", "id", "vid"], ["photos"]), places)
-    loose = shots.join(first, ["tid", "id", "uid"], "left_anti")
-    legs = reports.during(segments.select("tid", "mode", "k1", "k2", whole("distance_m").alias("metres"), F.col("start_ts").alias("from_ts"), F.col("end_ts").alias("to_ts")), "from_ts", spans.withColumn("end_ts", F.col("end_ts") + 1))
-    legs = legs.where(F.col("to_ts") < F.col("end_ts"))
-    days = F.greatest(F.lit(1), F.floor((F.col("end_ts") - F.col("start_ts")) / DAY_S) + 1).cast("long").alias("days")
-    head = trips.select("tid", "id", "name", "start_ts", "end_ts", days, "primary_city", "primary_country", "primary_country_code")
-    parts = [
-        listed(seen, keys, ["from_ts", "vid"], ["vid", "from_ts", "to_ts", "place_name", "category", "city", "lat_e6", "lon_e6", "photos"], "visits"),
-        listed(legs, keys, ["from_ts", "k1", "k2", "metres"], ["k1", "from_ts", "to_ts", "mode", "metres"], "legs"),
-        listed(loose, keys, ["taken_ts", "uid"], ["uid", "taken_ts"], "photos"),
-    ]
-    whole_trip = _empty(head, parts, keys, ["visits", "legs", "photos"])
-    return whole_trip.select("tid", "id", text_of(*[c for c in whole_trip.columns if c != "tid"]))
+    those that do are with the first visit they fall into.
+
+    Trips and what happens on them are shuffled once, by person and sixteen weeks, and become documents where they lie. Only trips that
+    reach over such a border are listed on each side of it, and these lists shuffled by trip to be joined."""
+    first, last = (F.floor(x / TRIP_PART) for x in (_first_day(F.col("start_ts")), _days_end(F.col("end_ts")) - 1))
+    crosses = F.coalesce(first < last, F.lit(False))
+    shown = F.struct("start_ts", "end_ts", "name", "primary_city", "primary_country", "primary_country_code").alias("trip")
+    dealt = lambda rows, part: rows.select("tid", part.alias("__part"), "id", shown).repartition("tid", "__part")
+    happened = _happened(visits, places, segments, photos)
+    one = _listed(dealt(trips.where(~crosses), first), happened)
+    more = _listed(dealt(trips.where(crosses), F.explode(F.sequence(first, last))), happened)
+    more = more.groupBy("tid", "id", "trip").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("visits", "legs", "photos")])
+    return _told(one).unionByName(_told(more))
 
 
 def day_documents(visits: DataFrame, segments: DataFrame, places: DataFrame, photos: DataFrame, at: int = reports.A_DAY) -> DataFrame:
