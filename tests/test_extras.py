@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import places, routing, timeline
+from tracemill.plans import reports
 from tracemill.sources import importers
 
 
@@ -83,3 +84,20 @@ def test_cache_of_legs(spark):
     assert sorted(r.leg for r in answers.collect()) == ["a", "b", "e"] and cache.count() == 3
     answers, cache = routing.through_cache(legs, spark.createDataFrame(cache.collect(), cache.schema), route)
     assert sorted(r.leg for r in answers.collect()) == ["a", "b", "e"] and asked[-1] == [7.0] and cache.count() == 3
+
+
+def test_every_flight_is_ranked_by_its_ends(spark):
+    """The farthest flight is the shortest of thirty as stored; equal ends: the longest as stored, then the first. Other modes count as stored."""
+    hour = 3600
+    flights = [(1, "flying", i, 1, 1, 1, (2 * i + 1) * hour, (2 * i + 2) * hour, 1000.0 - i, 60.0) for i in range(30)]
+    buses = [(1, "bus", 90 + i, 1, 1, 1, (100 + 9 * i) * hour, (101 + 9 * i) * hour, d, 60.0) for i, d in enumerate((5.0, 7.0, 7.0))]
+    segments = spark.createDataFrame([*flights, *buses], "tid long, mode string, k1 long, k2 long, k3 long, k4 long, start_ts long, end_ts long, distance_m double, duration_s double")
+    visits = spark.createDataFrame([(1, i, 2 * i * hour + 1, 2 * i * hour + 2, 2 if i == 30 else 1) for i in range(31)], "tid long, id long, start_ts long, end_ts long, place_id long")
+    places = spark.createDataFrame([(1, 1, "Near", None, None, None, None, None, 50.0, 0.0), (2, 1, "Far", None, None, None, None, None, 52.0, 0.0)], "id long, tid long, name string, category string, city string, country string, country_code string, raw_json string, lat double, lon double")
+    got = {r["mode"]: (r["distance_m"], r["start_name"], r["end_name"], r["day"]) for r in reports.longest_by_mode(segments, visits, places).collect()}
+    assert set(got) == {"flying", "bus"}
+    assert got["flying"][0] > 200_000 and got["flying"][1:] == ("Near", "Far", "1970-01-03")
+    assert got["bus"] == (7.0, "Far", None, "1970-01-05")
+    near = visits.withColumn("place_id", F.lit(1).cast("long"))
+    flight = {r["mode"]: (r["distance_m"], r["day"]) for r in reports.longest_by_mode(segments, near, places).collect()}["flying"]
+    assert flight == (0.0, "1970-01-01")
