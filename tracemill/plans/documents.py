@@ -62,18 +62,23 @@ def _happened(visits: DataFrame, places: DataFrame, segments: DataFrame, photos:
 
 def _listed(trips: DataFrame, happened: DataFrame) -> DataFrame:
     """trips: tid, __part, id, trip (start_ts, end_ts and what else is shown). For each the visits that start in it, the legs that lie in it and
-    the photos of its days, as lists, out of what happened in its __part. Both sides are dealt alike, so nothing more is shuffled."""
-    at, until, start, end = F.col("at"), F.col("until"), F.col("trip.start_ts"), F.col("trip.end_ts")
-    of_kind = {"visit": (at >= start) & (at < end), "leg": (at >= start) & (at <= end) & (until <= end), "photo": (at >= _first_day(start)) & (at < _days_end(end))}
-    met = F.col("id").isNotNull() & reduce(lambda x, y: x | y, [F.col(k).isNotNull() & w for k, w in of_kind.items()])
-    same = (F.col("t.tid") == F.col("h.tid")) & (F.col("t.__part") == F.col("h.__part")) & met
-    rows = trips.alias("t").join(happened.alias("h"), same, "left").drop(F.col("h.tid"), F.col("h.__part"))
+    the photos of its days, as lists, out of what happened in its __part. Both sides are dealt alike, so nothing more is shuffled; what
+    happened is listed once for all trips of a part, since pairs with trips are more and wider rows to sort."""
     of = lambda kind, *columns: F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(*columns)))
-    return rows.groupBy("tid", "__part", "id", "trip").agg(
-        of("visit", "at", "visit.vid", "until", "visit.place_name", "visit.category", "visit.city", "visit.lat_e6", "visit.lon_e6").alias("visits"),
-        of("leg", "at", "leg.k1", "leg.k2", "leg.metres", "until", "leg.mode").alias("legs"),
-        of("photo", "at", "photo.uid").alias("photos"),
-    )
+    lists = {
+        "visits": of("visit", "at", "visit.vid", "until", "visit.place_name", "visit.category", "visit.city", "visit.lat_e6", "visit.lon_e6"),
+        "legs": of("leg", "at", "leg.k1", "leg.k2", "leg.metres", "until", "leg.mode"),
+        "photos": of("photo", "at", "photo.uid"),
+    }
+    start, end = F.col("trip.start_ts"), F.col("trip.end_ts")
+    mine = {
+        "visits": lambda v: (v["at"] >= start) & (v["at"] < end),
+        "legs": lambda g: (g["at"] >= start) & (g["at"] <= end) & (g["until"] <= end),
+        "photos": lambda p: (p["at"] >= _first_day(start)) & (p["at"] < _days_end(end)),
+    }
+    rows = trips.join(happened.groupBy("tid", "__part").agg(*[v.alias(c) for c, v in lists.items()]), ["tid", "__part"], "left")
+    kept = {c: F.coalesce(F.when(F.col("id").isNotNull(), F.filter(c, w)), F.array().cast(rows.schema[c].dataType)) for c, w in mine.items()}
+    return rows.withColumns(kept)
 
 
 def _told(lists: DataFrame) -> DataFrame:
